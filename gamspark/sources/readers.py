@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,38 +28,28 @@ def keys_from_path(path: Column) -> tuple[Column, Column]:
 def read_fold_reports(spark: SparkSession, folder: str, timing: bool = False) -> DataFrame:
     """All per-fold report files below ``folder`` as long rows (dataset, model, fold, row, metric, value).
 
-    Files with different headers are read per header group, because Spark takes one header for all.
+    Report files differ in their columns, so each line is zipped with the header of its own file.
     """
-    pattern = "Timing_*_Fold_*[0-9].csv" if timing else "[!T]*_Fold_*[0-9].csv"
-    glob = f"{folder}/*/*_Folds/{pattern}"
-    lines = spark.read.text(glob).select("value", F.col("_metadata.file_path").alias("file"))
-    headers = lines.where(F.col("value").startswith(",")).groupBy("value").agg(F.min("file").alias("file"))
-    parts = []
-    for row in headers.limit(100).collect():  # one row per distinct header, not per file
-        names = ["row"] + [h.strip() for h in row["value"].split(",")[1:]]
-        schema = ", ".join(f"`{n}` string" for n in names)
-        part = read_delimited(spark, glob, schema=schema, enforceSchema=True)
-        part = part.withColumn("__file", F.col("_metadata.file_path"))
-        same = lines.where(F.col("value") == row["value"]).select(F.col("file").alias("__file")).distinct()
-        part = part.join(same, "__file", "left_semi")
-        parts.append(_long_report(part, names[1:]))
-    if not parts:
-        raise FileNotFoundError(glob)
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _long_report(df: DataFrame, metrics: list[str]) -> DataFrame:
-    cells = F.array(*[F.struct(F.lit(m).alias("metric"), c(m).alias("text")) for m in metrics])
-    dataset, model = keys_from_path(F.col("__file"))
-    return df.select(
+    lines = spark.read.text(f"{folder}/*/*_Folds/*_Fold_*[0-9].csv").select(
+        F.col("_metadata.file_path").alias("file"), F.split("value", ",").alias("cells")
+    )
+    is_timing = F.col("file").contains("/Timing_")
+    lines = lines.where(is_timing if timing else ~is_timing)
+    is_header = F.col("cells")[0] == ""
+    header = lines.where(is_header).select("file", F.col("cells").alias("names"))
+    cell = F.explode(F.arrays_zip(F.expr("slice(names, 2, size(names))"), F.expr("slice(cells, 2, size(cells))")))
+    dataset, model = keys_from_path(F.col("file"))
+    long = lines.where(~is_header).join(header, "file").select(
         dataset,
         model,
-        F.regexp_extract("__file", r"_Fold_(\d+)\.csv", 1).try_cast("int").alias("fold"),
-        F.col("row").cast("string").alias("row"),
-        F.explode(cells).alias("cell"),
-    ).select("dataset", "model", "fold", "row", "cell.metric", F.col("cell.text").try_cast("double").alias("value")).where(
-        F.col("value").isNotNull()
+        F.regexp_extract("file", r"_Fold_(\d+)\.csv", 1).try_cast("int").alias("fold"),
+        F.col("cells")[0].alias("row"),
+        cell.alias("cell"),
     )
+    return long.select(
+        "dataset", "model", "fold", "row", F.col("cell")["0"].alias("metric"),
+        F.col("cell")["1"].try_cast("double").alias("value"),
+    ).where(F.col("value").isNotNull())
 
 
 def read_param_grid(df: DataFrame, json_col: str) -> DataFrame:
@@ -107,7 +95,7 @@ def read_rater_blocks(spark: SparkSession, path: str, sep: str = ";") -> DataFra
     cells = tagged.where(F.col("at") > 1).select(
         F.trim("rater").alias("rater"),
         (F.col("at") - 1).alias("item"),
-        F.posexplode(F.slice(F.split("text", sep), 2, 100000)).alias("pos", "cell"),
+        F.posexplode(F.slice(F.split("text", sep), 2, F.size(F.split("text", sep)))).alias("pos", "cell"),
     )
     return cells.select(
         "rater",
