@@ -20,8 +20,11 @@ MAX_MISSING = 0.5
 CELL_CHARS = " -?+~"
 NAME_RULES = {
     "plain": [(r"[ \-?+~]", "_")],
-    "formula": [(r"[^0-9A-Za-z_.]", "_"), (r"^(?=[0-9_])", "x")],
-    "trees": [(r"<", "under"), (r"[\[\]]", "_")],
+    "formula": [
+        (r"-", "_"), (r" ", "_"), (r"\$", ""), (r"/", "_"), (r">", "_big_"), (r"\(", "_lq_"), (r"\)", "_rq_"),
+        (r"\?", "_ques_"), (r"\.", "_dot_"), (r"&", "_and_"), (r"^_", "s_"),
+    ],
+    "trees": [(r"<", "under")],
     "display": [(r"_", " ")],
 }
 

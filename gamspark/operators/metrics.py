@@ -104,15 +104,15 @@ def roc_auc(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFr
 def roc_curve(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """(by..., threshold, tpr, fpr) when class 1 is predicted above the threshold."""
     ranked = _score_prefix(df, y, score, by)
-    total = ranked.groupBy(*[c(b) for b in by]).agg(F.sum("p").alias("P"), F.sum("q").alias("Q"))
+    total = ranked.groupBy(*[c(b) for b in by]).agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives"))
     ranked = ranked.join(total, list(by)) if by else ranked.withColumns(
         {n: F.lit(v) for n, v in total.first().asDict().items()}
     )
     return ranked.select(
         *[c(b) for b in by],
         c(score).alias("threshold"),
-        ((F.col("P") - F.col("p_below") - F.col("p")) / F.col("P")).alias("tpr"),
-        ((F.col("Q") - F.col("q_below") - F.col("q")) / F.col("Q")).alias("fpr"),
+        ((F.col("positives") - F.col("p_below") - F.col("p")) / F.col("positives")).alias("tpr"),
+        ((F.col("negatives") - F.col("q_below") - F.col("q")) / F.col("negatives")).alias("fpr"),
     )
 
 

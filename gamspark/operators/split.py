@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.order import exact_rank
-from ..functions.scalars import c, hash_order, hash_uniform, poisson_weight
+from ..functions.scalars import c, hash_order, hash_uniform, poisson_cdf, poisson_weight
 
 ORDER = "__ord"
 
@@ -56,19 +56,19 @@ def shuffle(df: DataFrame, key: Sequence[str], seed: int = 42) -> DataFrame:
 def bootstrap(df: DataFrame, key: Sequence[str], bags: int, frac: float = 1.0, seed: int = 0) -> DataFrame:
     """(row, bag, weight) with Poisson(frac) weights: bagging without copying rows that get weight 0."""
     long = df.withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(bags - 1))))
-    u = hash_uniform(seed, F.col("bag"), *[c(k) for k in key])
-    return long.withColumn("weight", poisson_weight(u, frac)).where(F.col("weight") > 0)
+    # the hash stands in its own projection, and weight 0 is filtered on the hash itself: a filter on
+    # the weight would be pushed down with one copy of the hash per step of the inversion
+    long = long.withColumn("__u", hash_uniform(seed, F.col("bag"), *[c(k) for k in key]))
+    kept = long.where(F.col("__u") >= F.lit(poisson_cdf(frac, 1)[0]))
+    return kept.withColumn("weight", poisson_weight(F.col("__u"), frac)).drop("__u")
 
 
 def bag_weights(df: DataFrame, key: Sequence[str], bags: int, frac: float = 1.0, seed: int = 0,
                 prefix: str = "bag_") -> DataFrame:
     """The same weights as one column per bag: fits read them without multiplying the rows."""
-    return df.withColumns(
-        {
-            f"{prefix}{b}": poisson_weight(hash_uniform(seed, F.lit(b), *[c(k) for k in key]), frac)
-            for b in range(bags)
-        }
-    )
+    drawn = df.withColumns({f"__u{b}": hash_uniform(seed, F.lit(b), *[c(k) for k in key]) for b in range(bags)})
+    weighted = drawn.withColumns({f"{prefix}{b}": poisson_weight(F.col(f"__u{b}"), frac) for b in range(bags)})
+    return weighted.drop(*[f"__u{b}" for b in range(bags)])
 
 
 def random_subspace(features: DataFrame, bags: int, k: int, seed: int = 0) -> DataFrame:
