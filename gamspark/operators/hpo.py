@@ -156,3 +156,10 @@ def select_by_validation(scored: DataFrame, y: str, prediction: str, path: str =
         loss = F.when(c(y) == 1, -F.log(c(prediction))).otherwise(-F.log(1 - c(prediction)))
     errors = scored.groupBy(c(path)).agg(F.avg(loss).alias("loss"))
     return errors.agg(F.min(F.struct("loss", path)).alias("b")).select(f"b.{path}", "b.loss")
+
+
+def trial_summary(trials: DataFrame, by: Sequence[str] = ("dataset", "model", "fold")) -> DataFrame:
+    """(by..., trials, failures): failed fits stay in the log and are only left out of the selection."""
+    return trials.groupBy(*[c(b) for b in by]).agg(
+        F.count(F.lit(1)).alias("trials"), F.count_if(F.col("failed")).alias("failures")
+    )

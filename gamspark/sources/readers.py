@@ -102,3 +102,4 @@ def read_rater_blocks(spark: SparkSession, path: str, sep: str = ";") -> DataFra
         F.concat_ws(":", F.col("item").cast("string"), F.col("pos").cast("string")).alias("unit"),
         F.when(F.trim("cell") != "-", F.trim("cell")).try_cast("double").alias("value"),
     )
+
