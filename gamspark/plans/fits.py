@@ -1 +1,332 @@
-"""placeholder"""
+"""Model fits on the shared tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..models import bagging, boosting, evaluate, hidden, interactions, linear, spline, trees
+from ..models.design import Constant, Design, Levels, Linear
+from ..models.gram import gram
+from ..operators import effects as fx
+from ..operators import clean, encode
+from .catalog import query, rnd, table
+
+NUM, CAT, TARGET = ["l_quantity", "l_discount", "l_tax"], ["l_returnflag", "l_linestatus"], "l_extendedprice"
+KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+def items(spark, folder):
+    return table(spark, folder, "lineitem")
+
+
+def classes(spark, folder):
+    """Large quantity as a label that depends on price, so that classifiers have something to find."""
+    price = F.col("l_extendedprice") / 10000
+    noise = F.col("l_partkey") % 7
+    return items(spark, folder).withColumn("label", (price + noise + F.col("l_discount") * 20 > 9).cast("int")).withColumn(
+        "price", price
+    )
+
+
+@query("flagship")
+def flagship(spark, folder):
+    """Clean, encode, fit an additive model on one Gram, and return its centred effects with importance."""
+    raw = items(spark, folder).withColumn("l_tax", F.expr("CASE WHEN l_tax > 0.06 THEN NULL ELSE l_tax END"))
+    cleaner = clean.fit_cleaner(raw, NUM, CAT)
+    frame = cleaner.transform(raw, keep=[TARGET])
+    model = linear.fit_ridge(frame, TARGET, cleaner.numeric, cleaner.categorical, alpha=1.0, scale=True)
+    effects = model.effects(frame)
+    centred = fx.center_effects(effects)
+    imp = fx.importance(effects).select("feat_name", "importance")
+    return centred.join(imp, "feat_name", "left").select(
+        "feat_name", "feat_idx", "x_num", "x_cat", rnd("y").alias("y"), "n", rnd("importance").alias("importance")
+    )
+
+
+GRAM_TERMS = {
+    "1": "1.0", "q": "l_quantity", "d": "l_discount",
+    "A": "CASE WHEN l_returnflag = 'A' THEN 1.0 ELSE 0.0 END", "N": "CASE WHEN l_returnflag = 'N' THEN 1.0 ELSE 0.0 END",
+}
+
+
+@query(
+    "gram",
+    " UNION ALL ".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, round(CAST(sum(({x}) * ({y})) AS DOUBLE), 3) AS value FROM lineitem"
+        for a, x in GRAM_TERMS.items()
+        for b, y in {**GRAM_TERMS, "y": "l_extendedprice / 1000"}.items()
+    ),
+)
+def cross_products(spark, folder):
+    design = Design((Constant(), Linear("l_quantity"), Linear("l_discount"), Levels("l_returnflag", ("A", "N"))))
+    stats = gram(items(spark, folder), design, F.col("l_extendedprice") / 1000)[0]
+    names = list(GRAM_TERMS)
+    rows = [(a, b, float(stats.g[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)]
+    rows += [(a, "y", float(stats.b[i])) for i, a in enumerate(names)]
+    return spark.createDataFrame(rows, "a string, b string, value double").withColumn("value", rnd("value", 3))
+
+
+@query(
+    "ridge_solve",
+    """WITH s AS (SELECT sum(l_quantity * l_quantity) + 10 AS aa, sum(l_quantity * l_discount) AS ab, sum(l_discount * l_discount) + 10 AS bb,
+                         sum(l_quantity * l_extendedprice) AS ay, sum(l_discount * l_extendedprice) AS b_y FROM lineitem)
+       SELECT 'l_quantity' AS feat_name, round((bb * ay - ab * b_y) / (aa * bb - ab * ab), 4) AS coef FROM s
+       UNION ALL SELECT 'l_discount', round((aa * b_y - ab * ay) / (aa * bb - ab * ab), 4) FROM s""",
+)
+def ridge_solve(spark, folder):
+    model = linear.fit_ridge(items(spark, folder), TARGET, ["l_quantity", "l_discount"], alpha=10.0, intercept=False)
+    return model.coefficients(spark).withColumn("coef", rnd("coef", 4))
+
+
+@query(
+    "coefficient_table",
+    """WITH s AS (SELECT var_pop(l_quantity) AS aa, covar_pop(l_quantity, l_discount) AS ab, var_pop(l_discount) AS bb,
+                         covar_pop(l_quantity, l_extendedprice) AS ay, covar_pop(l_discount, l_extendedprice) AS b_y FROM lineitem)
+       SELECT 'l_quantity' AS feat_name, round((bb * ay - ab * b_y) / (aa * bb - ab * ab), 5) AS coef FROM s
+       UNION ALL SELECT 'l_discount', round((aa * b_y - ab * ay) / (aa * bb - ab * ab), 3) FROM s""",
+)
+def coefficient_table(spark, folder):
+    model = linear.fit_ridge(items(spark, folder), TARGET, ["l_quantity", "l_discount"], alpha=0.0)
+    digits = F.when(F.col("feat_name") == "l_quantity", rnd("coef", 5)).otherwise(rnd("coef", 3))
+    return model.coefficients(spark).withColumn("coef", digits)
+
+
+@query(
+    "elastic_net",
+    """WITH s AS (SELECT avg(o_custkey) AS mx, avg(o_totalprice) AS my, covar_pop(o_custkey, o_totalprice) AS c, var_pop(o_custkey) AS v FROM orders),
+            w AS (SELECT *, sign(c) * greatest(abs(c) - 0.5 * 0.25, 0) / (v + 0.5 * 0.75) AS coef FROM s)
+       SELECT round(coef, 6) AS coef, round(my - coef * mx, 4) AS intercept FROM w""",
+)
+def elastic_net(spark, folder):
+    """One feature has a closed form: the soft-thresholded covariance."""
+    model = linear.fit_elastic_net(table(spark, folder, "orders"), "o_totalprice", ["o_custkey"], alpha=0.5, l1_ratio=0.25)
+    return model.coefficients(spark).select(rnd("coef").alias("coef"), F.round(F.lit(model.intercept), 4).alias("intercept"))
+
+
+@query("elastic_net_path")
+def elastic_net_path(spark, folder):
+    settings = [(a, r) for a in (0.1, 10.0, 1000.0) for r in (0.0, 0.5, 1.0)]
+    models = linear.fit_elastic_net_path(items(spark, folder), TARGET, NUM, CAT, settings, scale=True)
+    rows = [(m.info["alpha"], m.info["l1_ratio"], int((abs(m.beta[1:]) > 0).sum())) for m in models]
+    return spark.createDataFrame(rows, "alpha double, l1_ratio double, nonzero int")
+
+
+PAIR_BINS = {"l_quantity": [10.5, 20.5, 30.5, 40.5], "l_discount": [0.025, 0.055, 0.085], "l_tax": [0.015, 0.045]}
+BIN_SQL = {
+    "l_quantity": "CASE WHEN l_quantity < 10.5 THEN 0 WHEN l_quantity < 20.5 THEN 1 WHEN l_quantity < 30.5 THEN 2 WHEN l_quantity < 40.5 THEN 3 ELSE 4 END",
+    "l_discount": "CASE WHEN l_discount < 0.025 THEN 0 WHEN l_discount < 0.055 THEN 1 WHEN l_discount < 0.085 THEN 2 ELSE 3 END",
+    "l_tax": "CASE WHEN l_tax < 0.015 THEN 0 WHEN l_tax < 0.045 THEN 1 ELSE 2 END",
+}
+
+
+def _gain(by: str) -> str:
+    return f"(SELECT sum(s * s / n) FROM (SELECT sum(r) AS s, count(*) AS n FROM p GROUP BY {by}))"
+
+
+@query(
+    "pair_strength",
+    "WITH p AS (SELECT (l_extendedprice - avg(l_extendedprice) OVER ()) / 1000 AS r, "
+    + ", ".join(f"{e} AS {n}" for n, e in BIN_SQL.items())
+    + " FROM lineitem) "
+    + " UNION ALL ".join(
+        f"SELECT '{a}' AS feat_a, '{b}' AS feat_b, round({_gain(a + ', ' + b)} - {_gain(a)} - {_gain(b)} + {_gain('()')}, 4) AS strength"
+        for a, b in (("l_quantity", "l_discount"), ("l_quantity", "l_tax"), ("l_discount", "l_tax"))
+    ),
+)
+def pair_strength(spark, folder):
+    frame = items(spark, folder)
+    mean = frame.agg(F.avg(TARGET)).first()[0]
+    out = interactions.pair_strength(frame.withColumn("r", (F.col(TARGET) - mean) / 1000), "r", PAIR_BINS)
+    return out.withColumn("strength", rnd("strength", 4))
+
+
+def _losses(spark, model, frame, target, **extra):
+    """One row with the model's loss next to the loss of the constant model."""
+    y = F.col(target).cast("double")
+    if model.task == "regression":
+        base = frame.agg(F.var_pop(y)).first()[0]
+    else:
+        p = frame.agg(F.avg(y)).first()[0]
+        base = frame.agg(F.avg(-y * F.log(F.lit(p)) - (1 - y) * F.log(F.lit(1 - p)))).first()[0]
+    row = {"loss": float(model.loss(frame, target)), "constant_loss": float(base), **extra}
+    return spark.createDataFrame([tuple(row.values())], list(row))
+
+
+@query("logistic")
+def logistic(spark, folder):
+    frame = classes(spark, folder)
+    model = linear.fit_logistic(frame, "label", ["price", "l_discount"], ["l_returnflag"], C=1.0, class_weight="balanced")
+    return model.coefficients(spark)
+
+
+@query("decision_tree")
+def decision_tree(spark, folder):
+    frame = classes(spark, folder)
+    return _losses(spark, trees.fit_tree(frame, "label", ["price", *NUM], CAT, "classification", max_depth=4), frame, "label")
+
+
+@query("random_forest")
+def random_forest(spark, folder):
+    frame = classes(spark, folder)
+    model = trees.fit_forest(frame, "price", ["label", *NUM], CAT, n_estimators=10, max_depth=5)
+    return _losses(spark, model, frame, "price")
+
+
+@query("boosted_trees")
+def boosted_trees(spark, folder):
+    frame = classes(spark, folder)
+    model = trees.fit_boosted_trees(frame, "price", ["label", *NUM], CAT, n_estimators=5, max_depth=3, learning_rate=0.3)
+    return _losses(spark, model, frame, "price")
+
+
+@query("stump_gam")
+def stump_gam(spark, folder):
+    frame = classes(spark, folder)
+    model = trees.fit_boosted_trees(frame, "label", ["price", "l_discount"], CAT, "classification", n_estimators=10, max_depth=1, learning_rate=0.5)
+    return fx.importance(trees.stump_effects(model, frame))
+
+
+@query("perceptron")
+def perceptron(spark, folder):
+    frame = classes(spark, folder)
+    model = trees.fit_perceptron(frame, "label", ["price", "l_discount"], [], hidden=(5,), max_iter=30)
+    return _losses(spark, model, frame, "label")
+
+
+@query("spline_gam")
+def spline_gam(spark, folder):
+    frame = classes(spark, folder)
+    model = spline.fit_spline_gam(frame, "price", ["l_discount", "l_quantity"], ["l_returnflag"], n_splines=10)
+    return _losses(spark, model, frame, "price", lam=model.info["lam"], edf=model.info["edf"])
+
+
+@query("spline_gam_logit")
+def spline_gam_logit(spark, folder):
+    frame = classes(spark, folder)
+    model = spline.fit_spline_gam(frame, "label", ["price", "l_discount"], ["l_returnflag"], "classification", n_splines=10, max_iter=8)
+    return _losses(spark, model, frame, "label", lam=model.info["lam"], edf=model.info["edf"])
+
+
+@query("lambda_search")
+def lambda_search(spark, folder):
+    """Effective degrees of freedom and GCV along the penalty grid, all from one Gram."""
+    model = spline.fit_spline_gam(classes(spark, folder), "price", ["l_discount", "l_quantity"], ["l_returnflag"], n_splines=10)
+    return spark.createDataFrame(model.info["path"], "lam double, edf double, gcv double")
+
+
+@query("regression_spline")
+def regression_spline(spark, folder):
+    frame = classes(spark, folder)
+    model = spline.fit_regression_spline(frame, "price", ["l_discount", "l_quantity", "label"], CAT, max_k=8)
+    return _losses(spark, model, frame, "price", lam=model.info["lam"], edf=model.info["edf"])
+
+
+@query("partial_dependence")
+def partial_dependence(spark, folder):
+    model = spline.fit_spline_gam(classes(spark, folder), "price", ["l_discount", "l_quantity"], [], n_splines=8)
+    return spline.partial_dependence(spark, model, 100)
+
+
+@query("binned_boosting")
+def binned_boosting(spark, folder):
+    frame = classes(spark, folder)
+    model = boosting.fit_binned_boosting(
+        frame, "price", ["label", *NUM], CAT, key=KEY, max_bins=16, interactions=1, outer_bags=2, rounds=200
+    )
+    return _losses(spark, model, frame, "price", pair=" x ".join(model.info["pairs"][0]))
+
+
+@query("binned_boosting_logit")
+def binned_boosting_logit(spark, folder):
+    frame = classes(spark, folder)
+    model = boosting.fit_binned_boosting(
+        frame, "label", ["price", "l_discount"], CAT, "classification", key=KEY, max_bins=16, inner_bags=2, rounds=100, passes=4
+    )
+    return _losses(spark, model, frame, "label")
+
+
+def _scaled(spark, folder, cols):
+    frame = classes(spark, folder)
+    return encode.standard_scale(frame, cols).transform(frame)
+
+
+def _holdout():
+    from ..functions.scalars import hash_uniform
+
+    return hash_uniform("val", *[F.col(k) for k in KEY]) < 0.15
+
+
+@query("hidden_boosting")
+def hidden_boosting(spark, folder):
+    frame = _scaled(spark, folder, ["price", "l_discount", "l_quantity"])
+    model = hidden.fit_hidden_boosting(frame, "price", ["label", "l_discount", "l_quantity"], _holdout(), n_hid=5, n_estimators=60,
+                                       init_reg=0.01, pairs=[("label", "l_discount")])
+    return _losses(spark, model, frame, "price", learners=len(model.learners))
+
+
+@query("hidden_boosting_logit")
+def hidden_boosting_logit(spark, folder):
+    frame = _scaled(spark, folder, ["price", "l_discount"])
+    model = hidden.fit_hidden_boosting(frame, "label", ["price", "l_discount"], _holdout(), "classification", n_hid=5, n_estimators=5,
+                                       boost_rate=0.5, optimize_threshold=True)
+    return _losses(spark, model, frame, "label", learners=len(model.learners), threshold=float(model.threshold))
+
+
+@query("shape_functions")
+def shape_functions(spark, folder):
+    frame = _scaled(spark, folder, ["l_discount", "l_quantity"])
+    model = hidden.fit_hidden_boosting(frame, "price", ["label", "l_discount", "l_quantity"], _holdout(), n_hid=4, n_estimators=20, init_reg=0.01)
+    return fx.center_effects(model.shape_functions(frame)).select("feat_name", "feat_idx", "x_num", "y", "n")
+
+
+@query("select_features")
+def select_features(spark, folder):
+    names = ["label", "l_discount", "l_quantity", "l_tax"]
+    kept = interactions.select_features(_scaled(spark, folder, ["price", *names]), "price", names, 2, n_hid=5)
+    return spark.createDataFrame([(n,) for n in kept], "feat_name string")
+
+
+@query("pairs_by_tree")
+def pairs_by_tree(spark, folder):
+    found = interactions.pairs_by_tree(classes(spark, folder), "label", ["price", "l_discount", "l_quantity"], 1, "classification")
+    return spark.createDataFrame(found, "feat_a string, feat_b string")
+
+
+@query("pairs_by_lasso")
+def pairs_by_lasso(spark, folder):
+    names = ["price", "l_discount", "l_quantity"]
+    found = interactions.pairs_by_lasso(_scaled(spark, folder, names), "label", names, 1, KEY, n_hid=4)
+    return spark.createDataFrame(found, "feat_a string, feat_b string")
+
+
+@query("bagged_gam")
+def bagged_gam(spark, folder):
+    frame = items(spark, folder)
+    model = bagging.fit_bagged_ridge(frame, TARGET, NUM, CAT, bags=5, key=KEY)
+    return fx.bag_importance(model.member_effects(frame))
+
+
+@query("nested_evaluation")
+def nested_evaluation(spark, folder):
+    """Two models with two configurations each over two folds, as fold means."""
+    from ..operators.reports import fold_mean_std
+
+    docs = table(spark, folder, "documents").select("doc_id", "n_chars", "lang", "source")
+    frame = docs.join(table(spark, folder, "labels").select("doc_id", "quality"), "doc_id")
+    _, reports = evaluate.nested_evaluation(
+        frame, "documents", ["doc_id"], "quality", ["n_chars"], ["lang", "source"], "classification",
+        {"logistic": [{"C": 0.1}, {"C": 1.0}], "tree": [{"max_depth": 2}, {"max_depth": 4}]}, folds=2,
+    )
+    return fold_mean_std(reports.where(F.col("row") != "timing"), ("dataset", "model", "row", "metric"))
+
+
+@query("grid_search")
+def grid_search(spark, folder):
+    """Trial log with losses, seconds and a failed configuration."""
+    frame = classes(spark, folder).withColumn("val", _holdout())
+    done = evaluate.grid_search(
+        evaluate.FITS["elastic_net"], frame.where(~F.col("val")), frame.where("val"), "price", NUM, CAT, "regression",
+        [{"alpha": 0.01}, {"alpha": 1.0}, {"alpha": 0.1, "unknown": 1}],
+    )
+    rows = [t.row("lineitem", "elastic_net", 0) for t in done]
+    return spark.createDataFrame(rows, evaluate.TRIAL_SCHEMA).select("config_id", "loss", "failed")
