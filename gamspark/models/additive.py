@@ -5,15 +5,16 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import sigmoid
 from ..operators import effects as fx
 from ..operators.metrics import raw_logloss
-from ..session import cut_lineage
 from .design import Constant, Design, HiddenPair, PairBins
-from .gram import score_column
+from .gram import arrow_score, score_column
 
 TASKS = ("regression", "classification")
 
@@ -48,6 +49,22 @@ class Fitted:
         return float(df.agg(F.avg(expr)).first()[0])
 
 
+def term_column(terms: dict[str, tuple[Design, np.ndarray]], numeric: set[str]) -> Column:
+    """Effect of each row of a value table (feat_name, x_num, x_cat): one batch function for all features."""
+
+    def run(batch: pa.RecordBatch) -> np.ndarray:
+        out = np.zeros(batch.num_rows)
+        names = batch.column("feat_name")
+        for name, (design, beta) in terms.items():
+            rows = pc.equal(names, name).to_numpy(zero_copy_only=False).astype(bool)
+            if rows.any():
+                x = batch.column("x_num" if name in numeric else "x_cat").filter(pa.array(rows))
+                out[rows] = design.build(pa.RecordBatch.from_arrays([x], names=[name])) @ beta
+        return out
+
+    return arrow_score(run, ["feat_name", "x_num", "x_cat"])
+
+
 @dataclass
 class AdditiveModel(Fitted):
     design: Design
@@ -87,16 +104,14 @@ class AdditiveModel(Fitted):
 
     def effects(self, df: DataFrame) -> DataFrame:
         """Raw effect table at the values seen in ``df``; pairs are not part of it (see ``surface``)."""
-        values = cut_lineage(fx.feature_value_counts(df, self.numeric, self.categorical))
-        out = fx.offset_row(df.sparkSession, self.intercept).select(fx.COLUMNS)
-        for name in (*self.numeric, *self.categorical):
-            design, beta = self.feature_terms(name)
-            rows = values.where(F.col("feat_name") == name)
-            x = "x_num" if name in self.numeric else "x_cat"
-            y = score_column(design, beta) if design.blocks else F.lit(0.0)
-            scored = rows.withColumn(name, F.col(x)).withColumn("y", y).withColumn("y_std", F.lit(None).cast("double"))
-            out = out.unionByName(scored.select(fx.COLUMNS))
-        return out
+        return self.effects_at(fx.feature_value_counts(df, self.numeric, self.categorical))
+
+    def effects_at(self, values: DataFrame) -> DataFrame:
+        """The same at given value counts."""
+        terms = {n: self.feature_terms(n) for n in (*self.numeric, *self.categorical)}
+        y = term_column({n: t for n, t in terms.items() if t[0].blocks}, set(self.numeric))
+        table = values.withColumn("y", y).withColumn("y_std", F.lit(None).cast("double"))
+        return fx.offset_row(values.sparkSession, self.intercept).select(fx.COLUMNS).unionByName(table.select(fx.COLUMNS))
 
     def surface(self, pairs: DataFrame, first: str, second: str, points: int = 50) -> DataFrame:
         """Pair effect over a grid; ``pairs`` holds the ranges of both features in one row."""

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..operators import effects as fx
 from ..operators.ensemble import bagged_probability_of
-from ..operators.split import bag_weights
 from ..functions.scalars import c, logit, sigmoid
+from ..operators.split import bag_weights
+from ..session import cut_lineage
 from .additive import AdditiveModel, Fitted
 from .gram import gram
 from .linear import _additive, centred, linear_design, ridge_solve
@@ -34,8 +35,10 @@ class BaggedModel(Fitted):
 
     def member_effects(self, df: DataFrame) -> DataFrame:
         """Effect rows of every member with its model_id."""
-        parts = [fx.center_effects(m.effects(df)).withColumn("model_id", F.lit(i)) for i, m in enumerate(self.members)]
-        return reduce(DataFrame.unionByName, parts)
+        first = self.members[0]
+        values = cut_lineage(fx.feature_value_counts(df, first.numeric, first.categorical))
+        parts = [m.effects_at(values).withColumn("model_id", F.lit(i)) for i, m in enumerate(self.members)]
+        return fx.center_effects(reduce(DataFrame.unionByName, parts), by=["model_id"])
 
     def effects(self, df: DataFrame) -> DataFrame:
         return fx.aggregate_effects(self.member_effects(df))

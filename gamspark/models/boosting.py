@@ -17,7 +17,7 @@ from ..functions.scalars import c, hash_uniform, poisson_weight
 from ..operators.encode import sorted_levels
 from .additive import AdditiveModel, check_task
 from .design import Bins, Constant, Design, Levels, PairBins
-from .gram import Gram, batch_score, gram, logistic_step
+from .gram import Gram, batch_score, gram, logistic_step, reused
 from .interactions import pair_strength
 
 PAIR_BINS = 16
@@ -53,6 +53,8 @@ def binned_design(df: DataFrame, numeric: Sequence[str], categorical: Sequence[s
 
 def tree_step(counts: np.ndarray, sums: np.ndarray, leaves: int, ordered: bool = True) -> np.ndarray:
     """Leaf means of a small tree over bins: the best cuts one after the other, empty gains not taken."""
+    if leaves >= len(counts):  # room for every bin: plain bin means
+        return np.divide(sums, counts, out=np.zeros(len(counts)), where=counts > 0)
     order = np.arange(len(counts))
     if not ordered:
         with np.errstate(invalid="ignore", divide="ignore"):
@@ -163,11 +165,17 @@ def _boost_stage(df, target, design, key, task, base, base_columns, outer, inner
 
     Log loss: each pass linearises the loss at the score so far and boosts the correction on its Gram.
     """
-    drawn, train, val = _with_bags(df, key, outer, inner, seed)
+    used = dict.fromkeys([*key, *design.columns, *base_columns, target])
+    drawn, train, val = _with_bags(df.select(*[c(n) for n in used]), key, outer, inner, seed)
+    with reused(drawn) as rows:
+        return _boost_bags(rows, target, design, task, base, base_columns, train, val, rate, rounds, leaves, patience, passes)
+
+
+def _boost_bags(drawn, target, design, task, base, base_columns, train, val, rate, rounds, leaves, patience, passes):
     fits, paths = [], []
     if task == "regression":
         names = [n for group in train for n in group] + val
-        stats = gram(drawn, design, target, names, offset=base, offset_columns=base_columns)
+        stats = gram(drawn, design, target, names, offset=base, offset_columns=base_columns, spread=False)
         at = {n: stats[i] for i, n in enumerate(names)}
         for names_b, val_b in zip(train, val):
             f, path = cyclic_boost(design, [at[n] for n in names_b], at[val_b], rate, rounds, leaves, patience)
@@ -184,7 +192,7 @@ def _boost_stage(df, target, design, key, task, base, base_columns, outer, inner
                     return score if base is None else score + base(batch)
 
                 stats = gram(drawn, design, target, [*names_b, val_b], working=logistic_step, offset=offset,
-                             offset_columns=base_columns)
+                             offset_columns=base_columns, spread=False)
                 held = stats[len(names_b)]
                 loss = held.loss / max(held.rows, 1.0)
                 path.append(loss)

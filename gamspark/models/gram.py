@@ -1,13 +1,14 @@
 """The shared data pass: weighted cross-products of a basis, summed over all rows.
 
 Every task adds up B'WB and B'Wz of its own batches and emits them in blocks. Blocks are summed in
-two shuffled steps (by block and salt, then by block), so that neither a task nor the driver sees
-one partial result per partition. What reaches the driver is one matrix of basis x basis.
+two shuffled steps (by block and salt, then by block), so that neither a reducer nor the driver sees
+one partial result per task. What reaches the driver is one matrix of basis x basis.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ BLOCK = 8_192
 SALTS = 32
 CHUNK_VALUES = 2_000_000
 OUT_SCHEMA = "part int, grp int, block int, data array<double>"
-DRIVER_VALUES = 40_000_000
+SMALL_BYTES = 1 << 30
 
 
 @dataclass
@@ -106,6 +107,31 @@ def _partial_sums(design: Design, names: dict, working, offset, n_weights: int):
     return run
 
 
+def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
+    """By the optimizer's size estimate, which costs no job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Small inputs that arrive in few splits are dealt out to all cores, because the pass is bound by
+    arithmetic. Beyond the limit the splits of the scan already outnumber the cores."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if is_small(df) else df
+
+
+@contextmanager
+def reused(df: DataFrame):
+    """A frame for several passes: small ones are dealt out and cached once; large ones are scanned again,
+    because a column-pruned scan costs no more than reading back a spilled cache."""
+    if not is_small(df):
+        yield df
+        return
+    rows = spread_small(df).persist()
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
+
 def gram(
     df: DataFrame,
     design: Design,
@@ -115,11 +141,13 @@ def gram(
     working: Working | None = None,
     offset: Callable[[pa.RecordBatch], np.ndarray] | None = None,
     offset_columns: Sequence[str] = (),
+    spread: bool = True,
 ) -> dict[int, Gram]:
     """One pass over ``df``; returns a Gram per group, or per weight column, or {0: ...}.
 
     ``offset`` is the score a row already has; ``working(y, score)`` turns it into iteration weights,
-    a working response and the loss. Rows with a NULL target are left out.
+    a working response and the loss. Rows with a NULL target are left out. ``spread=False`` says that
+    the frame is already dealt out (see ``reused``).
     """
     design.check()
     if group is not None and weights:
@@ -133,10 +161,14 @@ def gram(
         *([] if group is None else [(c(group) if isinstance(group, str) else group).cast("int").alias("__g")]),
     ).where(F.col("__y").isNotNull())
     names = {"group": group is not None}
-    partial = narrow.mapInArrow(_partial_sums(design, names, working, offset, len(weights)), OUT_SCHEMA)
+    small = is_small(narrow)
+    source = spread_small(narrow) if spread else narrow
+    partial = source.mapInArrow(_partial_sums(design, names, working, offset, len(weights)), OUT_SCHEMA)
     vec = array_to_vector(F.col("data"))
-    first = partial.groupBy("grp", "block", (F.col("part") % SALTS).alias("salt")).agg(Summarizer.sum(vec).alias("v"))
-    rows = first.groupBy("grp", "block").agg(Summarizer.sum(F.col("v")).alias("v")).select(
+    if not small:  # many tasks: sum in two steps, so that no reducer reads a block of every task
+        partial = partial.groupBy("grp", "block", (F.col("part") % SALTS).alias("salt")).agg(Summarizer.sum(vec).alias("v"))
+        vec = F.col("v")
+    rows = partial.groupBy("grp", "block").agg(Summarizer.sum(vec).alias("v")).select(
         "grp", "block", vector_to_array("v").alias("v")
     ).collect()
     size = design.size

@@ -19,14 +19,14 @@ from ..functions.scalars import c
 from ..operators import effects as fx
 from ..operators.metrics import best_threshold
 from ..session import cut_lineage
-from .additive import Fitted, check_task
+from .additive import Fitted, check_task, term_column
 from .design import Constant, Design, Hidden, HiddenPair, Linear
-from .gram import arrow_score, gram
+from .gram import arrow_score, gram, reused, spread_small
 from .interactions import hidden_weights
 from .linear import centred, coordinate_descent, fit_logistic, ridge_solve
 
 RAW_LIMIT = 100.0
-BATCH_COLUMNS = 1_000
+BATCH_COLUMNS = 400  # the pass costs rows x columns^2, so fewer learners per pass are cheaper in total
 
 
 def learner_design(features: Sequence[str], pairs: Sequence[tuple[str, str]], n_hid: int, scale: float, scale_inter: float,
@@ -72,18 +72,15 @@ class HiddenModel(Fitted):
 
     def shape_functions(self, df: DataFrame) -> DataFrame:
         """Raw effect table of the main effects at the values seen in ``df``."""
-        values = cut_lineage(fx.feature_value_counts(df, list(self.features)))
-        out = fx.offset_row(df.sparkSession, float(self.start_beta[0])).select(fx.COLUMNS)
+        values = fx.feature_value_counts(df, list(self.features))
+        terms = {}
         for name in self.features:
             parts = self._terms((name,))
-
-            def shape(batch, parts=parts):
-                return sum((d.build(batch) @ b for d, b in parts), np.zeros(batch.num_rows))
-
-            rows = values.where(F.col("feat_name") == name).withColumn(name, F.col("x_num"))
-            scored = rows.withColumn("y", arrow_score(shape, [name])).withColumn("y_std", F.lit(None).cast("double"))
-            out = out.unionByName(scored.select(fx.COLUMNS))
-        return out
+            joint = Design(tuple(b for d, _ in parts for b in d.blocks))
+            terms[name] = joint, np.concatenate([beta for _, beta in parts])
+        table = values.withColumn("y", term_column(terms, set(self.features))).withColumn("y_std", F.lit(None).cast("double"))
+        start = fx.offset_row(df.sparkSession, float(self.start_beta[0]))
+        return start.select(fx.COLUMNS).unionByName(table.select(fx.COLUMNS))
 
     def _terms(self, columns: tuple[str, ...]):
         parts = []
@@ -171,24 +168,26 @@ def fit_hidden_boosting(
     group = val.cast("int")
     make = lambda seed: learner_design(features, pairs, n_hid, elm_scale, elm_scale_inter, act, seed)
     if check_task(task) == "regression":
-        start = Design((Constant(), *[Linear(n) for n in features]))
-        stats = gram(df, start, target, group=group)
-        whole = stats[0] + stats[1] if 1 in stats else stats[0]
-        g, b, means, y_mean = centred(whole)
-        slopes = coordinate_descent(g, b, whole.g[0, 0], init_reg, 1.0)
-        beta = np.r_[y_mean - slopes @ means, slopes]
-        held = stats.get(1, stats[0])
-        stop = _Stopping(held.squared_error(beta) / held.weight, early_stopping)
-        model = HiddenModel(tuple(features), tuple(pairs), start, beta, [], boost_rate, task)
-        per_pass = max(1, BATCH_COLUMNS // make(0).size)
-        done, ended = 0, False
-        while done < n_estimators and not ended:
-            designs = [make(done + i) for i in range(min(per_pass, n_estimators - done))]
-            joint = Design(tuple(bl for d in designs for bl in d.blocks))
-            stats = gram(df, joint, target, group=group, offset=model.batch_raw(), offset_columns=features)
-            coefs, ended = boost_on_gram(stats[0], stats.get(1, stats[0]), [d.size for d in designs], boost_rate, elm_alpha, stop)
-            model.learners = [*model.learners, *zip(designs, coefs)]
-            done += len(designs)
+        narrow = df.select(*[c(n) for n in dict.fromkeys([*features, target])], group.alias("__val"))
+        with reused(narrow) as rows:
+            start = Design((Constant(), *[Linear(n) for n in features]))
+            stats = gram(rows, start, target, group="__val", spread=False)
+            whole = stats[0] + stats[1] if 1 in stats else stats[0]
+            g, b, means, y_mean = centred(whole)
+            slopes = coordinate_descent(g, b, whole.g[0, 0], init_reg, 1.0)
+            beta = np.r_[y_mean - slopes @ means, slopes]
+            held = stats.get(1, stats[0])
+            stop = _Stopping(held.squared_error(beta) / held.weight, early_stopping)
+            model = HiddenModel(tuple(features), tuple(pairs), start, beta, [], boost_rate, task)
+            per_pass = max(1, BATCH_COLUMNS // make(0).size)
+            done, ended = 0, False
+            while done < n_estimators and not ended:
+                designs = [make(done + i) for i in range(min(per_pass, n_estimators - done))]
+                joint = Design(tuple(bl for d in designs for bl in d.blocks))
+                stats = gram(rows, joint, target, group="__val", offset=model.batch_raw(), offset_columns=features, spread=False)
+                coefs, ended = boost_on_gram(stats[0], stats.get(1, stats[0]), [d.size for d in designs], boost_rate, elm_alpha, stop)
+                model.learners = [*model.learners, *zip(designs, coefs)]
+                done += len(designs)
     else:
         linear = fit_logistic(df, target, features, C=1.0 / init_reg, penalty="l1", scale=False)
         model = HiddenModel(tuple(features), tuple(pairs), linear.design, linear.beta, [], boost_rate, task, clip=True)
@@ -196,7 +195,7 @@ def fit_hidden_boosting(
             *[c(n).cast("double").alias(n) for n in features], (c(target).cast("double") * 2 - 1).alias("__label"),
             group.alias("__val"), model.raw().alias("__score"),
         )
-        rows, fresh, stop = cut_lineage(rows), [], None
+        rows, fresh, stop = cut_lineage(spread_small(rows)), [], None
         for step in range(n_estimators + 1):
             design = make(step)
 
@@ -207,7 +206,7 @@ def fit_hidden_boosting(
                 return score
 
             stats = gram(rows, design, "__label", group="__val", working=boosting_working, offset=offset,
-                         offset_columns=[*features, "__score"])
+                         offset_columns=[*features, "__score"], spread=False)
             held = stats.get(1, stats[0])
             loss = held.loss / max(held.rows, 1.0)
             # the pass reports the loss before its learner, so stopping is checked one pass later

@@ -5,15 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import c
 from ..operators import encode
-from ..operators.hpo import invalid_logistic  # noqa: F401 - the rule callers check grids with
 from .additive import AdditiveModel
 from .design import Constant, Design, Levels, Linear
-from .gram import Gram, gram
+from .gram import Gram, batch_score, gram, logistic_working, reused
 
 
 def ridge_solve(g: np.ndarray, b: np.ndarray, alpha: float) -> np.ndarray:
@@ -100,32 +99,39 @@ def fit_elastic_net_path(df, target, numeric, categorical, settings: Sequence[tu
 
 def fit_logistic(df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str] = (), C: float = 1.0,
                  penalty: str | None = "l2", l1_ratio: float | None = None, class_weight: str | None = None,
-                 max_iter: int = 100, scale: bool = True, tol: float = 1e-6) -> AdditiveModel:
-    """Logistic regression on 0/1 labels.
+                 max_iter: int = 100, scale: bool = True, tol: float = 1e-8) -> AdditiveModel:
+    """Logistic regression on 0/1 labels with l1, l2, elastic net or no penalty.
 
-    The library's penalty is per row while C multiplies the summed loss, so regParam is
-    1/(C * weight sum). Columns are not standardised again inside the solver.
+    C multiplies the summed loss, so the penalty per unit of weight is 1 / (C * weight sum). Every
+    Newton pass reads the rows once and solves the penalised quadratic from its Gram, which takes
+    far fewer passes than a first-order solver; a step that does not lower the objective is halved.
     """
     mix = {"l1": 1.0, "l2": 0.0, "elasticnet": l1_ratio, None: 0.0, "none": 0.0}[penalty]
-    fitted = encode.column_transformer(df, numeric if scale else [], categorical)
-    if not scale:
-        fitted.scaler = encode.Scaler({n: (0.0, 1.0) for n in numeric})
-    frame = df if class_weight is None else encode.balanced_weights(df, target)
-    weight = F.lit(1.0) if class_weight is None else F.col("weight")
-    rows = fitted.transform(frame, vector="__x").select(
-        "__x", F.col(f"`{target}`").cast("double").alias("__y"), weight.alias("__w")
-    )
-    total = rows.agg(F.sum("__w")).first()[0]
-    reg = 0.0 if penalty in (None, "none") else 1.0 / (C * total)
-    model = LogisticRegression(
-        featuresCol="__x", labelCol="__y", weightCol="__w", regParam=reg, elasticNetParam=mix, maxIter=max_iter,
-        standardization=False, tol=tol, family="binomial",
-    ).fit(rows)
-    hot = fitted.hot
-    blocks = [Constant(), *[Levels(n, tuple(hot.kept(n))) for n in categorical if hot.kept(n)],
-              *[Linear(n, *fitted.scaler.params[n]) for n in numeric]]
-    beta = np.r_[model.intercept, model.coefficients.toArray()]
-    return _additive(Design(tuple(blocks)), beta, "classification", numeric, categorical, C=C, penalty=penalty)
+    if mix is None:
+        raise ValueError("elastic net needs l1_ratio")
+    design = linear_design(df, numeric, categorical, scale)
+    weights = ["weight"] if class_weight == "balanced" else []
+    frame = encode.balanced_weights(df, target) if weights else df
+    narrow = frame.select(*[c(n) for n in dict.fromkeys([*design.columns, target, *weights])])
+    beta, before, last = np.zeros(design.size), None, np.inf
+    with reused(narrow) as rows:
+        for _ in range(max_iter):
+            stats = gram(rows, design, target, weights, working=logistic_working, offset=batch_score(design, beta), spread=False)[0]
+            lam = 0.0 if penalty in (None, "none") else 1.0 / (C * stats.rows)
+            cost = stats.loss / stats.rows + lam * (mix * np.abs(beta[1:]).sum() + (1 - mix) / 2 * beta[1:] @ beta[1:])
+            if before is not None and cost > last + 1e-12:
+                beta = (beta + before) / 2
+                if np.max(np.abs(beta - before), initial=0.0) < 1e-10:
+                    break
+                continue
+            if last - cost <= tol * max(abs(cost), 1e-12):
+                break
+            last, before = cost, beta
+            g, b, means, centre = centred(stats)
+            # the quadratic is per weight of the iteration, the penalty per row
+            slopes = coordinate_descent(g, b, stats.rows, lam, mix, start=beta[1:])
+            beta = np.r_[centre - slopes @ means, slopes]
+    return _additive(design, beta, "classification", numeric, categorical, C=C, penalty=penalty)
 
 
 def raw_linear(coefs: dict[str, float], intercept: float = 0.0) -> Column:

@@ -13,7 +13,7 @@ from ..operators.clean import column_ranges, feature_values
 from ..operators.encode import sorted_levels
 from .additive import AdditiveModel, check_task
 from .design import Constant, Design, Levels, Linear, Spline
-from .gram import Gram, batch_score, gram, logistic_working
+from .gram import Gram, batch_score, gram, logistic_working, reused
 
 LAMBDAS = tuple(np.logspace(-3, 3, 15))
 NULL_RIDGE = 1e-6
@@ -122,14 +122,15 @@ def _fit(df, target, design, numeric, categorical, task, lambdas, order, gamma,
         passes = 1
     else:
         beta, last = np.zeros(design.size), np.inf
-        for passes in range(1, max_iter + 1):
-            stats = gram(df, design, target, working=logistic_working, offset=batch_score(design, beta),
-                         offset_columns=design.columns)[0]
-            # the penalty is chosen again on every weighted pass, so the search costs no extra passes
-            best, path = search_lambda(stats, penalty, lambdas, ridge, gamma)
-            if abs(last - stats.loss) <= tol * (abs(last) if np.isfinite(last) else 1.0) and passes > 2:
-                break
-            last, beta = stats.loss, best[1]
+        narrow = df.select(*[c(n) for n in dict.fromkeys([*design.columns, target])])
+        with reused(narrow) as rows:
+            for passes in range(1, max_iter + 1):
+                stats = gram(rows, design, target, working=logistic_working, offset=batch_score(design, beta), spread=False)[0]
+                # the penalty is chosen again on every weighted pass, so the search costs no extra passes
+                best, path = search_lambda(stats, penalty, lambdas, ridge, gamma)
+                if abs(last - stats.loss) <= tol * (abs(last) if np.isfinite(last) else 1.0) and passes > 2:
+                    break
+                last, beta = stats.loss, best[1]
     lam, beta, edf, gcv, inverse = best
     residual = max(stats.squared_error(beta), 0.0) / max(stats.rows - edf, 1.0)
     scale = residual if task == "regression" else 1.0

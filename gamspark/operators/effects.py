@@ -111,21 +111,22 @@ def effects_from_predictor(values: DataFrame, numeric: Sequence[str], scorer: Ca
     return offset_row(spark, origin).select(COLUMNS).unionByName(table.select(COLUMNS))
 
 
-def _feature_means(effects: DataFrame) -> DataFrame:
-    return effects.where(F.col("feat_idx") >= 0).groupBy("feat_name").agg(
+def _feature_means(effects: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return effects.where(F.col("feat_idx") >= 0).groupBy(*by, "feat_name").agg(
         (F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("__mu")
     )
 
 
-def center_effects(effects: DataFrame) -> DataFrame:
+def center_effects(effects: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Every feature gets count-weighted mean 0; the offset takes the sum of the removed means.
 
     The means are one aggregate (a row per feature), so a feature with very many values is never
-    gathered in one window partition.
+    gathered in one window partition. ``by`` tells several models in one table apart.
     """
-    means = _feature_means(effects)
-    shift = means.unionByName(means.agg(F.lit(OFFSET).alias("feat_name"), (-F.sum("__mu")).alias("__mu")))
-    joined = effects.join(shift, "feat_name", "left")
+    by = list(by)
+    means = _feature_means(effects, by)
+    lift = means.groupBy(*by).agg((-F.sum("__mu")).alias("__mu")).withColumn("feat_name", F.lit(OFFSET))
+    joined = effects.join(means.unionByName(lift), [*by, "feat_name"], "left")
     return joined.withColumn("y", F.col("y") - F.coalesce("__mu", F.lit(0.0))).select(effects.columns)
 
 
