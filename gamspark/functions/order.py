@@ -81,22 +81,14 @@ def value_prefix(
 ) -> DataFrame:
     """Per (group, value): the measures and ``<measure>_below``, their sum over smaller values.
 
-    Measures must be sums or counts. NULL keys are left out. With groups the cut points are
-    sketched per group and joined on the group, so that one hot group is still spread.
+    Measures must be sums or counts. NULL keys are left out. The cut points are quantiles over all
+    rows, so that a value range holds about 1/buckets of them whatever group they belong to: one hot
+    group is spread over all ranges, and a group on another scale still has bounded ranges.
     """
     by = list(by)
     source = df.where(c(key).isNotNull())
     totals = source.groupBy(*[c(b) for b in by], c(key)).agg(*[m.alias(n) for n, m in measures.items()])
-    if by:
-        probs = [i / buckets for i in range(1, buckets)]
-        cuts = source.groupBy(*[c(b) for b in by]).agg(
-            F.percentile_approx(c(key).cast("double"), probs, 10000).alias("__cuts")
-        )
-        totals = totals.join(cuts, by).withColumn(
-            "__vb", F.size(F.filter("__cuts", lambda q: q <= c(key).cast("double")))
-        ).drop("__cuts")
-    else:
-        totals = value_buckets(totals, key, source, buckets)
+    totals = value_buckets(totals, key, source, buckets)
     group = [c(b) for b in by] or [F.lit(0)]
     earlier = Window.partitionBy(*group).orderBy("__vb").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.groupBy(*[c(b) for b in by], "__vb").agg(*[F.sum(n).alias(f"__s_{n}") for n in measures])

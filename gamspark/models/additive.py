@@ -14,7 +14,7 @@ from ..functions.scalars import sigmoid
 from ..operators import effects as fx
 from ..operators.metrics import raw_logloss
 from .design import Constant, Design, HiddenPair, PairBins
-from .gram import arrow_score, score_column
+from .gram import arrow_score, score_column, spread_small
 
 TASKS = ("regression", "classification")
 
@@ -46,7 +46,7 @@ class Fitted:
         """Mean squared error or log loss."""
         y, raw = F.col(f"`{target}`").cast("double"), self.raw()
         expr = (y - raw) * (y - raw) if self.task == "regression" else raw_logloss(y, raw)
-        return float(df.agg(F.avg(expr)).first()[0])
+        return float(spread_small(df).agg(F.avg(expr)).first()[0])
 
 
 def term_column(terms: dict[str, tuple[Design, np.ndarray]], numeric: set[str]) -> Column:
@@ -59,7 +59,7 @@ def term_column(terms: dict[str, tuple[Design, np.ndarray]], numeric: set[str])
             rows = pc.equal(names, name).to_numpy(zero_copy_only=False).astype(bool)
             if rows.any():
                 x = batch.column("x_num" if name in numeric else "x_cat").filter(pa.array(rows))
-                out[rows] = design.build(pa.RecordBatch.from_arrays([x], names=[name])) @ beta
+                out[rows] = design.score(pa.RecordBatch.from_arrays([x], names=[name]), beta)
         return out
 
     return arrow_score(run, ["feat_name", "x_num", "x_cat"])

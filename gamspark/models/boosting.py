@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import c, hash_uniform, poisson_weight
+from ..functions.scalars import c, fast_uniform, poisson_weight
 from ..operators.encode import sorted_levels
 from .additive import AdditiveModel, check_task
 from .design import Bins, Constant, Design, Levels, PairBins
@@ -145,9 +145,9 @@ def _with_bags(df: DataFrame, key: Sequence[str], outer: int, inner: int, seed:
     """Weight columns: per outer bag its training rows (times inner Poisson weights) and its validation rows."""
     cols, train, val = {}, [], []
     for b in range(outer):
-        cols[f"__v{b}"] = (hash_uniform(f"{seed}v{b}", *[c(k) for k in key]) < VALIDATION_SHARE).cast("int")
+        cols[f"__v{b}"] = (fast_uniform(f"{seed}v{b}", *[c(k) for k in key]) < VALIDATION_SHARE).cast("int")
         for i in range(inner):
-            cols[f"__p{b}_{i}"] = hash_uniform(f"{seed}p{b}_{i}", *[c(k) for k in key])
+            cols[f"__p{b}_{i}"] = fast_uniform(f"{seed}p{b}_{i}", *[c(k) for k in key])
     drawn = df.withColumns(cols)
     weights = {}
     for b in range(outer):
@@ -166,9 +166,9 @@ def _boost_stage(df, target, design, key, task, base, base_columns, outer, inner
     Log loss: each pass linearises the loss at the score so far and boosts the correction on its Gram.
     """
     used = dict.fromkeys([*key, *design.columns, *base_columns, target])
-    drawn, train, val = _with_bags(df.select(*[c(n) for n in used]), key, outer, inner, seed)
-    with reused(drawn) as rows:
-        return _boost_bags(rows, target, design, task, base, base_columns, train, val, rate, rounds, leaves, patience, passes)
+    with reused(df.select(*[c(n) for n in used])) as rows:
+        drawn, train, val = _with_bags(rows, key, outer, inner, seed)
+        return _boost_bags(drawn, target, design, task, base, base_columns, train, val, rate, rounds, leaves, patience, passes)
 
 
 def _boost_bags(drawn, target, design, task, base, base_columns, train, val, rate, rounds, leaves, patience, passes):
@@ -188,7 +188,7 @@ def _boost_bags(drawn, target, design, task, base, base_columns, train, val, rat
             for _ in range(passes):
 
                 def offset(batch, f=f):
-                    score = design.build(batch) @ f
+                    score = design.score(batch, f)
                     return score if base is None else score + base(batch)
 
                 stats = gram(drawn, design, target, [*names_b, val_b], working=logistic_step, offset=offset,

@@ -32,6 +32,9 @@ class Constant:
     def size(self):
         return 1
 
+    def codes(self, batch):
+        return np.zeros(batch.num_rows, dtype=np.int64)
+
     def build(self, batch):
         return np.ones((batch.num_rows, 1))
 
@@ -71,10 +74,14 @@ class Levels:
     def size(self):
         return len(self.levels)
 
+    def codes(self, batch):
+        """Level number, -1 for an unknown level."""
+        at = pc.index_in(batch.column(self.name).cast(pa.string()), value_set=pa.array(self.levels, pa.string()))
+        return at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
     def build(self, batch):
         out = np.zeros((batch.num_rows, self.size))
-        at = pc.index_in(batch.column(self.name).cast(pa.string()), value_set=pa.array(self.levels, pa.string()))
-        at = at.fill_null(-1).to_numpy(zero_copy_only=False)
+        at = self.codes(batch)
         rows = np.flatnonzero(at >= 0)
         out[rows, at[rows]] = 1.0
         return out
@@ -123,9 +130,12 @@ class PairBins:
     def size(self):
         return self.first.size * self.second.size
 
+    def codes(self, batch):
+        return self.first.codes(batch) * self.second.size + self.second.codes(batch)
+
     def build(self, batch):
         out = np.zeros((batch.num_rows, self.size))
-        out[np.arange(batch.num_rows), self.first.codes(batch) * self.second.size + self.second.codes(batch)] = 1.0
+        out[np.arange(batch.num_rows), self.codes(batch)] = 1.0
         return out
 
 
@@ -173,10 +183,11 @@ class Spline:
         return diff.T @ diff
 
 
-ACTIVATIONS = {
-    "elu": lambda z: np.where(z > 0, z, np.expm1(np.minimum(z, 0.0))),
-    "relu": lambda z: np.maximum(z, 0.0),
-}
+def _elu(z: np.ndarray) -> np.ndarray:
+    return np.expm1(z, out=z, where=z < 0)
+
+
+ACTIVATIONS = {"elu": _elu, "relu": lambda z: np.maximum(z, 0.0, out=z)}
 
 
 @dataclass(frozen=True)
@@ -246,9 +257,24 @@ class Design:
             at += b.size
         return out
 
+    @property
+    def indicators(self) -> bool:
+        """Every block has at most one 1 per row."""
+        return all(hasattr(b, "codes") for b in self.blocks)
+
     def build(self, batch: pa.RecordBatch) -> np.ndarray:
         return np.hstack([b.build(batch) for b in self.blocks])
 
+    def score(self, batch: pa.RecordBatch, beta: np.ndarray) -> np.ndarray:
+        """build(batch) @ beta; indicator blocks are looked up instead of multiplied."""
+        total = np.zeros(batch.num_rows)
+        for block, sl in zip(self.blocks, self.slices):
+            if hasattr(block, "codes"):
+                total += np.r_[beta[sl], 0.0][block.codes(batch)]  # code -1 reads the appended 0
+            else:
+                total += block.build(batch) @ beta[sl]
+        return total
+
     def check(self, limit: int = MAX_COLUMNS) -> None:
         if self.size > limit:
             raise ValueError(f"{self.size} basis columns; at most {limit} fit the driver's dense solve: use fewer bins or units")

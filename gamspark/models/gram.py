@@ -59,17 +59,54 @@ class Gram:
 Working = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
+def _dense_products(design: Design):
+    """(B'WB, B'Wz) by matrix products."""
+
+    def products(basis, w, z):
+        weighted = basis * w[:, None]
+        return weighted.T @ basis, weighted.T @ z
+
+    return design.build, (lambda basis, pick: basis[pick]), products
+
+
+def _count_products(design: Design):
+    """The same for indicator blocks: joint weighted counts of the codes of two blocks, which cost
+    rows x blocks^2 instead of rows x columns^2."""
+    sizes, slices = [b.size for b in design.blocks], design.slices
+
+    def build(batch):
+        return [b.codes(batch) for b in design.blocks]
+
+    def products(codes, w, z):
+        g, rhs, wz = np.zeros((design.size, design.size)), np.zeros(design.size), w * z
+        for i, a in enumerate(codes):
+            known = a >= 0
+            ai, wi = (a, w) if known.all() else (a[known], w[known])
+            rhs[slices[i]] = np.bincount(ai, wz if ai is a else wz[known], sizes[i])
+            np.fill_diagonal(g[slices[i], slices[i]], np.bincount(ai, wi, sizes[i]))
+            for j in range(i + 1, len(codes)):
+                both = known & (codes[j] >= 0)
+                cell = a * sizes[j] + codes[j]
+                cell, wc = (cell, w) if both.all() else (cell[both], w[both])
+                joint = np.bincount(cell, wc, sizes[i] * sizes[j]).reshape(sizes[i], sizes[j])
+                g[slices[i], slices[j]], g[slices[j], slices[i]] = joint, joint.T
+        return g, rhs
+
+    return build, (lambda codes, pick: [a[pick] for a in codes]), products
+
+
 def _partial_sums(design: Design, names: dict, working, offset, n_weights: int):
     size = design.size
     width = size * size + size + 4
+    build, take, products = _count_products(design) if design.indicators else _dense_products(design)
+    chunk = 1 << 20 if design.indicators else max(256, CHUNK_VALUES // max(size, 1))
 
     def run(batches: Iterator[pa.RecordBatch]):
         sums: dict[int, np.ndarray] = {}
-        chunk = max(256, CHUNK_VALUES // max(size, 1))
         for whole in batches:
             for start in range(0, whole.num_rows, chunk):
                 batch = whole.slice(start, chunk)
-                basis = design.build(batch)
+                basis = build(batch)
                 y = numbers(batch, "__y")
                 base = offset(batch) if offset is not None else None
                 w0, z, loss = np.ones(len(y)), y, np.zeros(len(y))
@@ -83,14 +120,16 @@ def _partial_sums(design: Design, names: dict, working, offset, n_weights: int):
                     case = numbers(batch, f"__w{k}") if n_weights else np.ones(len(y))
                     keys = np.unique(groups) if groups is not None else (k,)
                     for key in keys:
-                        pick = slice(None) if groups is None else groups == key
-                        bb, cw, zz = basis[pick], case[pick], z[pick]
-                        w = w0[pick] * cw
-                        weighted = bb * w[:, None]
+                        pick = groups == key if groups is not None else case != 0
+                        whole_batch = bool(pick.all())
+                        bb = basis if whole_batch else take(basis, pick)
+                        cw, zz, w1, ll = (case, z, w0, loss) if whole_batch else (case[pick], z[pick], w0[pick], loss[pick])
+                        w = w1 * cw
+                        g, rhs = products(bb, w, zz)
                         acc = sums.setdefault(int(key), np.zeros(width))
-                        acc[: size * size] += (weighted.T @ bb).ravel()
-                        acc[size * size : -4] += weighted.T @ zz
-                        acc[-4:] += (w @ (zz * zz), w.sum(), cw.sum(), loss[pick] @ cw)
+                        acc[: size * size] += g.ravel()
+                        acc[size * size : -4] += rhs
+                        acc[-4:] += (w @ (zz * zz), w.sum(), cw.sum(), ll @ cw)
         part = TaskContext.get().partitionId()
         for key, acc in sums.items():
             starts = range(0, width, BLOCK)
@@ -182,7 +221,7 @@ def gram(
 
 def batch_score(design: Design, beta: np.ndarray) -> Callable[[pa.RecordBatch], np.ndarray]:
     """Score of a fitted design for use as ``offset``."""
-    return lambda batch: design.build(batch) @ beta
+    return lambda batch: design.score(batch, beta)
 
 
 def logistic_working(y: np.ndarray, score: np.ndarray):

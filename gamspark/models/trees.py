@@ -20,6 +20,7 @@ from ..functions.scalars import c, logit
 from ..operators import effects as fx
 from ..operators import encode
 from .additive import Fitted, check_task
+from .gram import spread_small
 
 MAX_DEPTH = 30
 STUMP = re.compile(
@@ -66,7 +67,7 @@ def _fit(estimator, df, target, numeric, categorical, task, class_weight=None, e
     if class_weight == "balanced":
         estimator = estimator.setWeightCol("__w")
     keep = ["__x", "__y", *(["__w"] if class_weight == "balanced" else []), *extra]
-    model = estimator.setFeaturesCol("__x").setLabelCol("__y").fit(rows.select(*keep))
+    model = estimator.setFeaturesCol("__x").setLabelCol("__y").fit(spread_small(rows.select(*keep)))
     return TreeModel(model, encoder, task, info=info)
 
 
