@@ -165,13 +165,7 @@ def _boost_stage(df, target, design, key, task, base, base_columns, outer, inner
 
     Log loss: each pass linearises the loss at the score so far and boosts the correction on its Gram.
     """
-    used = dict.fromkeys([*key, *design.columns, *base_columns, target])
-    with reused(df.select(*[c(n) for n in used])) as rows:
-        drawn, train, val = _with_bags(rows, key, outer, inner, seed)
-        return _boost_bags(drawn, target, design, task, base, base_columns, train, val, rate, rounds, leaves, patience, passes)
-
-
-def _boost_bags(drawn, target, design, task, base, base_columns, train, val, rate, rounds, leaves, patience, passes):
+    drawn, train, val = _with_bags(df, key, outer, inner, seed)
     fits, paths = [], []
     if task == "regression":
         names = [n for group in train for n in group] + val
@@ -232,8 +226,13 @@ def fit_binned_boosting(
     """
     check_task(task)
     key = list(key) or [*numeric, *categorical]
-    design = binned_design(df, numeric, categorical, max_bins)
     options = (outer_bags, inner_bags, seed, learning_rate, rounds, max_leaves, early_stopping, passes)
+    with reused(df.select(*[c(n) for n in dict.fromkeys([*key, *numeric, *categorical, target])])) as rows:
+        return _fit_stages(rows, target, list(numeric), list(categorical), task, key, max_bins, interactions, options)
+
+
+def _fit_stages(df, target, numeric, categorical, task, key, max_bins, interactions, options) -> AdditiveModel:
+    design = binned_design(df, numeric, categorical, max_bins)
     beta, paths, counts = _boost_stage(df, target, design, key, task, None, (), *options)
     beta = _centre(design, beta, counts)
     model = AdditiveModel(design, beta, task, tuple(numeric), tuple(categorical), info={"paths": paths})
