@@ -68,8 +68,8 @@ def value_buckets(df: DataFrame, key: str, source: DataFrame, buckets: int, name
     if not cuts:
         return df.withColumn(name, F.lit(0.0))
     splits = [-math.inf, *cuts, math.inf]
-    tmp = df.withColumn("__key", c(key).cast("double"))
-    return Bucketizer(splits=splits, inputCol="__key", outputCol=name).transform(tmp).drop("__key")
+    tmp = df.withColumn("__bucket_key", c(key).cast("double"))
+    return Bucketizer(splits=splits, inputCol="__bucket_key", outputCol=name).transform(tmp).drop("__bucket_key")
 
 
 def value_prefix(

@@ -27,6 +27,7 @@ SALTS = 32
 CHUNK_VALUES = 2_000_000
 OUT_SCHEMA = "part int, grp int, block int, data array<double>"
 SMALL_BYTES = 1 << 30
+DRIVER_VALUES = 40_000_000
 
 
 @dataclass
@@ -191,6 +192,13 @@ def gram(
     design.check()
     if group is not None and weights:
         raise ValueError("give groups or weight columns, not both")
+    at_once = max(1, DRIVER_VALUES // (design.size * design.size))
+    if len(weights) > at_once:  # more matrices than the driver should hold in flight: several passes
+        out = {}
+        for start in range(0, len(weights), at_once):
+            part = gram(df, design, y, weights[start : start + at_once], None, working, offset, offset_columns, spread)
+            out.update({start + k: v for k, v in part.items()})
+        return out
     target = c(y) if isinstance(y, str) else y
     columns = list(dict.fromkeys([*design.columns, *offset_columns]))
     narrow = df.select(

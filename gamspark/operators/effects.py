@@ -305,9 +305,15 @@ def merge_onehot_effects(effects: DataFrame, mapping: DataFrame) -> DataFrame:
         F.col("__src").alias("feat_name"), "feat_idx", F.lit(None).cast("double").alias("x_num"),
         F.col("__level").alias("x_cat"), (F.col("v") - F.col("__mu")).alias("y"), "y_std", "n",
     )
-    lift = totals.agg(F.lit(OFFSET).alias("feat_name"), F.sum(F.col("__mu") + F.col("__zero")).alias("__lift"))
-    rest = rest.join(lift, "feat_name", "left").withColumn("y", F.col("y") + F.coalesce("__lift", F.lit(0.0)))
-    return rest.select(COLUMNS).unionByName(merged.select(COLUMNS))
+    lift = totals.agg(F.sum(F.col("__mu") + F.col("__zero")).alias("y"))
+    offset = (
+        rest.where(is_offset()).select("y", "y_std").unionByName(lift.withColumn("y_std", F.lit(None).cast("double")))
+        .agg(F.sum("y").alias("y"), F.max("y_std").alias("y_std"))
+        .withColumns({"feat_name": F.lit(OFFSET), "feat_idx": F.lit(-1), "x_num": F.lit(None).cast("double"),
+                      "x_cat": F.lit(None).cast("string"), "n": F.lit(None).cast("bigint")})
+    )
+    others = rest.where(~is_offset())
+    return offset.select(COLUMNS).unionByName(others.select(COLUMNS)).unionByName(merged.select(COLUMNS))
 
 
 def add_unseen_levels(effects: DataFrame, lookup: DataFrame) -> DataFrame:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.joins import lookup_join
+from ..functions.order import value_prefix
 from ..functions.scalars import c
+from ..session import cut_lineage
 
 # Metrics where more is better, and the report row behind each averaging mode.
 SCORE_METRICS = ("precision", "recall", "f1-score", "ROC_AUC")
@@ -56,12 +59,17 @@ def reorder(table: DataFrame, rows: Sequence[str], cols: Sequence[str], index: s
 
 
 def rank_models(rows: DataFrame, metric: str | None = None, value: str = "mean", higher_is_better: bool | None = None) -> DataFrame:
-    """Adds the average rank per dataset: 1 is best, ties share the mean of their ranks."""
+    """Adds the average rank per dataset: 1 is best, ties share the mean of their ranks.
+
+    The rank of a value is the number of smaller values plus half of its own copies, so it comes from
+    bucketed prefix counts and no dataset is sorted in one task. The table is written out first: it is
+    read twice, and both times the same means must come back.
+    """
     better = metric in SCORE_METRICS if higher_is_better is None else higher_is_better
-    order = c(value).desc() if better else c(value).asc()
-    ranked = rows.withColumn("__r", F.rank().over(Window.partitionBy("dataset").orderBy(order)))
-    ties = F.count(F.lit(1)).over(Window.partitionBy("dataset", "__r"))
-    return ranked.withColumn("rank", F.col("__r") + (ties - 1) / 2).drop("__r")
+    frozen = cut_lineage(rows.withColumn("__key", -c(value).cast("double") if better else c(value).cast("double")))
+    counts = value_prefix(frozen, "__key", {"__n": F.count(F.lit(1))}, by=["dataset"])
+    ranks = counts.select("dataset", "__key", (F.col("__n_below") + (F.col("__n") + 1) / 2).alias("rank"))
+    return lookup_join(frozen, ranks, ["dataset", "__key"]).drop("__key")
 
 
 def mean_rank(ranks: DataFrame, weights: DataFrame | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ def duck(sf):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, sf, duck, name):
-    problem = compare(QUERIES[name](spark, sf), duck, SQL[name])
+    problem = compare(QUERIES[name](spark, sf), duck, SQL[name], rel=1e-9)
     assert problem in ("", "no rows") if name == "filter_local" else problem == ""
 
 
