@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import effects as fx
-from ..operators.ensemble import bagged_probability_of
+from ..operators.ensemble import bagged_probability_of, fuse_columns
 from ..functions.scalars import c, logit, sigmoid
-from ..operators.split import bag_weights
+from ..operators.split import bag_weights, random_subspace
 from ..session import cut_lineage
 from .additive import AdditiveModel, Fitted
 from .gram import gram
 from .linear import _additive, centred, linear_design, ridge_solve
+from .spline import fit_spline_gam
 
 
 @dataclass
@@ -67,3 +68,48 @@ def fit_bagged(df: DataFrame, key: Sequence[str], fit: Callable[[DataFrame], Add
         rows = drawn.where(F.col(f"bag_{b}") > 0).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col(f"bag_{b}"))))
         members.append(fit(rows.select(*[c(n) for n in df.columns])))
     return BaggedModel(members, members[0].task)
+
+
+FUSIONS = {"avgagg": "avgagg", "majvote": "majvote", "w.avgagg": "weighted_avgagg", "w.majvote": "weighted_majvote"}
+
+
+@dataclass
+class SubspaceEnsemble(Fitted):
+    """Members on random feature subsets, fused by mean or vote, plain or weighted by training accuracy."""
+
+    members: list[AdditiveModel]
+    weights: list[float]
+    fusion: str
+    task: str = "classification"
+    threshold: float = 0.0
+
+    def probability(self) -> Column:
+        return fuse_columns([sigmoid(m.raw()) for m in self.members], self.weights)[FUSIONS[self.fusion]]
+
+    def raw(self) -> Column:
+        return logit(self.probability())
+
+
+def fit_subspace_ensemble(df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str] = (),
+                          members: int = 10, subspace: int = 2, bagging: bool = True, subspaces: bool = True,
+                          fusion: str = "avgagg", n_splines: int = 6, lam: float = 1.0, key: Sequence[str] = (),
+                          seed: int = 0) -> SubspaceEnsemble:
+    """Spline members for 0/1 labels on Poisson bags and hash-ranked feature subsets."""
+    if fusion not in FUSIONS:
+        raise ValueError(f"fusion must be one of {sorted(FUSIONS)}")
+    features = [*numeric, *categorical]
+    rows = bag_weights(df, list(key) or features, members, 1.0, seed) if bagging else df
+    chosen = {b: features for b in range(members)}
+    if subspaces:
+        table = df.sparkSession.createDataFrame([(n,) for n in features], "feat_name string")
+        picked = random_subspace(table, members, subspace, seed).collect()
+        chosen = {b: [n for n in features if (b, n) in {tuple(r) for r in picked}] for b in range(members)}
+    fits = []
+    for b in range(members):
+        mine = chosen[b]
+        fits.append(
+            fit_spline_gam(rows, target, [n for n in numeric if n in mine], [n for n in categorical if n in mine], "classification",
+                           n_splines=n_splines, lam=lam, max_iter=8, weight=f"bag_{b}" if bagging else None)
+        )
+    hits = df.agg(*[F.avg(((m.raw() >= 0) == (c(target) == 1)).cast("double")) for m in fits]).first()
+    return SubspaceEnsemble(fits, [float(h) for h in hits], fusion)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import c
@@ -114,18 +114,19 @@ def search_lambda(stats: Gram, penalty: np.ndarray, lambdas: Sequence[float], ri
     return best, path
 
 
-def _fit(df, target, design, numeric, categorical, task, lambdas, order, gamma, max_iter, tol):
+def _fit(df, target, design, numeric, categorical, task, lambdas, order, gamma, max_iter, tol, weight=None):
+    weights = [weight] if weight else []
     penalty, ridge = penalty_matrix(design, order), _null_ridge(design)
     if check_task(task) == "regression":
-        stats = gram(df, design, target)[0]
+        stats = gram(df, design, target, weights)[0]
         best, path = search_lambda(stats, penalty, lambdas, ridge, gamma)
         passes = 1
     else:
         beta, last = np.zeros(design.size), np.inf
-        narrow = df.select(*[c(n) for n in dict.fromkeys([*design.columns, target])])
+        narrow = df.select(*[c(n) for n in dict.fromkeys([*design.columns, target, *weights])])
         with reused(narrow) as rows:
             for passes in range(1, max_iter + 1):
-                stats = gram(rows, design, target, working=logistic_working, offset=batch_score(design, beta), spread=False)[0]
+                stats = gram(rows, design, target, weights, working=logistic_working, offset=batch_score(design, beta), spread=False)[0]
                 # the penalty is chosen again on every weighted pass, so the search costs no extra passes
                 best, path = search_lambda(stats, penalty, lambdas, ridge, gamma)
                 if abs(last - stats.loss) <= tol * (abs(last) if np.isfinite(last) else 1.0) and passes > 2:
@@ -140,10 +141,48 @@ def _fit(df, target, design, numeric, categorical, task, lambdas, order, gamma,
 
 def fit_spline_gam(df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str] = (),
                    task: str = "regression", n_splines: int = 20, lam: float | None = None,
-                   lambdas: Sequence[float] = LAMBDAS, order: int = 2, max_iter: int = 25, tol: float = 1e-5) -> AdditiveModel:
+                   lambdas: Sequence[float] = LAMBDAS, order: int = 2, max_iter: int = 25, tol: float = 1e-5,
+                   weight: str | None = None) -> AdditiveModel:
     """P-spline model. ``lam`` fixes the penalty, otherwise the grid is searched by GCV."""
     design = spline_design(df, numeric, categorical, n_splines)
-    return _fit(df, target, design, numeric, categorical, task, [lam] if lam is not None else lambdas, order, 1.0, max_iter, tol)
+    grid = [lam] if lam is not None else lambdas
+    return _fit(df, target, design, numeric, categorical, task, grid, order, 1.0, max_iter, tol, weight)
+
+
+def fit_by_validation(df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str], val: Column,
+                      task: str = "regression", n_splines: int = 20, lambdas: Sequence[float] = LAMBDAS,
+                      order: int = 2) -> AdditiveModel:
+    """Penalty by the loss on the rows marked ``val``, first minimum from the largest penalty down, then a
+    fit on all rows.
+
+    Squared loss: the cross-products of both parts come from one pass, and so do the losses of the whole
+    path and the final fit. Log loss fits every penalty on the training part.
+    """
+    design = spline_design(df, numeric, categorical, n_splines)
+    path, ordered = [], sorted(lambdas, reverse=True)
+    if check_task(task) == "classification":
+        for lam in ordered:
+            model = _fit(df.where(~val), target, design, numeric, categorical, task, [lam], order, 1.0, 25, 1e-5)
+            path.append((float(lam), model.loss(df.where(val), target)))
+        best = min(path, key=lambda p: p[1])[0]
+        out = _fit(df, target, design, numeric, categorical, task, [best], order, 1.0, 25, 1e-5)
+    else:
+        penalty, ridge = penalty_matrix(design, order), _null_ridge(design)
+        parts = gram(df, design, target, group=val.cast("int"))
+        for lam in ordered:
+            try:
+                beta = solve_penalised(parts[0], penalty, lam, ridge)[0]
+            except np.linalg.LinAlgError:
+                continue
+            path.append((float(lam), parts[1].squared_error(beta) / parts[1].weight))
+        best = min(path, key=lambda p: p[1])[0]
+        whole = parts[0] + parts[1]
+        beta, edf, gcv, inverse = solve_penalised(whole, penalty, best, ridge)
+        scale = max(whole.squared_error(beta), 0.0) / max(whole.rows - edf, 1.0)
+        info = {"lam": best, "edf": edf, "gcv": gcv, "covariance": inverse * scale}
+        out = AdditiveModel(design, beta, task, tuple(numeric), tuple(categorical), info=info)
+    out.info["validation_path"] = path
+    return out
 
 
 def fit_regression_spline(df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str] = (),

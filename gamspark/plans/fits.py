@@ -306,6 +306,20 @@ def bagged_gam(spark, folder):
     return fx.bag_importance(model.member_effects(frame))
 
 
+@query("subspace_ensemble")
+def subspace_ensemble(spark, folder):
+    frame = classes(spark, folder)
+    model = bagging.fit_subspace_ensemble(frame, "label", ["price", "l_discount", "l_tax"], ["l_returnflag"], members=3, key=KEY,
+                                          fusion="w.avgagg")
+    return _losses(spark, model, frame, "label")
+
+
+@query("validation_path")
+def validation_path(spark, folder):
+    model = spline.fit_by_validation(classes(spark, folder), "price", ["l_discount", "label"], ["l_returnflag"], _holdout(), n_splines=8)
+    return spark.createDataFrame(model.info["validation_path"], "lam double, loss double")
+
+
 @query("nested_evaluation")
 def nested_evaluation(spark, folder):
     """Two models with two configurations each over two folds, as fold means."""

@@ -307,3 +307,24 @@ def test_nested_evaluation(spark, df):
     assert len(best) == 2 and all(r["config_id"] == 0 for r in best)
     table = evaluate.report_tables(spark, reports, "RMSE", ["ridge", "spline_gam"]).first()
     assert table["spline_gam"] < table["ridge"] < 1.0
+
+
+def test_validation_path(df):
+    val = F.col("id") % 4 == 0
+    model = spline.fit_by_validation(df, "y", ["a", "b"], ["g"], val, n_splines=10)
+    losses = dict(model.info["validation_path"])
+    assert losses[model.info["lam"]] == min(losses.values())
+    lone = spline.fit_spline_gam(df.where(~val), "y", ["a", "b"], ["g"], n_splines=10, lam=model.info["lam"])
+    assert abs(lone.loss(df.where(val), "y") - min(losses.values())) < 0.01
+    both = spline.fit_spline_gam(df, "y", ["a", "b"], ["g"], n_splines=10, lam=model.info["lam"])
+    assert np.allclose(both.beta, model.beta, atol=1e-6)
+
+
+@pytest.mark.parametrize("fusion", ["avgagg", "w.majvote"])
+def test_subspace_ensemble(df, fusion):
+    model = bagging.fit_subspace_ensemble(df, "label", ["a", "b"], ["g"], members=3, key=["id"], fusion=fusion)
+    assert all(len(m.numeric) + len(m.categorical) == 2 for m in model.members)
+    right = model.predict(df).agg(F.avg((F.col("prediction") == F.col("label")).cast("int"))).first()[0]
+    assert right > 0.7
+    with pytest.raises(ValueError):
+        bagging.fit_subspace_ensemble(df, "label", ["a"], fusion="best")
