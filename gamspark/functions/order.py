@@ -17,8 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scalars import c
-
-NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+from .small import reused
 
 
 def exact_rank(
@@ -118,6 +117,11 @@ def exact_quantiles(
     cols, probs = list(cols), list(probs)
     if not cols:
         return {}
+    with reused(df.select(*[c(n).cast("double").alias(n) for n in cols])) as rows:
+        return _select_ranks(rows, cols, probs, collect_limit, accuracy)
+
+
+def _select_ranks(df, cols, probs, collect_limit, accuracy) -> dict[str, list[float | None]]:
     eps = 4.0 / accuracy
     grid = [x for p in probs for x in (max(0.0, p - eps), min(1.0, p + eps))]
     aggs = []

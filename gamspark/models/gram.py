@@ -8,7 +8,6 @@ one partial result per task. What reaches the driver is one matrix of basis x ba
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,13 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import c
+from ..functions.small import is_small, reused, spread_small  # noqa: F401 - fits import them from here
 from .design import Design, numbers
 
 BLOCK = 8_192
 SALTS = 32
 CHUNK_VALUES = 2_000_000
 OUT_SCHEMA = "part int, grp int, block int, data array<double>"
-SMALL_BYTES = 1 << 30
 DRIVER_VALUES = 40_000_000
 
 
@@ -147,31 +146,6 @@ def _partial_sums(design: Design, names: dict, working, offset, n_weights: int):
     return run
 
 
-def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
-    """By the optimizer's size estimate, which costs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Small inputs that arrive in few splits are dealt out to all cores, because the pass is bound by
-    arithmetic. Beyond the limit the splits of the scan already outnumber the cores."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if is_small(df) else df
-
-
-@contextmanager
-def reused(df: DataFrame):
-    """A frame for several passes: small ones are dealt out and cached once; large ones are scanned again,
-    because a column-pruned scan costs no more than reading back a spilled cache."""
-    if not is_small(df):
-        yield df
-        return
-    rows = spread_small(df).persist()
-    try:
-        yield rows
-    finally:
-        rows.unpersist()
-
-
 def gram(
     df: DataFrame,
     design: Design,

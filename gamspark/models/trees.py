@@ -51,7 +51,7 @@ class TreeModel(Fitted):
         return scored.drop(*added, "__x", "rawPrediction")
 
     def loss(self, df: DataFrame, target: str) -> float:
-        y, out = c(target).cast("double"), self.predict(df)
+        y, out = c(target).cast("double"), self.predict(spread_small(df))
         if self.task == "regression":
             return float(out.agg(F.avg((y - F.col("raw")) * (y - F.col("raw")))).first()[0])
         p = F.least(F.greatest(F.col("probability"), F.lit(1e-15)), F.lit(1 - 1e-15))
