@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.joins import lookup_join
@@ -106,7 +106,6 @@ MODEL_GROUPS = {
     "NAM": ("Interpretable Models", "GAMs"),
     "GAMINET": ("Interpretable Models", "GAMs"),
     "EXNN": ("Interpretable Models", "GAMs"),
-    "IGANN": ("Interpretable Models", "GAMs"),
     "LR": ("Interpretable Models", "Traditional"),
     "ELASTICNET": ("Interpretable Models", "Traditional"),
     "DT": ("Interpretable Models", "Traditional"),
@@ -119,11 +118,11 @@ MODEL_GROUPS = {
 TASK_LABELS = {"regression": "REG", "classification": "CLS"}
 
 
-def table_labels(rows: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """Adds (task_label, model_kind, model_family) as label columns; unknown models keep empty labels."""
-    spark = spark or rows.sparkSession
-    labels = spark.createDataFrame(
-        [(m, kind, family) for m, (kind, family) in MODEL_GROUPS.items()],
+def table_labels(rows: DataFrame, groups: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """Adds (task_label, model_kind, model_family) as label columns. ``groups`` adds headings for further
+    models; a model without heading keeps empty labels."""
+    labels = rows.sparkSession.createDataFrame(
+        [(m, kind, family) for m, (kind, family) in {**MODEL_GROUPS, **(groups or {})}.items()],
         "model string, model_kind string, model_family string",
     )
     task = F.create_map(*[F.lit(x) for kv in TASK_LABELS.items() for x in kv])
