@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 import uuid
 from collections.abc import Callable
@@ -9,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -22,7 +23,7 @@ def query(name: str, sql: str | None = None):
     def register(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = fn
+        QUERIES[name] = shipped(fn)
         if sql is not None:
             SQL[name] = sql
         return fn
@@ -30,6 +31,17 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def shipped(fn):
+    """The query, run after the package was sent to the Python workers."""
+
+    @functools.wraps(fn)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship_package(spark)
+        return fn(spark, folder)
+
+    return run
+
+
 def load_all() -> None:
     for module in MODULES:
         importlib.import_module(f"{__package__}.{module}")
