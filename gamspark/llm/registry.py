@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.catalog import shipped
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 MODULES = ("mixing", "tokens")
@@ -14,7 +16,7 @@ MODULES = ("mixing", "tokens")
 
 def query(name: str, sql: str | None = None):
     def register(fn):
-        QUERIES[name] = fn
+        QUERIES[name] = shipped(fn)
         if sql is not None:
             SQL[name] = sql
         return fn
