@@ -23,13 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Texts, hash_ranges, pick, shared_folder, slices, small_batches, table
+from .common import SLICE_BYTES, Texts, hash_ranges, pick, shared_folder, slices, small_batches, table
 from .registry import query
 from .wavelet import WaveletMatrix
 
 END_ID = 0
-SHARD_TOKENS = 1 << 21
-CACHE_PIECES = 1 << 21
+SHARD_TOKENS = 1 << 20
+CACHE_PIECES = 1 << 20
 CHUNK_BYTES = 1 << 16
 SHARD_SCHEMA = (
     "part int, seq int, n_tokens long, doc_ids array<long>, lengths array<int>, planes binary, zeros array<long>, ranks binary"
@@ -70,7 +70,7 @@ class PieceEncoder:
 
     def clear(self) -> None:
         self.keys, self.slot_of = np.zeros(2 * CACHE_PIECES, np.uint64), np.zeros(2 * CACHE_PIECES, np.int32)
-        self.at, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+        self.at, self.length, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, self.dtype)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -96,8 +96,8 @@ class PieceEncoder:
         length = np.concatenate([count, np.array([len(x) for x in other], dtype=np.int64)])
         keys = np.concatenate([keys[plain], keys[~plain]])
         new = np.arange(len(self.at), len(self.at) + len(keys), dtype=np.int32)
-        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(length) - length])
-        self.length = np.concatenate([self.length, length])
+        self.at = np.concatenate([self.at, (len(self.ids) + np.cumsum(length) - length).astype(np.int32)])
+        self.length = np.concatenate([self.length, length.astype(np.int32)])
         self.ids = np.concatenate([self.ids, ids, *other])
         todo, step = np.arange(len(keys)), 0
         while len(todo):  # each takes the next free slot; of several for one slot, the first
@@ -143,17 +143,19 @@ class PieceEncoder:
         starts = self._cuts(data, offsets)
         ends = np.append(starts[1:], len(data))
         keys = hash_ranges(data, starts, ends) | np.uint64(1)
-        if len(self.at) > CACHE_PIECES // 2:
-            self.clear()
         place = self._find(keys)
         new = np.flatnonzero(place < 0)
         if len(new):
             distinct, first = np.unique(keys[new], return_index=True)
-            if len(self.at) + len(distinct) > CACHE_PIECES:  # one very long text may hold that many pieces
-                return self._encode_whole(texts)
+            if len(self.at) + len(distinct) > CACHE_PIECES:
+                self.clear()
+                distinct, first = np.unique(keys, return_index=True)
+                new = np.arange(len(keys))
+                if len(distinct) > CACHE_PIECES:  # one very long text may hold that many pieces
+                    return self._encode_whole(texts)
             self._learn(distinct, data, starts[new[first]], ends[new[first]])
             place[new] = self._find(keys[new])
-        length, at = self.length[place], self.at[place]
+        length, at = self.length[place].astype(np.int64), self.at[place]
         begin = np.cumsum(length) - length
         total = int(length.sum())
         ids = self.ids[np.repeat(at - begin, length) + np.arange(total)]
@@ -187,7 +189,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, shard_tokens: int =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _ENCODERS.get(tokenizer) or _ENCODERS.setdefault(tokenizer, PieceEncoder(tokenizer))
         part, seq, size, ids, lengths, doc_ids = TaskContext.get().partitionId(), 0, 0, [], [], []
-        for rows, texts in slices(batches):
+        for rows, texts in slices(batches, size=SLICE_BYTES // 2):
             got, length = encoder.encode(texts)
             ids.append(got)
             lengths.append(length.astype(np.int32))
@@ -252,8 +254,8 @@ def read_documents(shards: DataFrame) -> DataFrame:
 
 
 def one_by_one(spark: SparkSession) -> None:
-    """Shards are large rows: a few to a batch."""
-    small_batches(spark, 8)
+    """Shards are large rows: one to a batch."""
+    small_batches(spark, 1)
 
 
 def find_token(shards: DataFrame, token: int) -> DataFrame:
