@@ -11,7 +11,7 @@ from ..plans.catalog import shipped
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-MODULES = ("licences", "mixing", "pages", "tokens", "toxicity")
+MODULES = ("licences", "mixing", "pages", "repeats", "tokens", "toxicity")
 
 
 def query(name: str, sql: str | None = None):
