@@ -53,6 +53,14 @@ class Texts:
     def lower(self) -> Texts:
         return Texts(LOWER[self.data], self.offsets)
 
+    def fold(self) -> Texts:
+        """A-Z and the capitals of U+00C0 to U+00DE lower-cased."""
+        data = LOWER[self.data]
+        capital = np.zeros(len(data), dtype=bool)
+        capital[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        data[capital] += 0x20
+        return Texts(data, self.offsets)
+
     def text(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
