@@ -11,7 +11,7 @@ from ..plans.catalog import shipped
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-MODULES = ("decontaminate", "licences", "mixing", "neardup", "pages", "repeats", "tokens", "toxicity")
+MODULES = ("decontaminate", "fingerprints", "licences", "mixing", "neardup", "pages", "repeats", "tokens", "toxicity")
 
 
 def query(name: str, sql: str | None = None):
