@@ -138,16 +138,9 @@ def _runs(a: dict[str, np.ndarray], wanted: np.ndarray) -> Iterator[tuple[np.nda
         begin = end
 
 
-def _run_events(code: M.Code, a: dict[str, np.ndarray], symbol_of: np.ndarray, docs: np.ndarray, at: np.ndarray) -> tuple[M.Events, np.ndarray]:
+def _run_events(code: M.Code, a: dict[str, np.ndarray], symbol_of: np.ndarray, docs: np.ndarray, at: np.ndarray) -> M.Events:
     number = a["tokens"][at]
-    first = np.zeros(len(at), dtype=bool)
-    lengths = a["lengths"][docs]
-    first[np.cumsum(lengths) - lengths] = True
-    return M.events(code, symbol_of[number], a["words"][number], first), np.repeat(np.arange(len(docs)), lengths)
-
-
-def _turns(lengths: np.ndarray) -> np.ndarray:
-    return (np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)) // TURN_TOKENS
+    return M.events(code, symbol_of[number], a["words"][number], a["lengths"][docs].astype(np.int64), TURN_TOKENS)
 
 
 def _count_tables(batches: Iterator[pa.RecordBatch], code: M.Code) -> Iterator[pa.RecordBatch]:
@@ -157,7 +150,7 @@ def _count_tables(batches: Iterator[pa.RecordBatch], code: M.Code) -> Iterator[p
             a = _arrays(row)
             symbol_of = code.symbols(a["words"])
             for docs, at in _runs(a, np.flatnonzero(a["held"] == 0)):
-                M.count_into(tables, _run_events(code, a, symbol_of, docs, at)[0])
+                M.count_into(tables, _run_events(code, a, symbol_of, docs, at))
     for k, one in enumerate(tables):
         for s in range(0, len(one), SLICE_CELLS):
             cells = one[s : s + SLICE_CELLS]
@@ -174,6 +167,7 @@ def _add_cells(rows: pa.Table) -> pa.Table:
 
 def _learn_weights(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     code, tables = model.value
+    predictors = M.Predictors.build(tables, leave_out=True)
     weights = np.tile(M.START_WEIGHTS, (M.GATES, 1))
     size = 0
     for batch in batches:
@@ -181,9 +175,8 @@ def _learn_weights(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.Reco
             a = _arrays(row)
             symbol_of = code.symbols(a["words"])
             for docs, at in _runs(a, np.flatnonzero(a["held"] == 0)):
-                e, doc = _run_events(code, a, symbol_of, docs, at)
-                x, gate = M.inputs(code, tables, e, np.ones(len(e.bit), dtype=np.float32))
-                _, weights = M.mix(x, gate, e.bit, doc[e.token], _turns(a["lengths"][docs])[e.token], weights, TRAIN_RATE, shared=True)
+                e = _run_events(code, a, symbol_of, docs, at)
+                _, weights = M.mix(*predictors.inputs(e), e, len(docs), weights, TRAIN_RATE, shared=True)
                 size += len(e.bit)
     if size:
         yield pa.RecordBatch.from_pydict({"size": pa.array([size], pa.int64()), "weights": pa.array([(weights * size).ravel()], pa.list_(pa.float64()))})
@@ -191,6 +184,7 @@ def _learn_weights(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.Reco
 
 def _score(batches: Iterator[pa.RecordBatch], model, n: int, v: int, rest_n: int, rest_v: int, ranges: int) -> Iterator[pa.RecordBatch]:
     code, tables, weights = model.value
+    predictors = M.Predictors.build(tables, leave_out=False)
     for batch in batches:
         for row in batch.to_pylist():
             a = _arrays(row)
@@ -207,10 +201,9 @@ def _score(batches: Iterator[pa.RecordBatch], model, n: int, v: int, rest_n: int
             n_known = np.bincount(doc_of, weights=known[a["tokens"]] > 0, minlength=n_docs).astype(np.int64)
             score = np.bincount(doc_of, weights=leaf_of[a["tokens"]], minlength=n_docs)
             for docs, at in _runs(a, np.arange(n_docs)):
-                e, doc = _run_events(code, a, symbol_of, docs, at)
-                x, gate = M.inputs(code, tables, e)
-                cost, _ = M.mix(x, gate, e.bit, doc[e.token], _turns(a["lengths"][docs])[e.token], weights, DOCUMENT_RATE, shared=False)
-                score[docs] += np.bincount(doc[e.token], weights=cost, minlength=len(docs))
+                e = _run_events(code, a, symbol_of, docs, at)
+                cost, _ = M.mix(*predictors.inputs(e), e, len(docs), weights, DOCUMENT_RATE, shared=False)
+                score[docs] += np.bincount(e.doc, weights=cost, minlength=len(docs))
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": pa.array(a["doc_ids"], pa.int64(), mask=a["no_id"].astype(bool)), "held_out": pa.array(a["held"].astype(bool)),

@@ -13,6 +13,7 @@ from .common import mix64
 TABLE_BITS = (20, 20, 19)
 FREQUENT = 64
 INPUTS = 5
+BIAS = 0.3
 GATES = 16
 COUNT_LIMIT = 60_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -73,93 +74,125 @@ class Code:
 
 @dataclass
 class Events:
-    """The binary decisions of a run of documents, in order."""
+    """The binary decisions of a run of documents, turn by turn; ``index`` has the cell of each decision in each table."""
 
-    token: np.ndarray
-    node: np.ndarray
+    doc: np.ndarray
     bit: np.ndarray
+    prior: np.ndarray
     index: list[np.ndarray]
+    turns: np.ndarray  # bounds of the turns
 
 
-def events(code: Code, symbol: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> Events:
-    """``symbol``, ``hashes`` of the tokens; ``first``: whether a token begins a document."""
+def events(code: Code, symbol: np.ndarray, hashes: np.ndarray, lengths: np.ndarray, turn_tokens: int) -> Events:
+    """``symbol`` and ``hashes`` of the tokens of documents of these lengths. A turn has so many tokens of each document."""
+    n = len(hashes)
+    begins = np.cumsum(lengths) - lengths
+    begin = np.repeat(begins, lengths)
+    place = np.arange(n) - begin
     one, two = np.zeros_like(hashes), np.zeros_like(hashes)
-    one[1:] = np.where(first[1:], 0, hashes[:-1])
-    two[1:] = np.where(first[1:], 0, one[:-1])
+    one[1:] = np.where(place[1:] > 0, hashes[:-1], 0)
+    two[1:] = np.where(place[1:] > 0, one[:-1], 0)
     frequent = np.append(code.rank, FREQUENT)[symbol] < FREQUENT
-    begin = np.maximum.accumulate(np.where(first, np.arange(len(hashes)), 0))
-    last = np.maximum.accumulate(np.where(frequent, np.arange(len(hashes)), -1))
-    before = np.append(-1, last[:-1])
+    last = np.maximum.accumulate(np.where(frequent, np.arange(n), -1))
+    before = np.append(-1, last[:-1])[:n]
     seen = np.where(before >= begin, hashes[np.maximum(before, 0)], 0)
     contexts = [mix64(one + np.uint64(1)), mix64(one * GOLD + two + np.uint64(2)), mix64(seen + np.uint64(3))]
+
+    turn = place // turn_tokens
+    order = np.argsort(turn, kind="stable")  # by token; decisions then come out in the order they are taken
+    token_doc = np.repeat(np.arange(len(lengths)), lengths)[order]
+    symbol = symbol[order]
     length = code.length[symbol]
-    token = np.repeat(np.arange(len(symbol)), length)
     start = np.cumsum(length) - length
-    path = np.arange(len(token)) - start[token] + code.begin[symbol][token]
-    node, bit = code.node[path], code.bit[path]
-    spread = (node.astype(np.uint64) + np.uint64(1)) * GOLD
+    total = int(length.sum())
+    path = np.arange(total) + np.repeat(code.begin[symbol] - start, length)
+    node = code.node[path]
+    spread = ((np.arange(max(len(code.prior), 1), dtype=np.uint64) + np.uint64(1)) * GOLD)[node]
     index = []
     for context, bits in zip(contexts, TABLE_BITS):
-        mixed = context[token] ^ spread
-        index.append(((mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)).astype(np.int32))
-    return Events(token, node, bit, index)
+        mixed = np.repeat(context[order], length)
+        mixed ^= spread
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        mixed >>= np.uint64(64 - bits)
+        index.append(mixed.view(np.int64))
+    of_turn = np.searchsorted(turn[order], np.arange(int(turn.max()) + 2)) if n else np.zeros(1, dtype=np.int64)
+    return Events(np.repeat(token_doc, length), code.bit[path], code.prior[node], index, np.append(start, total)[of_turn])
 
 
 def new_tables() -> list[np.ndarray]:
-    return [np.zeros(2 << bits, dtype=np.int32) for bits in TABLE_BITS]
+    """Numbers of zeros and ones of each cell, side by side."""
+    return [np.zeros(2 << bits, dtype=np.int64) for bits in TABLE_BITS]
 
 
 def count_into(tables: list[np.ndarray], e: Events) -> None:
-    for table, index in zip(tables, e.index):
-        np.add.at(table, 2 * index + e.bit, 1)
+    for one, index in zip(tables, e.index):
+        one += np.bincount(2 * index + e.bit, minlength=len(one))
 
 
 def _confidence(n: np.ndarray) -> np.ndarray:
-    return (n > 0).astype(np.int64) + (n > 3) + (n > 30)
-
-
-def inputs(code: Code, tables: list[np.ndarray], e: Events, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds of each predictor for each decision, and the gate. ``own``: decisions whose count is in the tables themselves."""
-    x = np.empty((len(e.bit), INPUTS), dtype=np.float32)
-    x[:, 0] = code.prior[e.node]
-    x[:, 4] = 0.3
-    gate = np.zeros(len(e.bit), dtype=np.int64)
-    for k, (table, index) in enumerate(zip(tables, e.index)):
-        pair = table.reshape(-1, 2)[index].astype(np.float32)
-        if own is not None:
-            pair[:, 0] -= own * (1 - e.bit)
-            pair[:, 1] -= own * e.bit
-            np.maximum(pair, 0, out=pair)
-        x[:, k + 1] = np.log((pair[:, 1] + 0.4) / (pair[:, 0] + 0.4))
-        if k < 2:
-            gate = 4 * gate + _confidence(pair.sum(axis=1))
-    return x, gate
-
-
-def mix(x: np.ndarray, gate: np.ndarray, bit: np.ndarray, doc: np.ndarray, turn: np.ndarray, weights: np.ndarray, rate: float, shared: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Log10 probability of each decision, and the weights after it.
-
-    Decisions are taken turn by turn, for all documents at once. After each turn the weights of the gates used follow the
-    gradient of the coding cost: of each document for itself, or (``shared``) of all together.
+    return ((n > 0).astype(np.uint8) + (n > 3) + (n > 30)).astype(np.uint8)
+
+
+@dataclass
+class Predictors:
+    """Log odds and confidence of each cell; ``leave_out``: of each cell and bit, without one decision of that bit."""
+
+    odds: list[np.ndarray]
+    sure: list[np.ndarray]
+    leave_out: bool
+
+    @classmethod
+    def build(cls, tables: list[np.ndarray], leave_out: bool) -> Predictors:
+        odds, sure = [], []
+        for one in tables:
+            zeros, ones = one.reshape(-1, 2).astype(np.float32).T
+            if leave_out:
+                less_zero, less_one = np.maximum(zeros - 1, 0), np.maximum(ones - 1, 0)
+                both = [np.log((ones + 0.4) / (less_zero + 0.4)), np.log((less_one + 0.4) / (zeros + 0.4))]
+                odds.append(np.column_stack(both).astype(np.float32).ravel())
+                sure.append(np.column_stack([_confidence(less_zero + ones), _confidence(zeros + less_one)]).ravel())
+            else:
+                odds.append(np.log((ones + 0.4) / (zeros + 0.4)).astype(np.float32))
+                sure.append(_confidence(zeros + ones))
+        return cls(odds, sure, leave_out)
+
+    def inputs(self, e: Events) -> tuple[list[np.ndarray], np.ndarray]:
+        """Columns of the mixer's inputs, and the gate of each decision."""
+        columns, gate = [e.prior], None
+        for k, index in enumerate(e.index):
+            at = 2 * index + e.bit if self.leave_out else index
+            columns.append(self.odds[k][at])
+            if k < 2:
+                gate = self.sure[k][at].astype(np.int64) if gate is None else 4 * gate + self.sure[k][at]
+        return columns, gate
+
+
+def mix(columns: list[np.ndarray], gate: np.ndarray, e: Events, n_docs: int, weights: np.ndarray, rate: float, shared: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Log10 probability of each decision, and the weights after them (gates by inputs, for each document if not ``shared``).
+
+    After each turn the weights of the gates used follow the gradient of the coding cost: of each document for itself, or
+    (``shared``) of all together.
     """
-    n_docs = int(doc.max()) + 1 if len(doc) else 0
-    state = np.broadcast_to(weights, (1 if shared else n_docs, GATES, INPUTS)).reshape(-1, INPUTS).copy()
-    cost = np.empty(len(bit))
-    order = np.argsort(turn, kind="stable")
-    bounds = np.searchsorted(turn[order], np.arange(int(turn.max()) + 2)) if len(turn) else [0]
-    for a, b in zip(bounds, bounds[1:]):
+    rows = GATES if shared else n_docs * GATES
+    state = np.tile(weights.T.astype(np.float32), (1, 1 if shared else n_docs))
+    row = gate if shared else e.doc * GATES + gate
+    cost = np.empty(len(e.bit), dtype=np.float32)
+    for a, b in zip(e.turns[:-1].tolist(), e.turns[1:].tolist()):
         if a == b:
             continue
-        at = order[a:b]
-        row = gate[at] if shared else doc[at] * GATES + gate[at]
-        own = x[at]
-        z = np.clip((own * state[row]).sum(axis=1), -12, 12)
-        y = bit[at]
+        at, y = row[a:b], e.bit[a:b].astype(np.float32)
+        z = state[-1][at] * np.float32(BIAS)
+        for k, column in enumerate(columns):
+            z += state[k][at] * column[a:b]
+        np.clip(z, -12, 12, out=z)
         p = 1 / (1 + np.exp(-z))
-        cost[at] = np.log10(np.where(y, p, 1 - p))
+        cost[a:b] = np.log10(1 - np.abs(y - p))
         error = y - p
-        used, where = np.unique(row, return_inverse=True)
-        n = np.bincount(where)
-        for k in range(INPUTS):
-            state[used, k] += rate * np.bincount(where, weights=error * own[:, k]) / (n + 50)
-    return cost, state
+        low = int(at.min())
+        at = at - low
+        n = rate / (np.bincount(at) + 50)
+        span = slice(low, low + len(n))
+        for k, column in enumerate(columns):
+            state[k, span] += np.bincount(at, weights=error * column[a:b]) * n
+        state[-1, span] += np.bincount(at, weights=error) * n * BIAS
+    return cost, state.T.reshape(-1, INPUTS)[:rows]
