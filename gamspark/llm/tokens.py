@@ -14,6 +14,7 @@ ordered by text; an empty table gives no files to read and an empty result.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -50,6 +51,7 @@ class PieceEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism; threads would hold memory of their own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -73,7 +75,15 @@ class PieceEncoder:
         self.at, self.length, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, self.dtype)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out, begin = [], 0
+        while begin < len(texts):  # little at a time, as the library's results are much larger than the ids
+            end, size = begin, 0
+            while end < len(texts) and size < CHUNK_BYTES:
+                size += len(texts[end])
+                end += 1
+            out += [np.array(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast(texts[begin:end], add_special_tokens=False)]
+            begin = end
+        return out
 
     def _encode_plain(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids and their number for pieces with one space, at their start: joined, and cut before tokens that begin with a space."""
@@ -189,7 +199,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, shard_tokens: int =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _ENCODERS.get(tokenizer) or _ENCODERS.setdefault(tokenizer, PieceEncoder(tokenizer))
         part, seq, size, ids, lengths, doc_ids = TaskContext.get().partitionId(), 0, 0, [], [], []
-        for rows, texts in slices(batches, size=SLICE_BYTES // 2):
+        for rows, texts in slices(batches, size=SLICE_BYTES // 4):
             got, length = encoder.encode(texts)
             ids.append(got)
             lengths.append(length.astype(np.int32))
