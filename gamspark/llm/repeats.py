@@ -7,7 +7,8 @@
 2. Exact grouping. A second pass takes the windows whose cells both show 2 or more. Of equal windows in a slice only the first
    goes on, the others are marked at once; so a window that half of all documents share is sent once a slice. Windows meet by
    ranges of their hash (128 bits), the first start stays, the others are marked.
-3. Documents without candidates are finished in the second pass; only the others' texts are shuffled, by id, to the marks.
+3. A third pass finishes documents without candidates; only the others' texts are shuffled, by id, to the marks, which are runs
+   of starts. Nothing but shuffles is written, and no pass depends on how another one cut its slices.
 
 The sketch has 4 cells for each expected anchor, at most 2**MAX_BITS in a row (256 MB in all); beyond some 40 GB of text it lets
 more windows through to step 2, never fewer. Nulls and odd cases: a null or empty text has no words (sha256 of nothing); a null
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, Words, gram_hashes, pick, shared_folder, slices, sliding_min, small_batches, table
+from .common import SLICE_BYTES, Words, gram_hashes, pick, slices, sliding_min, small_batches, table
 from .registry import query
 
 WINDOW, GRAM = 20, 8
@@ -36,10 +37,8 @@ CELLS_PER_ANCHOR, BYTES_PER_ANCHOR = 4, 40
 FLUSH_ANCHORS = 1 << 20
 RANGE_WINDOWS = 1 << 20
 LAST = np.iinfo(np.int64).max
-FOUND_SCHEMA = (
-    "kind int, doc_id long, text_hash long, n_words long, n_removed long, kept_sha256 string, text string, starts binary, "
-    "bucket int, ids binary, hashes binary, doc_of binary, at binary, h1 binary, h2 binary"
-)
+SENT_SCHEMA = "bucket int, ids binary, hashes binary, doc_of binary, at binary, h1 binary, h2 binary, doc_key long, hash_key long, runs binary"
+DOC_SCHEMA = "doc_id long, text_hash long, n_words long, kept_sha256 string, text string"
 
 
 def window_keys(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,13 +149,6 @@ def _shows_two(bitmap: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _removed(starts: np.ndarray, n_words: int) -> np.ndarray:
-    change = np.zeros(n_words + 1, dtype=np.int64)
-    change[starts] += 1
-    np.add.at(change, np.minimum(starts + WINDOW, n_words), -1)
-    return np.cumsum(change[:-1]) > 0
-
-
 def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
@@ -176,48 +168,63 @@ def _later(h1, h2, ids, hashes, at) -> tuple[np.ndarray, np.ndarray]:
     return order, np.logical_or.reduce([p != p[head] for p in place])
 
 
-def _find(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, bits: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema(
-        [("kind", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
-        + [("text", pa.string()), ("starts", pa.binary()), ("bucket", pa.int32())] + [(n, pa.binary()) for n in ("ids", "hashes", "doc_of", "at", "h1", "h2")]
-    )
+def _text_hash(text: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+
+
+def _runs(starts: np.ndarray) -> bytes:
+    """Sorted numbers as first and last ones of their runs."""
+    first = np.flatnonzero(np.diff(starts, prepend=-2) != 1)
+    last = np.append(first[1:], len(starts)) - 1
+    return np.column_stack([starts[first], starts[last]]).astype("<i4").tobytes()
+
+
+def _candidates(words: Words, hashes: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
+    starts, keys = window_keys(words, hashes)
+    return starts[_shows_two(bitmap, keys, bits)]
+
+
+def _by_document(ids: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Places, as runs by document."""
+    order = np.lexsort((at, hashes, ids))
+    ids, hashes, at = ids[order], hashes[order], at[order]
+    change = np.ones(len(at), dtype=bool)
+    change[1:] = (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])
+    first = np.flatnonzero(change)
+    return ids[first], hashes[first], [_runs(np.unique(at[a:b])) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(at)])]
+
+
+def _send(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, bits: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Of each slice: its first ones of equal candidate windows, by range of the hash, and the marks of the others."""
+    schema = pa.schema([("bucket", pa.int32())] + [(n, pa.binary()) for n in ("ids", "hashes", "doc_of", "at", "h1", "h2")] + [("doc_key", pa.int64()), ("hash_key", pa.int64()), ("runs", pa.binary())])
     for rows, texts in slices(batches):
         words = texts.words()
-        first_hash = words.hashes()
-        starts, keys = window_keys(words, first_hash)
-        candidate = _shows_two(bitmap, keys, bits)
-        starts = starts[candidate]
+        hashes = words.hashes()
+        starts = _candidates(words, hashes, bitmap, bits)
+        if not len(starts):
+            continue
         doc = np.searchsorted(words.bounds, starts, "right") - 1
-        h1, h2 = gram_hashes(first_hash, WINDOW)[starts], gram_hashes(words.hashes(1), WINDOW)[starts]
-        ids = rows.column("doc_id").to_pylist()
-        id_of = np.array([LAST if i is None else i for i in ids], dtype=np.int64)
-        hash_of = np.array([int.from_bytes(hashlib.blake2b(texts.text(i), digest_size=8).digest(), "little", signed=True) for i in range(len(texts))], dtype=np.int64)
+        h1, h2 = gram_hashes(hashes, WINDOW)[starts], gram_hashes(words.hashes(1), WINDOW)[starts]
+        id_of = rows.column("doc_id").fill_null(LAST).to_numpy()
+        hash_of = np.zeros(len(texts), dtype=np.int64)
+        for i in np.unique(doc).tolist():
+            hash_of[i] = _text_hash(texts.text(i))
         at = starts - words.bounds[doc]
         order, later = _later(h1, h2, id_of[doc], hash_of[doc], at)
-        marked = np.zeros(len(starts), dtype=bool)
-        marked[order] = later
+        marked = order[later]
         out = []
-        has = np.zeros(len(texts), dtype=bool)
-        has[doc] = True
-        counts = words.counts
-        for i in range(len(texts)):
-            row = {"kind": 0, "doc_id": ids[i], "n_words": int(counts[i])}
-            if has[i]:
-                mine = slice(*np.searchsorted(doc, [i, i + 1]))
-                row |= {"kind": 1, "text_hash": int(hash_of[i]), "text": texts.text(i).decode(), "starts": at[mine][marked[mine]].astype("<i4").tobytes()}
-            else:
-                row |= {"n_removed": 0, "kept_sha256": _digest(texts.text(i).split())}
-            out.append(row)
-        bucket = (h1 >> np.uint64(16)) % np.uint64(buckets)
-        send = np.flatnonzero(~marked)
+        for i, h, runs in zip(*_by_document(id_of[doc[marked]], hash_of[doc[marked]], at[marked])):
+            out.append({"bucket": int(h) % buckets, "doc_key": int(i), "hash_key": int(h), "runs": runs})
+        send = np.sort(order[~later])
+        bucket = ((h1 >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
         send = send[np.argsort(bucket[send], kind="stable")]
-        bounds = np.flatnonzero(np.diff(bucket[send].astype(np.int64), prepend=-1, append=buckets))
+        bounds = np.append(np.flatnonzero(np.diff(bucket[send], prepend=-1)), len(send))
         for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
             one = send[a:b]
             own, where = np.unique(doc[one], return_inverse=True)
             out.append(
                 {
-                    "kind": 2, "bucket": int(bucket[one[0]]), "ids": id_of[own].astype("<i8").tobytes(), "hashes": hash_of[own].astype("<i8").tobytes(),
+                    "bucket": int(bucket[one[0]]), "ids": id_of[own].astype("<i8").tobytes(), "hashes": hash_of[own].astype("<i8").tobytes(),
                     "doc_of": where.astype("<i4").tobytes(), "at": at[one].astype("<i4").tobytes(), "h1": h1[one].tobytes(), "h2": h2[one].tobytes(),
                 }
             )
@@ -225,40 +232,57 @@ def _find(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, bits: int, buck
 
 
 def _mark(rows: pa.Table) -> pa.Table:
-    """Windows of one range of hashes from all slices: starts that come later, by document."""
-    docs, hashes, at, h1, h2 = [], [], [], [], []
+    """Windows of one range of hashes from all slices: runs of starts that come later, by document; slices' own marks as they are."""
+    parts, own = [], []
     for r in rows.to_pylist():
+        if r["runs"] is not None:
+            own.append((r["doc_key"], r["hash_key"], r["runs"]))
+            continue
         of = np.frombuffer(r["doc_of"], "<i4")
-        docs.append(np.frombuffer(r["ids"], "<i8")[of])
-        hashes.append(np.frombuffer(r["hashes"], "<i8")[of])
-        at.append(np.frombuffer(r["at"], "<i4"))
-        h1.append(np.frombuffer(r["h1"], np.uint64))
-        h2.append(np.frombuffer(r["h2"], np.uint64))
-    docs, hashes, at, h1, h2 = map(np.concatenate, (docs, hashes, at, h1, h2))
-    order, later = _later(h1, h2, docs, hashes, at)
-    keep = order[later]
-    keep = keep[np.lexsort((at[keep], hashes[keep], docs[keep]))]
-    change = np.ones(len(keep), dtype=bool)
-    change[1:] = (docs[keep][1:] != docs[keep][:-1]) | (hashes[keep][1:] != hashes[keep][:-1])
-    bounds = np.append(np.flatnonzero(change), len(keep)).tolist()
-    firsts = keep[bounds[:-1]] if len(keep) else keep
-    return pa.table(
-        {
-            "doc_key": pa.array(docs[firsts], pa.int64()), "hash_key": pa.array(hashes[firsts], pa.int64()),
-            "later": pa.array([at[keep[a:b]].astype("<i4").tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary()),
-        }
-    )
+        places = (np.frombuffer(r["ids"], "<i8")[of], np.frombuffer(r["hashes"], "<i8")[of], np.frombuffer(r["at"], "<i4"))
+        parts.append((np.frombuffer(r["h1"], np.uint64), np.frombuffer(r["h2"], np.uint64), *places))
+    if parts:
+        h1, h2, ids, hashes, at = (np.concatenate(x) for x in zip(*parts))
+        order, later = _later(h1, h2, ids, hashes, at)
+        marked = order[later]
+        own += [(int(i), int(h), runs) for i, h, runs in zip(*_by_document(ids[marked], hashes[marked], at[marked]))]
+    columns = list(zip(*own)) or [(), (), ()]
+    return pa.table({"doc_key": pa.array(columns[0], pa.int64()), "hash_key": pa.array(columns[1], pa.int64()), "runs": pa.array(columns[2], pa.binary())})
+
+
+def _open(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """Documents without candidates are finished; the others keep their text."""
+    for rows, texts in slices(batches):
+        words = texts.words()
+        starts = _candidates(words, words.hashes(), bitmap, bits)
+        has = np.zeros(len(texts), dtype=bool)
+        has[np.searchsorted(words.bounds, starts, "right") - 1] = True
+        raw = [texts.text(i) for i in range(len(texts))]
+        yield pa.RecordBatch.from_pydict(
+            {
+                "doc_id": rows.column("doc_id"), "text_hash": pa.array([_text_hash(t) if h else 0 for t, h in zip(raw, has)], pa.int64()),
+                "n_words": pa.array(words.counts, pa.int64()), "kept_sha256": pa.array([None if h else _digest(t.split()) for t, h in zip(raw, has)], pa.string()),
+                "text": pa.array([t.decode() if h else None for t, h in zip(raw, has)], pa.string()),
+            }
+        )
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         removed, digests = [], []
-        for text, n, own, others in zip(*(batch.column(c).to_pylist() for c in ("text", "n_words", "starts", "later"))):
-            starts = np.unique(np.concatenate([np.frombuffer(x, "<i4") for x in [own, *(others or [])]]))
-            gone = _removed(starts, n)
-            words = text.encode().split()
+        for text, n, digest, marks in zip(*(batch.column(c).to_pylist() for c in ("text", "n_words", "kept_sha256", "marks"))):
+            if digest is not None:
+                removed.append(0)
+                digests.append(digest)
+                continue
+            change = np.zeros(n + 1, dtype=np.int64)
+            for runs in marks or []:
+                first, last = np.frombuffer(runs, "<i4").reshape(-1, 2).T
+                np.add.at(change, first, 1)
+                np.add.at(change, last + WINDOW, -1)
+            gone = np.cumsum(change[:-1]) > 0
             removed.append(int(gone.sum()))
-            digests.append(_digest([w for w, g in zip(words, gone.tolist()) if not g]))
+            digests.append(_digest([w for w, g in zip(text.encode().split(), gone.tolist()) if not g]))
         yield pa.RecordBatch.from_pydict(
             {"doc_id": batch.column("doc_id"), "n_words": batch.column("n_words"), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
         )
@@ -273,18 +297,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     bits = min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(max(1, CELLS_PER_ANCHOR * size / BYTES_PER_ANCHOR)))))
     bitmap = spark.sparkContext.broadcast(sketch(rows, bits, size))
     buckets = max(8, math.ceil(size / 6 / RANGE_WINDOWS))
-    path = shared_folder(spark, "repeats")
-    rows.mapInArrow(lambda b: _find(b, bitmap.value, bits, buckets), FOUND_SCHEMA).write.partitionBy("kind").option("compression", "zstd").parquet(path)
-    found = spark.read.schema(FOUND_SCHEMA).parquet(path)
     marks = (
-        found.where("kind = 2").select("bucket", "ids", "hashes", "doc_of", "at", "h1", "h2")
-        .groupBy("bucket").applyInArrow(_mark, "doc_key long, hash_key long, later binary")
-        .groupBy("doc_key", "hash_key").agg(F.collect_list("later").alias("later"))
+        rows.mapInArrow(lambda b: _send(b, bitmap.value, bits, buckets), SENT_SCHEMA)
+        .groupBy("bucket").applyInArrow(_mark, "doc_key long, hash_key long, runs binary")
+        .groupBy("doc_key", "hash_key").agg(F.collect_list("runs").alias("marks"))
     )
-    open_docs = found.where("kind = 1").select("doc_id", "text_hash", "n_words", "text", "starts")
-    joined = open_docs.join(marks, (F.coalesce("doc_id", F.lit(LAST)) == F.col("doc_key")) & (F.col("text_hash") == F.col("hash_key")), "left")
-    finished = joined.select("doc_id", "n_words", "text", "starts", "later").mapInArrow(_finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    return found.where("kind = 0").select("doc_id", "n_words", "n_removed", "kept_sha256").unionByName(finished)
+    opened = rows.mapInArrow(lambda b: _open(b, bitmap.value, bits), DOC_SCHEMA)
+    joined = opened.join(marks, (F.coalesce("doc_id", F.lit(LAST)) == F.col("doc_key")) & (F.col("text_hash") == F.col("hash_key")), "left")
+    return joined.select("doc_id", "n_words", "kept_sha256", "text", "marks").mapInArrow(_finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 @query("op10_repeats")
