@@ -27,7 +27,7 @@ SHARE = (3, 2)
 EPOCHS = 2
 BLOCK_WORDS = 1024
 BLOCKS_PER_SOURCE = 512
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 CHUNK = 1 << 16
 
 
@@ -92,11 +92,15 @@ def schedule(sources: DataFrame) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, epochs: int = EPOCHS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, text, source) -> doc_id, size, source_size, target, taken, source, first_slot; one row per input row."""
+def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, epochs: int = EPOCHS, block_words: int = BLOCK_WORDS, text_keys: bool = False) -> DataFrame:
+    """(doc_id, text, source) -> doc_id, size, source_size, target, taken, source, first_slot; one row per input row.
+
+    ``text_keys`` adds text_key, the text's MD5, to find a row's text again.
+    """
+    key = [F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("text_key")] if text_keys else []
     sized = stored(
         pick(docs, "doc_id", "text", "source").select(
-            "doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key")
+            "doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"), *key
         ),
         "mix",
     )
@@ -115,7 +119,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, epochs: int = EPOCHS, blo
     laid = (
         keyed.withColumn("nth", F.row_number().over(within))
         .withColumn("inner", F.coalesce(F.sum("size").over(before), F.lit(0)))
-        .join(heads, ["pos", "bucket"])
+        .join(heads.hint("merge"), ["pos", "bucket"])
         .withColumn("start", F.col("head") + F.col("inner"))
     )
     end = F.col("start") + F.col("size")
@@ -124,13 +128,27 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, epochs: int = EPOCHS, blo
         "words", F.least(end, (F.col("block_no") + 1) * F.col("block")) - F.greatest(F.col("start"), F.col("block_no") * F.col("block"))
     )
     uses = schedule(source_rows).groupBy("pos", "block_no").agg(F.count(F.lit(1)).alias("times"), F.min("slot").alias("first_slot"))
-    same = ["doc_id", "size", "source_size", "target", "source", "pos", "bucket", "nth"]
+    same = ["doc_id", "size", "source_size", "target", "source", "pos", "bucket", "nth", *(["text_key"] if text_keys else [])]
     return (
-        pieces.join(uses, ["pos", "block_no"], "left")
+        pieces.join(uses.hint("merge"), ["pos", "block_no"], "left")
         .groupBy(*same)
         .agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).cast("long").alias("taken"), F.min("first_slot").alias("first_slot"))
-        .select("doc_id", "size", "source_size", "target", "taken", "source", "first_slot")
+        .select("doc_id", "size", "source_size", "target", "taken", "source", "first_slot", *(["text_key"] if text_keys else []))
+    )
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The documents of the mix: each as often as the mix takes its words, rounded; those it does not take are left out.
+
+    Rows with the same id and text share their copies evenly. Documents without words are not part of a mix by words: they stay.
+    """
+    taken = mix(docs, text_keys=True, **options)
+    per_text = taken.groupBy(F.col("doc_id").alias("its_id"), F.col("text_key").alias("its_key")).agg(
+        F.when(F.sum("size") == 0, 1).otherwise(F.round(F.sum("taken") / F.sum("size"))).cast("int").alias("copies")
     )
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("key"))
+    kept = keyed.join(per_text.where("copies > 0").hint("merge"), F.col("id").eqNullSafe(F.col("its_id")) & (F.col("key") == F.col("its_key")))
+    return kept.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 SQL = """

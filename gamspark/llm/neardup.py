@@ -226,10 +226,9 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     full = rows.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     least = stored(full.groupBy("label").agg(F.min(place).alias("one")).select(F.col("one.doc_id").alias("its_id"), F.col("one.text_key").alias("its_key")), "kept")
-    names = docs.columns
-    keyed = docs.withColumn("__key", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))))
-    kept = keyed.join(least.hint("merge"), F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("__key") == F.col("its_key")))
-    return kept.dropDuplicates(["doc_id", "__key"]).select(*[F.col(f"`{n}`") for n in names])
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("key"))
+    kept = keyed.join(least.hint("merge"), F.col("id").eqNullSafe(F.col("its_id")) & (F.col("key") == F.col("its_key")))
+    return kept.dropDuplicates(["id", "key"]).select("row.*")
 
 
 @query("op8_near_duplicates")

@@ -27,3 +27,9 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     for module in MODULES:
         importlib.import_module(f"{__package__}.{module}")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """All stages of corpus_pipeline.py, one after the other."""
+    return importlib.import_module("corpus_pipeline").run(spark, folder)

@@ -307,28 +307,35 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, max_terms:
     return model
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_matches, n_quoted (and the kept columns). A narrow job over whole texts."""
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, score, predicted, n_matches, n_quoted. A narrow job over whole texts."""
     small_batches(docs.sparkSession)
-    schema = pick(docs, "doc_id", *[k for k in keep if k != "doc_id"]).schema
-    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in slices(batches):
             counts = model.counts(texts)
             p = model.scores(counts)
             yield pa.RecordBatch.from_pydict(
-                {n: rows.column(n) for n in names}
-                | {
-                    "score": pa.array(p, pa.float64()), "predicted": pa.array((p >= 0.5).astype(np.int32), pa.int32()),
+                {
+                    "doc_id": rows.column("doc_id"), "score": pa.array(p, pa.float64()), "predicted": pa.array((p >= 0.5).astype(np.int32), pa.int32()),
                     "n_matches": pa.array(counts.sum(axis=1), pa.int64()), "n_quoted": pa.array(counts[:, 1::2].sum(axis=1), pa.int64()),
                 }
             )
 
-    out = schema.simpleString()[7:-1].replace(":", " ")
-    rows = pick(docs, *dict.fromkeys(["doc_id", "text", *keep]))
-    scored = rows.mapInArrow(run, f"{out}, score double, predicted int, n_matches long, n_quoted long".replace(",", ", "))
-    return scored.select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "score", "predicted", "n_matches", "n_quoted", *[k for k in keep if k != "doc_id"])
+    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scored = rows.mapInArrow(run, "doc_id long, score double, predicted int, n_matches long, n_quoted long")
+    return scored.select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "score", "predicted", "n_matches", "n_quoted")
+
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents that the model does not call toxic, unchanged."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in slices(batches):
+            yield rows.filter(pa.array(model.scores(model.counts(texts)) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 @query("op7_toxicity")
