@@ -10,10 +10,10 @@ point. So two documents agree in a slot with a probability of their weighted Jac
 which nearly always every slot has a point; documents with an empty slot go on to twice that time.
 
 Grouping. Equal texts are one node. Nodes that agree in a band of ROWS slots share a bucket; at similarity 0.8 a pair misses all
-BANDS buckets with probability 1e-7. Round 1 verifies each node of a bucket against the bucket's least node. After that, a
-bucket whose nodes are of one component is done; in the others, round 2 verifies the nodes outside of the bucket's largest
-component against all of another component. Every pair of a bucket that is not connected already is verified, yet no bucket's
-pairs are all written.
+BANDS buckets with probability 1e-7. Round 1 verifies each node of a bucket against the bucket's least node. Where that leaves
+nodes of several components in touching buckets, round 2 compares all that are outside of the largest component with all the
+others, in parts of bounded size. Every pair of a bucket that is not connected already is verified, yet no bucket's pairs are
+written: a meeting of two parts gives a forest of links.
 
 Nulls and odd cases: null and empty texts have no shingles and are copies of each other, null and empty alike; a null id is a
 document like others, but names a class only if no member has an id; repeated rows are exact copies; an empty table gives an
@@ -39,6 +39,8 @@ BANDS, ROWS = 40, 5
 SLOTS = BANDS * ROWS
 SIMILARITY = 0.8
 SURPLUS = 4.0
+#: Nodes to a part in round 2, and columns of its incidence matrix at a time.
+PART, COLUMNS = 192, 4096
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -165,6 +167,67 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(lambda b: _verify(b, similarity), "a long, b long")
 
 
+def _forest(rows: pa.Table, similarity: float) -> pa.Table:
+    """Links between labels that hold the nodes of two parts together as far as they are similar; no more than nodes less one."""
+    nodes, label = rows.column("node").to_pylist(), rows.column("label").to_pylist()
+    sets = [np.frombuffer(x, np.uint64) for x in rows.column("elements").to_pylist()]
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, column, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = many[column] > 1
+    owner, column = owner[shared], (np.cumsum(many > 1) - 1)[column[shared]]
+    common = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    width = int(column[-1]) + 1 if len(column) else 0
+    for begin in range(0, width, COLUMNS):
+        at = slice(*np.searchsorted(column, [begin, begin + COLUMNS]))
+        has = np.zeros((len(sets), min(COLUMNS, width - begin)), dtype=np.float32)
+        has[owner[at], column[at] - begin] = 1
+        common += has @ has.T
+    near = np.triu(common >= similarity * (size[:, None] + size[None, :] - common), 1)
+    parent = {x: x for x in label}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
+        x, y = find(label[i]), find(label[j])
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            links.append((nodes[i], nodes[j]))
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+
+def across_labels(shared: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between nodes of different labels that share a bucket.
+
+    Buckets that touch make a neighbourhood; its nodes are dealt to parts of about PART nodes, those of its largest label apart.
+    Two parts meet if a bucket has nodes of both and not all of them are of the largest label. A meeting compares all its nodes
+    at once and gives a forest of links, so neither pairs of nodes nor all links of a group are ever written.
+    """
+    star = shared.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    near = components(star).select("node", F.col("label").alias("area"))
+    tab = stored(near.join(labels.hint("merge"), "node", "left").select("node", "area", F.coalesce("label", "node").alias("label")), "areas")
+    most = tab.groupBy("area", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("area").agg(
+        F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("major"), F.sum("n").alias("all")
+    )
+    outside = F.col("label") != F.col("major.label")
+    own = F.when(outside, F.col("all") - F.col("major.n")).otherwise(F.col("major.n"))
+    number = F.pmod(F.xxhash64("node"), F.ceil(own / PART)) * 2 + outside.cast("long")  # odd numbers are outside
+    placed = stored(tab.join(most.where("labels > 1").hint("merge"), "area").select("node", "area", "label", number.alias("part")), "parts")
+    met = stored(shared.select("bucket", "node").join(placed.hint("merge"), "node").select("bucket", "area", "part").distinct(), "met")
+    first = met.where("part % 2 = 1").select("bucket", F.col("part").alias("i"))
+    second = met.select("bucket", "area", F.col("part").alias("j"))
+    meetings = first.join(second.hint("merge"), "bucket").where("j % 2 = 0 OR i <= j").select("area", "i", "j").distinct()
+    sides = meetings.withColumn("part", F.explode(F.array_distinct(F.array("i", "j"))))
+    members = sides.join(placed.hint("merge"), ["area", "part"]).join(sets.hint("merge"), "node").select("area", "i", "j", "node", "label", "elements")
+    return members.groupBy("area", "i", "j").applyInArrow(lambda t: _forest(t, similarity), "a long, b long")
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text) -> rows: doc_id, text_key, node; groups: node, label for nodes with a near-duplicate of another text."""
     small_batches(docs.sparkSession, 500)
@@ -189,18 +252,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     links = stored(verified(first, sets, similarity), "verified")
     labels = components(links)
 
-    labelled = shared.join(labels.hint("merge"), "node", "left").select("bucket", "node", "size", F.coalesce("label", "node").alias("label"))
-    per_label = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = per_label.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("most")).where("labels > 1")
-    open_ = stored(labelled.join(mixed.select("bucket", F.col("most.label").alias("major")).hint("merge"), "bucket"), "open")
-    outside = open_.where("label <> major").select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("size").alias("size_a"))
-    others = open_.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("size").alias("size_b"), "major")
-    fits = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b")
-    second = (
-        outside.join(others.hint("merge"), "bucket").where((F.col("label_a") != F.col("label_b")) & fits & ((F.col("label_b") == F.col("major")) | (F.col("a") < F.col("b"))))
-        .select("a", "b").distinct()
-    )
-    more = stored(verified(second, sets, similarity), "verified")
+    more = stored(across_labels(shared, labels, sets, similarity), "verified")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
     keyed = signed.select("doc_id", "text_key").join(nodes.select("text_key", "node").hint("merge"), "text_key")
