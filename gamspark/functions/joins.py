@@ -1,59 +1,14 @@
-"""Look-up joins that broadcast only what was measured to be small and split hot keys otherwise."""
+"""Look-up joins."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .scalars import c
-
-BROADCAST_ROWS = 200_000
-HOT_SHARE = 1e-3
-HOT_ROWS = 1_000_000
-
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` holds at most ``max_rows`` rows (reads no more than one row beyond it)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def hot_keys(df: DataFrame, on: list[str], share: float = HOT_SHARE, floor: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than max(share of all rows, floor) rows: at most 1/share keys by construction."""
-    total = df.count()
-    return (
-        df.groupBy(*[c(k) for k in on])
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .where(F.col("__n") > F.lit(max(total * share, floor)))
-        .drop("__n")
-    )
 
 
-def lookup_join(
-    left: DataFrame,
-    table: DataFrame,
-    on: list[str],
-    max_rows: int = BROADCAST_ROWS,
-    share: float = HOT_SHARE,
-    floor: int = HOT_ROWS,
-) -> DataFrame:
-    """Left join to a table that is unique on ``on``.
+def lookup_join(left: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """Left join to a table that is unique on ``on``; rows with a NULL key find nothing.
 
-    A table measured to be small is broadcast. Otherwise the join shuffles, with two exceptions
-    that would pile up in one task: rows with a NULL key cannot match and skip the join, and the
-    few hot keys (their number is bounded by 1/share) are joined by broadcast of only their rows.
+    One plan for every size: Spark broadcasts the table if its bytes are below its threshold, and otherwise shuffles both
+    sides; adaptive execution splits the partitions of hot keys, which are all on the left side.
     """
-    if is_small(table, max_rows):
-        return left.join(F.broadcast(table), on, "left")
-    extra = [f for f in table.schema.fields if f.name not in on]
-    no_key = reduce(lambda a, b: a | b, [c(k).isNull() for k in on])
-    keyed, unkeyed = left.where(~no_key), left.where(no_key)
-    hot = hot_keys(keyed, on, share, floor)
-    cold_rows = keyed.join(F.broadcast(hot), on, "left_anti").join(table, on, "left")
-    hot_rows = keyed.join(F.broadcast(hot), on, "left_semi").join(
-        F.broadcast(table.join(F.broadcast(hot), on, "left_semi")), on, "left"
-    )
-    for field in extra:
-        unkeyed = unkeyed.withColumn(field.name, F.lit(None).cast(field.dataType))
-    return cold_rows.unionByName(hot_rows).unionByName(unkeyed)
+    return left.join(table, on, "left")

@@ -56,13 +56,21 @@ def exact_rank(
 
 
 def _cut_points(values) -> list[float]:
-    return sorted({float(v) for v in values if v is not None and not math.isinf(v)})
+    return sorted({float(v) for v in values if v is not None and math.isfinite(v)})
 
 
-def value_buckets(df: DataFrame, key: str, source: DataFrame, buckets: int, name: str = "__vb") -> DataFrame:
-    """Adds a bucket number that grows with ``key``; cut points are sketched quantiles of ``source``."""
+RANGE_ROWS = 1 << 20
+
+
+def value_buckets(df: DataFrame, key: str, source: DataFrame, buckets: int | None = None, name: str = "__vb") -> DataFrame:
+    """Adds a bucket number that grows with ``key``; cut points are sketched quantiles of ``source``.
+
+    Without ``buckets`` there are as many as hold about RANGE_ROWS rows of ``source`` each, 64 at least.
+    """
+    if buckets is None:
+        buckets = max(64, math.ceil(source.count() / RANGE_ROWS))
     probs = [i / buckets for i in range(1, buckets)]
-    sketch = source.agg(F.percentile_approx(c(key).cast("double"), probs, 10000)).first()[0]
+    sketch = source.agg(F.percentile_approx(c(key).cast("double"), probs, max(10000, 20 * buckets))).first()[0]
     cuts = _cut_points(sketch or [])
     if not cuts:
         return df.withColumn(name, F.lit(0.0))
@@ -76,16 +84,16 @@ def value_prefix(
     key: str,
     measures: dict[str, Column],
     by: Sequence[str] = (),
-    buckets: int = 256,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Per (group, value): the measures and ``<measure>_below``, their sum over smaller values.
 
-    Measures must be sums or counts. NULL keys are left out. The cut points are quantiles over all
-    rows, so that a value range holds about 1/buckets of them whatever group they belong to: one hot
+    Measures must be sums or counts. NULL and NaN keys are left out. The cut points are quantiles over all
+    rows, so that a value range holds about RANGE_ROWS of them whatever group they belong to: one hot
     group is spread over all ranges, and a group on another scale still has bounded ranges.
     """
     by = list(by)
-    source = df.where(c(key).isNotNull())
+    source = df.where(c(key).isNotNull() & ~F.isnan(c(key).cast("double")))
     totals = source.groupBy(*[c(b) for b in by], c(key)).agg(*[m.alias(n) for n, m in measures.items()])
     totals = value_buckets(totals, key, source, buckets)
     group = [c(b) for b in by] or [F.lit(0)]
@@ -111,7 +119,7 @@ def exact_quantiles(
     """Exact interpolated quantiles (position p*(n-1)) of numeric columns, NULLs ignored.
 
     Every wanted rank keeps a bracket of two data values. A pass counts the rows below, inside and
-    on the ends of all brackets; a bracket with few rows is finished from its distinct values, a
+    on the ends of all brackets; a bracket with few rows (its share of ``collect_limit``) is finished from its distinct values, a
     larger one is replaced by a sketched bracket strictly inside it.
     """
     cols, probs = list(cols), list(probs)
@@ -160,7 +168,7 @@ def _select_ranks(df, cols, probs, collect_limit, accuracy) -> dict[str, list[fl
                 solved[i, k] = b["lo"]
             elif b["below"] + b["inside"] - b["at_hi"] <= k:
                 solved[i, k] = b["hi"]
-            elif b["inside"] - b["at_lo"] - b["at_hi"] <= collect_limit:
+            elif b["inside"] - b["at_lo"] - b["at_hi"] <= max(1, collect_limit // len(open_ranks)):
                 few[i, k] = b
                 continue
             else:

@@ -47,13 +47,14 @@ def fast_uniform(seed, *keys: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(str(seed)), *keys), 11) / float(1 << 53)
 
 
-def poisson_cdf(rate: float, terms: int = 16) -> list[float]:
-    """P(X <= k) for k = 0..terms-1."""
-    p, total, out = math.exp(-rate), 0.0, []
-    for k in range(terms):
+def poisson_cdf(rate: float, terms: int | None = None) -> list[float]:
+    """P(X <= k) for k = 0, 1, ... until what is left is below 2**-53 (or for as many terms as asked)."""
+    p, total, out, k = math.exp(-rate), 0.0, [], 0
+    while len(out) < terms if terms is not None else k <= rate or p > 2.0**-53:
         total += p
         out.append(total)
-        p *= rate / (k + 1)
+        k += 1
+        p *= rate / k
     return out
 
 

@@ -1,33 +1,27 @@
-"""What to do with inputs that are small enough to deal out and cache, and with those that are not."""
+"""Frames for several passes."""
 
 from __future__ import annotations
 
 from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-SMALL_BYTES = 1 << 30
-
-
-def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
-    """By the optimizer's size estimate, which costs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+DEAL_BYTES = 1 << 30
 
 
 def spread_small(df: DataFrame) -> DataFrame:
-    """Small inputs that arrive in few splits are dealt out to all cores, because the pass is bound by
-    arithmetic. Beyond the limit the splits of the scan already outnumber the cores."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if is_small(df) else df
+    """Inputs below DEAL_BYTES (by the optimizer's estimate) arrive in few splits and are dealt out to all cores, because the
+    pass is bound by arithmetic. This moves rows only; no result depends on it."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= DEAL_BYTES else df
 
 
 @contextmanager
 def reused(df: DataFrame):
-    """A frame for several passes: small ones are dealt out and cached once; large ones are scanned again,
-    because a column-pruned scan costs no more than reading back a spilled cache."""
-    if not is_small(df):
-        yield df
-        return
-    rows = spread_small(df).persist()
+    """A frame for several passes, whatever its size: kept in memory and on disk, so that every pass sees the same rows and the
+    plan above the frame runs once. Lost blocks are computed again."""
+    rows = spread_small(df).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield rows
     finally:

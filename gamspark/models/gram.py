@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import c
-from ..functions.small import is_small, reused, spread_small  # noqa: F401 - fits import them from here
+from ..functions.small import reused, spread_small  # noqa: F401 - fits import them from here
 from .design import Design, numbers
 
 BLOCK = 8_192
@@ -97,7 +97,9 @@ def _count_products(design: Design):
 
 def _partial_sums(design: Design, names: dict, working, offset, n_weights: int):
     size = design.size
-    width = size * size + size + 4
+    upper = np.triu_indices(size)
+    square = len(upper[0])  # B'WB is symmetric: its upper triangle travels
+    width = square + size + 4
     build, take, products = _count_products(design) if design.indicators else _dense_products(design)
     chunk = 1 << 20 if design.indicators else max(256, CHUNK_VALUES // max(size, 1))
 
@@ -127,8 +129,8 @@ def _partial_sums(design: Design, names: dict, working, offset, n_weights: int):
                         w = w1 * cw
                         g, rhs = products(bb, w, zz)
                         acc = sums.setdefault(int(key), np.zeros(width))
-                        acc[: size * size] += g.ravel()
-                        acc[size * size : -4] += rhs
+                        acc[:square] += g[upper]
+                        acc[square:-4] += rhs
                         acc[-4:] += (w @ (zz * zz), w.sum(), cw.sum(), ll @ cw)
         part = TaskContext.get().partitionId()
         for key, acc in sums.items():
@@ -182,22 +184,27 @@ def gram(
         *([] if group is None else [(c(group) if isinstance(group, str) else group).cast("int").alias("__g")]),
     ).where(F.col("__y").isNotNull())
     names = {"group": group is not None}
-    small = is_small(narrow)
+    if group is not None:
+        groups = narrow.select("__g").distinct().limit(at_once + 1).count()
+        if groups > at_once:
+            raise ValueError(f"more than {at_once} groups; the driver holds a matrix of each")
     source = spread_small(narrow) if spread else narrow
     partial = source.mapInArrow(_partial_sums(design, names, working, offset, len(weights)), OUT_SCHEMA)
-    vec = array_to_vector(F.col("data"))
-    if not small:  # many tasks: sum in two steps, so that no reducer reads a block of every task
-        partial = partial.groupBy("grp", "block", (F.col("part") % SALTS).alias("salt")).agg(Summarizer.sum(vec).alias("v"))
-        vec = F.col("v")
-    rows = partial.groupBy("grp", "block").agg(Summarizer.sum(vec).alias("v")).select(
+    # Two steps, so that no reducer reads a block of every task.
+    partial = partial.groupBy("grp", "block", (F.col("part") % SALTS).alias("salt")).agg(Summarizer.sum(array_to_vector(F.col("data"))).alias("v"))
+    rows = partial.groupBy("grp", "block").agg(Summarizer.sum(F.col("v")).alias("v")).select(
         "grp", "block", vector_to_array("v").alias("v")
     ).collect()
     size = design.size
+    upper = np.triu_indices(size)
+    square = len(upper[0])
     out: dict[int, Gram] = {}
     for key in sorted({r["grp"] for r in rows}):
         flat = np.concatenate([np.asarray(r["v"]) for r in sorted((r for r in rows if r["grp"] == key), key=lambda r: r["block"])])
-        g = flat[: size * size].reshape(size, size)
-        out[key] = Gram((g + g.T) / 2, flat[size * size : -4], *[float(v) for v in flat[-4:]])
+        g = np.zeros((size, size))
+        g[upper] = flat[:square]
+        g = g + np.triu(g, 1).T
+        out[key] = Gram(g, flat[square:-4], *[float(v) for v in flat[-4:]])
     return out
 
 

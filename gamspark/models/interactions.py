@@ -126,11 +126,11 @@ def select_features(df: DataFrame, target: str, features: Sequence[str], wanted:
 
 
 def pairs_by_lasso(df: DataFrame, target: str, features: Sequence[str], count: int, key: Sequence[str], n_hid: int = 5,
-                   scale: float = 1.0, scale_inter: float = 0.5, act: str = "elu", rows: int = 10_000,
+                   scale: float = 1.0, scale_inter: float = 0.5, act: str = "elu", rows: int | None = None,
                    seed: int = 0) -> list[tuple[str, str]]:
-    """Pairs whose block survives a Lasso next to all single blocks, searched on a hash sample of rows.
+    """Pairs whose block survives a Lasso next to all single blocks; one pass over all rows.
 
-    ``target`` may be a residual; the sample bounds the cost of the wide basis and is the operator's own.
+    ``target`` may be a residual; ``rows`` asks for a hash sample by ``key`` instead.
     """
     rng = np.random.default_rng(seed)
     singles = [Hidden(n, hidden_weights(rng, scale, n_hid), act) for n in features]
@@ -139,7 +139,7 @@ def pairs_by_lasso(df: DataFrame, target: str, features: Sequence[str], count: i
         for a, b in combinations(features, 2)
     ]
     design = Design((Constant(), *singles, *doubles))
-    stats = gram(sample_rows(df, key, rows, seed), design, target)[0]
+    stats = gram(df if rows is None else sample_rows(df, key, rows, seed), design, target)[0]
     first = 1 + len(singles)
     blocks, _, _ = bisect_alpha(_surviving(design, stats, first), count)
     return [design.blocks[i].columns for i in blocks]

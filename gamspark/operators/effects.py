@@ -6,6 +6,7 @@ levels in ``x_cat``; ``n`` counts the training rows that have the value.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Sequence
 
@@ -13,12 +14,13 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.joins import is_small, lookup_join
+from ..functions.joins import lookup_join
 from ..functions.order import value_buckets, value_prefix
 from ..functions.scalars import c, clean_double, logit
-from ..session import cut_lineage
+from ..session import materialise
 
 OFFSET = "offset"
+NESTED_ROWS = 200_000
 COLUMNS = ["feat_name", "feat_idx", "x_num", "x_cat", "y", "y_std", "n"]
 
 
@@ -150,20 +152,18 @@ def contributions(df: DataFrame, effects: DataFrame, numeric: Sequence[str], cat
                   prefix: str = "contrib_") -> DataFrame:
     """One contribution column per feature by equi-join on the value; unknown values give NULL.
 
-    The effect table is materialised once. A table measured to be small is broadcast, so the rows are
-    never shuffled; a larger one goes through the hot-key-safe join.
+    The effect table is written once, so that the optimizer knows its bytes: below the broadcast
+    threshold the rows are never shuffled. Each feature is one join, the rows are read once.
     """
-    effects = cut_lineage(effects.where(F.col("feat_idx") >= 0).select("feat_name", "x_num", "x_cat", "y"))
-    small, out = is_small(effects), df
+    effects = materialise(effects.where(F.col("feat_idx") >= 0).select("feat_name", "x_num", "x_cat", "y"))
+    out = df
     for name in (*numeric, *categorical):
         is_num = name in numeric
         value = clean_double(c(name)) if is_num else c(name).cast("string")
         table = effects.where(F.col("feat_name") == name).select(
             F.col("x_num" if is_num else "x_cat").alias("__k"), F.col("y").alias(f"{prefix}{name}")
         )
-        keyed = out.withColumn("__k", value)
-        joined = keyed.join(F.broadcast(table), "__k", "left") if small else lookup_join(keyed, table, ["__k"])
-        out = joined.drop("__k")
+        out = lookup_join(out.withColumn("__k", value), table, ["__k"]).drop("__k")
     return out
 
 
@@ -183,33 +183,21 @@ def score_by_effects(df: DataFrame, effects: DataFrame, numeric: Sequence[str],
     return wide.withColumn(name, total).drop(*cols)
 
 
-def nearest_effect(df: DataFrame, col: str, effects: DataFrame, out: str = "y", max_knots: int = 100_000) -> DataFrame:
+def nearest_effect(df: DataFrame, col: str, effects: DataFrame, out: str = "y") -> DataFrame:
     """Effect of the nearest known value; beyond the ends the last one counts, ties go down.
 
-    With a bounded number of known values (checked) the lookup is a binary search inside each row's
-    task. Otherwise ``nearest_knots`` resolves the distinct values by a distributed as-of pass.
+    A value known several times has its least effect; NULL and NaN, and any value when none is known, give NULL. The distinct
+    values are resolved by ``nearest_knots`` and looked up, for any number of known values.
     """
-    table = effects.where(F.col("x_num").isNotNull()).select("x_num", "y")
-    knots = table.groupBy("x_num").agg(F.min("y").alias("y")).orderBy("x_num").limit(max_knots + 1).collect()
-    if len(knots) > max_knots:
-        matched = nearest_knots(df.select(clean_double(c(col)).alias("x")).distinct(), table)
-        known = matched.join(table.withColumnRenamed("x_num", "knot"), "knot").select(
-            F.col("x").alias("__k"), F.col("y").alias(out)
-        )
-        return lookup_join(df.withColumn("__k", clean_double(c(col))), known, ["__k"]).drop("__k")
-    xs, ys = [k["x_num"] for k in knots], F.array(*[F.lit(k["y"]) for k in knots])
-    if len(xs) == 1:
-        return df.withColumn(out, F.when(c(col).isNotNull(), F.lit(knots[0]["y"])))
-    # negated values turn the half-open bins around: a midpoint belongs to the lower knot
-    cuts = sorted({-(a + b) / 2 for a, b in zip(xs, xs[1:])})
-    keyed = df.withColumn("__neg", -c(col).cast("double"))
-    binned = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="__neg", outputCol="__bin",
-                        handleInvalid="keep").transform(keyed)
-    at = F.lit(len(xs)) - F.col("__bin").cast("int")
-    return binned.withColumn(out, F.when(c(col).isNotNull(), F.element_at(ys, at))).drop("__neg", "__bin")
+    table = effects.select(clean_double(c("x_num")).alias("x_num"), "y").where(F.col("x_num").isNotNull())
+    table = materialise(table.groupBy("x_num").agg(F.min("y").alias("y")))
+    keyed = df.withColumn("__k", clean_double(c(col)))
+    matched = nearest_knots(keyed.select(F.col("__k").alias("x")).distinct(), table)
+    known = matched.join(table.withColumnRenamed("x_num", "knot"), "knot").select(F.col("x").alias("__k"), F.col("y").alias(out))
+    return lookup_join(keyed, known, ["__k"]).drop("__k")
 
 
-def nearest_knots(values: DataFrame, table: DataFrame, buckets: int = 256) -> DataFrame:
+def nearest_knots(values: DataFrame, table: DataFrame, buckets: int | None = None) -> DataFrame:
     """(x, knot): nearest ``x_num`` of ``table`` for every distinct ``x``, without a global sort.
 
     Values and knots are cut into balanced value ranges; inside a range the neighbours are window
@@ -237,14 +225,17 @@ def nearest_knots(values: DataFrame, table: DataFrame, buckets: int = 256) -> Da
 
 
 def bin_effect(df: DataFrame, col: str, cuts: Sequence[float], scores: Sequence[float], out: str = "y") -> DataFrame:
-    """Score of the model bin that holds the value; a value on a cut belongs to the upper bin."""
+    """Score of the model bin that holds the value; a value on a cut belongs to the upper bin, NULL and NaN to none.
+
+    The scores are one literal of the plan, however many bins the model has.
+    """
     if not cuts:
         return df.withColumn(out, F.lit(float(scores[0])))
-    keyed = df.withColumn("__v", c(col).cast("double"))
+    keyed = df.withColumn("__v", clean_double(c(col)))
     binned = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="__v", outputCol="__bin",
                         handleInvalid="keep").transform(keyed)
-    table = F.array(*[F.lit(float(s)) for s in scores])
-    return binned.withColumn(out, F.when(c(col).isNotNull(), F.get(table, F.col("__bin").cast("int")))).drop("__v", "__bin")
+    table = F.from_json(F.lit(json.dumps([float(s) for s in scores])), "array<double>")
+    return binned.withColumn(out, F.when(F.col("__v").isNotNull(), F.get(table, F.col("__bin").cast("int")))).drop("__v", "__bin")
 
 
 def aggregate_effects(models: DataFrame) -> DataFrame:
@@ -460,7 +451,7 @@ def coefficient_table(spark: SparkSession, names: Sequence[str], coefs: Sequence
 
 def nested_effects(effects: DataFrame) -> DataFrame:
     """One row per feature with an array of points. For display: only small tables are nested."""
-    if not is_small(effects):
+    if effects.limit(NESTED_ROWS + 1).count() > NESTED_ROWS:
         raise ValueError("the effect table is too large to be shown as arrays; use the long form")
     return effects.groupBy("feat_name", "feat_idx").agg(
         F.array_sort(F.collect_list(F.struct("x_num", "x_cat", "y", "y_std", "n"))).alias("points")

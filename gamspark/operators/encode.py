@@ -18,20 +18,15 @@ MAX_ENCODED_LEVELS = 10_000
 
 
 def sorted_levels(df: DataFrame, cols: Sequence[str], limit: int = MAX_ENCODED_LEVELS) -> dict[str, list[str]]:
-    """Sorted distinct levels per column. Level tables are column metadata, so their size is checked."""
+    """Sorted distinct levels per column. Level tables are column metadata: a column of more than ``limit`` levels is refused."""
     if not cols:
         return {}
-    rows = (
-        feature_values(df, cols)
-        .where(F.col("x").isNotNull())
-        .groupBy("feat_name", "x")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("feat_name", "x")
-        .limit(limit + 1)
-        .collect()
-    )
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} levels in {list(cols)}; drop high-cardinality columns first")
+    levels = feature_values(df, cols).where(F.col("x").isNotNull()).select("feat_name", "x").distinct()
+    counts = {r[0]: r[1] for r in levels.groupBy("feat_name").agg(F.count(F.lit(1))).collect()}
+    wide = [n for n in cols if counts.get(n, 0) > limit]
+    if wide:
+        raise ValueError(f"more than {limit} levels in {wide}; drop high-cardinality columns first")
+    rows = levels.collect()
     return {n: sorted(r["x"] for r in rows if r["feat_name"] == n) for n in cols}
 
 
@@ -139,15 +134,11 @@ def robust_scale(df: DataFrame, cols: Sequence[str]) -> Scaler:
 
 
 def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """Row weight n / (classes * class size)."""
-    sizes = {r[0]: r[1] for r in df.groupBy(c(label)).agg(F.count(F.lit(1))).limit(1001).collect()}
-    if len(sizes) > 1000:
-        raise ValueError(f"{label} has more than 1000 classes")
-    total = sum(sizes.values())
-    expr = F.lit(None).cast("double")
-    for value, n in sizes.items():
-        expr = F.when(c(label).eqNullSafe(F.lit(value)), F.lit(total / (len(sizes) * n))).otherwise(expr)
-    return df.withColumn(name, expr)
+    """Row weight n / (classes * class size); NULL is a class."""
+    sizes = df.groupBy(c(label).alias("__label")).agg(F.count(F.lit(1)).alias("__n"))
+    whole = sizes.agg(F.sum("__n").alias("n"), F.count(F.lit(1)).alias("k")).first()
+    weights = sizes.select("__label", (F.lit(float(whole["n"] or 0)) / (F.lit(float(whole["k"])) * F.col("__n"))).alias(name))
+    return df.join(weights, c(label).eqNullSafe(F.col("__label")), "left").drop("__label")
 
 
 @dataclass

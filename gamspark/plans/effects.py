@@ -197,24 +197,42 @@ NEAREST_SQL = (
 )
 
 
-def _nearest(spark, folder, max_knots):
-    frame = items(spark, folder)
+def _knots(frame):
     knots = frame.groupBy(F.round(F.col("l_quantity") / 10).alias("k")).agg(F.avg("l_extendedprice").alias("y"))
-    knots = knots.select((F.col("k") * 10).alias("x_num"), "y")
-    asked = frame.select((F.col("l_quantity") + F.col("l_linenumber")).alias("x"))
-    out = fx.nearest_effect(asked, "x", knots, max_knots=max_knots)
+    return knots.select((F.col("k") * 10).alias("x_num"), "y")
+
+
+def _looked_up(asked, knots):
+    out = fx.nearest_effect(asked, "x", knots)
     return out.groupBy("x").agg(F.count(F.lit(1)).alias("n"), rnd(F.max("y")).alias("y"))
 
 
 @query("nearest_effect", NEAREST_SQL)
 def nearest_effect(spark, folder):
-    return _nearest(spark, folder, 100_000)
+    frame = items(spark, folder)
+    return _looked_up(frame.select((F.col("l_quantity") + F.col("l_linenumber")).alias("x")), _knots(frame))
 
 
 @query("nearest_effect_large", NEAREST_SQL)
 def nearest_effect_large(spark, folder):
-    """The same look-up by the distributed as-of pass that tables beyond the bound take."""
-    return _nearest(spark, folder, 2)
+    """The same with every knot known several times: the least effect counts."""
+    frame = items(spark, folder)
+    knots = _knots(frame)
+    more = knots.unionByName(knots.withColumn("y", F.col("y") + 1)).unionByName(knots.limit(3).withColumn("x_num", F.lit(float("nan"))))
+    return _looked_up(frame.select((F.col("l_quantity") + F.col("l_linenumber")).alias("x")), more)
+
+
+@query(
+    "nearest_effect_missing",
+    "SELECT CAST(NULL AS DOUBLE) AS y, count(*) AS n FROM lineitem WHERE l_linenumber <= 2",
+)
+def nearest_effect_missing(spark, folder):
+    """NULL and NaN have no nearest value, and nothing is near when no value is known."""
+    frame = items(spark, folder).where("l_linenumber <= 2")
+    value = F.when(F.col("l_linenumber") == 1, F.lit(float("nan")))
+    found = fx.nearest_effect(frame.where("l_tax > 0.04").select(value.alias("x")), "x", _knots(frame))
+    none = fx.nearest_effect(frame.where("l_tax <= 0.04").select(F.col("l_quantity").alias("x")), "x", _knots(frame).where("false"))
+    return found.select("y").unionByName(none.select("y")).groupBy("y").agg(F.count(F.lit(1)).alias("n"))
 
 
 CUTS = [10.0, 20.0, 30.0, 40.0]

@@ -41,9 +41,8 @@ DESIGN = Design((Constant(), Linear("a"), Levels("g", ("u", "w")), Spline("b", -
 
 def test_gram_equals_numpy(df, sample, monkeypatch):
     basis, y = DESIGN.build(batch(sample)), sample[3]
-    for block, small in ((8192, True), (7, True), (50, False)):
+    for block in (8192, 7, 50):
         monkeypatch.setattr(gm, "BLOCK", block)
-        monkeypatch.setattr(gm, "is_small", lambda d, limit=0, small=small: small)
         stats = gm.gram(df, DESIGN, "y")[0]
         assert np.allclose(stats.g, basis.T @ basis) and np.allclose(stats.b, basis.T @ y)
         assert np.isclose(stats.yy, y @ y) and stats.rows == N

@@ -69,11 +69,32 @@ def test_centred_effects_have_weighted_mean_zero(items):
     assert all(abs(r["m"]) < 1e-6 for r in means.collect())
 
 
-def test_centring_keeps_scores_and_large_tables_join_the_same(items, monkeypatch):
+@pytest.fixture
+def no_broadcast(spark):
+    """Joins as of tables beyond the broadcast threshold."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("count", [1, 5, 20])
+def test_contributions_read_the_rows_once(spark, no_broadcast, count):
+    names = [f"f{i}" for i in range(count)]
+    rows = spark.range(50).select("id", *[(F.col("id") % (i + 2)).cast("double").alias(n) for i, n in enumerate(names)])
+    table = fx.mean_effects(rows, "id", names)
+    scored = fx.score_by_effects(rows, table, names)
+    plan = scored._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Range (0, 50") == 1 and plan.count("Join LeftOuter") == count
+    means = {n: {r[n]: r["m"] for r in rows.groupBy(n).agg(F.avg("id").alias("m")).collect()} for n in names}
+    assert all(abs(r["score"] - sum(means[n][r[n]] for n in names)) < 1e-9 for r in scored.collect())
+
+
+def test_centring_keeps_scores_and_large_tables_join_the_same(items, no_broadcast, spark):
     raw = fx.mean_effects(items, "l_extendedprice", ["l_quantity"], ["l_returnflag"])
     total = [fx.score_by_effects(items, t, ["l_quantity"], ["l_returnflag"]).agg(F.sum("score")).first()[0]
              for t in (raw, fx.center_effects(raw))]
-    monkeypatch.setattr(fx, "is_small", lambda df: False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
     total.append(fx.score_by_effects(items, raw, ["l_quantity"], ["l_returnflag"]).agg(F.sum("score")).first()[0])
     assert np.allclose(total, total[0], rtol=1e-12)
 
@@ -88,13 +109,24 @@ def test_merged_levels_keep_the_score(spark, items):
     assert both.agg(F.max(F.abs(F.col("a") - F.col("b")))).first()[0] < 1e-6
 
 
-def test_nearest_paths_agree_and_ties_go_down(spark):
-    knots = spark.createDataFrame([(0.0, 10.0), (2.0, 20.0), (7.0, 30.0)], "x_num double, y double")
-    df = spark.createDataFrame([(v,) for v in (-5.0, 1.0, 1.01, 4.5, 4.6, 99.0, None)], "x double")
-    want = {-5.0: 10.0, 1.0: 10.0, 1.01: 20.0, 4.5: 20.0, 4.6: 30.0, 99.0: 30.0, None: None}
-    for limit in (100, 1):
-        got = fx.nearest_effect(df, "x", knots, max_knots=limit).collect()
-        assert {r["x"]: r["y"] for r in got} == want
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_nearest_effect_and_ties_go_down(spark, no_broadcast, threshold):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    known = [(0.0, 10.0), (2.0, 20.0), (2.0, 25.0), (7.0, 30.0), (None, 1.0), (float("nan"), 2.0)]
+    knots = spark.createDataFrame(known, "x_num double, y double")
+    values = (-5.0, 1.0, 1.0, 1.01, 4.5, 4.6, 99.0, None, float("nan"))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double")
+    got = [r["y"] for r in fx.nearest_effect(df, "x", knots).orderBy("i").collect()]
+    assert got == [10.0, 10.0, 10.0, 20.0, 20.0, 30.0, 30.0, None, None]
+    assert [r["y"] for r in fx.nearest_effect(df, "x", knots.where("false")).collect()] == [None] * len(values)
+    assert fx.nearest_effect(df.where("false"), "x", knots).count() == 0
+    one = fx.nearest_effect(df, "x", knots.where("x_num = 0")).orderBy("i").collect()
+    assert [r["y"] for r in one] == [10.0] * 7 + [None] * 2
+
+
+def test_bin_effect_of_missing_values(spark):
+    df = spark.createDataFrame([(0, None), (1, float("nan")), (2, 1.0), (3, 5.0)], "i int, x double")
+    assert [r["y"] for r in fx.bin_effect(df, "x", [1.0], [7.0, 8.0]).orderBy("i").collect()] == [None, None, 8.0, 8.0]
 
 
 def test_local_filters(spark):

@@ -60,9 +60,23 @@ def test_lookup_join_paths_agree(spark):
     keys = [None if u < 0.1 else (0 if u < 0.5 else int(u * 400)) for u in rng.random(4000)]
     left = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "id int, k int")
     table = spark.range(0, 350).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("v"))
-    small = lookup_join(left, table, ["k"])
-    large = lookup_join(left, table, ["k"], max_rows=1, share=0.01, floor=10)
     want = {i: None if k is None or k >= 350 else 2 * k for i, k in enumerate(keys)}
-    for out in (small, large):
-        rows = out.select("id", "v").collect()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for threshold in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        rows = lookup_join(left, table, ["k"]).select("id", "v").collect()
         assert len(rows) == 4000 and {r["id"]: r["v"] for r in rows} == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_value_prefix_leaves_nan_out(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (3.0,), (1.0,)], "x double")
+    got = {r["x"]: (r["n"], r["n_below"]) for r in value_prefix(df, "x", {"n": F.count(F.lit(1))}).collect()}
+    assert got == {1.0: (2, 0), 3.0: (1, 2)}
+
+
+def test_poisson_weights_reach_far(spark):
+    from gamspark.functions.scalars import poisson_cdf
+
+    assert 1 - poisson_cdf(20.0)[-1] < 1e-15 and len(poisson_cdf(20.0)) > 60
+    assert poisson_cdf(1.0, 3) == poisson_cdf(1.0)[:3]
