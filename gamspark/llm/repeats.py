@@ -37,7 +37,8 @@ CELLS_PER_ANCHOR, BYTES_PER_ANCHOR = 4, 40
 FLUSH_ANCHORS = 1 << 20
 RANGE_WINDOWS = 1 << 20
 LAST = np.iinfo(np.int64).max
-SENT_SCHEMA = "bucket int, ids binary, hashes binary, doc_of binary, at binary, h1 binary, h2 binary, doc_key long, hash_key long, runs binary"
+SENT_SCHEMA = "bucket int, area int, ids binary, hashes binary, doc_of binary, at binary, h1 binary, h2 binary"
+MARK_SCHEMA = "area int, ids binary, hashes binary, doc_of binary, at binary"
 DOC_SCHEMA = "doc_id long, text_hash long, n_words long, kept_sha256 string, text string"
 
 
@@ -172,31 +173,34 @@ def _text_hash(text: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
 
 
-def _runs(starts: np.ndarray) -> bytes:
-    """Sorted numbers as first and last ones of their runs."""
-    first = np.flatnonzero(np.diff(starts, prepend=-2) != 1)
-    last = np.append(first[1:], len(starts)) - 1
-    return np.column_stack([starts[first], starts[last]]).astype("<i4").tobytes()
-
-
 def _candidates(words: Words, hashes: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
     starts, keys = window_keys(words, hashes)
     return starts[_shows_two(bitmap, keys, bits)]
 
 
-def _by_document(ids: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Places, as runs by document."""
-    order = np.lexsort((at, hashes, ids))
-    ids, hashes, at = ids[order], hashes[order], at[order]
-    change = np.ones(len(at), dtype=bool)
-    change[1:] = (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])
-    first = np.flatnonzero(change)
-    return ids[first], hashes[first], [_runs(np.unique(at[a:b])) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(at)])]
+def _by_area(ids: np.ndarray, hashes: np.ndarray, at: np.ndarray, areas: int) -> Iterator[dict]:
+    """Marks packed by area (a range of text hashes): documents, and for each of them runs of starts."""
+    area = hashes % areas
+    order = np.lexsort((at, ids, hashes, area))
+    ids, hashes, at, area = ids[order], hashes[order], at[order], area[order]
+    bounds = np.append(np.flatnonzero(np.diff(area, prepend=-1)), len(area)).tolist()
+    for a, b in zip(bounds, bounds[1:]):
+        change = np.ones(b - a, dtype=bool)
+        change[1:] = (ids[a + 1 : b] != ids[a : b - 1]) | (hashes[a + 1 : b] != hashes[a : b - 1])
+        own = np.cumsum(change) - 1
+        first = change.copy()
+        first[1:] |= np.diff(at[a:b]) > 1
+        start = np.flatnonzero(first)
+        last = np.append(start[1:], b - a) - 1
+        yield {
+            "area": int(area[a]), "ids": ids[a:b][change].astype("<i8").tobytes(), "hashes": hashes[a:b][change].astype("<i8").tobytes(),
+            "doc_of": own[start].astype("<i4").tobytes(), "at": np.column_stack([at[a:b][start], at[a:b][last]]).astype("<i4").tobytes(),
+        }
 
 
 def _send(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, bits: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Of each slice: its first ones of equal candidate windows, by range of the hash, and the marks of the others."""
-    schema = pa.schema([("bucket", pa.int32())] + [(n, pa.binary()) for n in ("ids", "hashes", "doc_of", "at", "h1", "h2")] + [("doc_key", pa.int64()), ("hash_key", pa.int64()), ("runs", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("area", pa.int32())] + [(n, pa.binary()) for n in ("ids", "hashes", "doc_of", "at", "h1", "h2")])
     for rows, texts in slices(batches):
         words = texts.words()
         hashes = words.hashes()
@@ -212,9 +216,7 @@ def _send(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, bits: int, buck
         at = starts - words.bounds[doc]
         order, later = _later(h1, h2, id_of[doc], hash_of[doc], at)
         marked = order[later]
-        out = []
-        for i, h, runs in zip(*_by_document(id_of[doc[marked]], hash_of[doc[marked]], at[marked])):
-            out.append({"bucket": int(h) % buckets, "doc_key": int(i), "hash_key": int(h), "runs": runs})
+        out = [m | {"bucket": m["area"]} for m in _by_area(id_of[doc[marked]], hash_of[doc[marked]], at[marked], buckets)]
         send = np.sort(order[~later])
         bucket = ((h1 >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
         send = send[np.argsort(bucket[send], kind="stable")]
@@ -231,12 +233,12 @@ def _send(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, bits: int, buck
         yield pa.RecordBatch.from_pylist(out, schema=schema)
 
 
-def _mark(rows: pa.Table) -> pa.Table:
-    """Windows of one range of hashes from all slices: runs of starts that come later, by document; slices' own marks as they are."""
-    parts, own = [], []
+def _mark(rows: pa.Table, areas: int) -> pa.Table:
+    """Windows of one range of hashes from all slices: those that start later than another, by area; slices' own marks as they are."""
+    parts, out = [], []
     for r in rows.to_pylist():
-        if r["runs"] is not None:
-            own.append((r["doc_key"], r["hash_key"], r["runs"]))
+        if r["h1"] is None:
+            out.append({k: r[k] for k in ("area", "ids", "hashes", "doc_of", "at")})
             continue
         of = np.frombuffer(r["doc_of"], "<i4")
         places = (np.frombuffer(r["ids"], "<i8")[of], np.frombuffer(r["hashes"], "<i8")[of], np.frombuffer(r["at"], "<i4"))
@@ -245,9 +247,24 @@ def _mark(rows: pa.Table) -> pa.Table:
         h1, h2, ids, hashes, at = (np.concatenate(x) for x in zip(*parts))
         order, later = _later(h1, h2, ids, hashes, at)
         marked = order[later]
-        own += [(int(i), int(h), runs) for i, h, runs in zip(*_by_document(ids[marked], hashes[marked], at[marked]))]
-    columns = list(zip(*own)) or [(), (), ()]
-    return pa.table({"doc_key": pa.array(columns[0], pa.int64()), "hash_key": pa.array(columns[1], pa.int64()), "runs": pa.array(columns[2], pa.binary())})
+        out += _by_area(ids[marked], hashes[marked], at[marked], areas)
+    return pa.Table.from_pylist(out, schema=pa.schema([("area", pa.int32())] + [(n, pa.binary()) for n in ("ids", "hashes", "doc_of", "at")]))
+
+
+def _gather(rows: pa.Table) -> pa.Table:
+    """All marks of an area's documents, a row per document."""
+    parts = []
+    for r in rows.to_pylist():
+        of = np.frombuffer(r["doc_of"], "<i4")
+        parts.append((np.frombuffer(r["ids"], "<i8")[of], np.frombuffer(r["hashes"], "<i8")[of], np.frombuffer(r["at"], "<i4").reshape(-1, 2)))
+    ids, hashes, runs = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((ids, hashes))
+    ids, hashes, runs = ids[order], hashes[order], runs[order]
+    change = np.ones(len(ids), dtype=bool)
+    change[1:] = (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])
+    first = np.flatnonzero(change)
+    marks = [runs[a:b].tobytes() for a, b in zip(first.tolist(), [*first[1:].tolist(), len(ids)])]
+    return pa.table({"doc_key": pa.array(ids[first], pa.int64()), "hash_key": pa.array(hashes[first], pa.int64()), "marks": pa.array(marks, pa.binary())})
 
 
 def _open(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
@@ -276,10 +293,9 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digests.append(digest)
                 continue
             change = np.zeros(n + 1, dtype=np.int64)
-            for runs in marks or []:
-                first, last = np.frombuffer(runs, "<i4").reshape(-1, 2).T
-                np.add.at(change, first, 1)
-                np.add.at(change, last + WINDOW, -1)
+            first, last = np.frombuffer(marks or b"", "<i4").reshape(-1, 2).T
+            np.add.at(change, first, 1)
+            np.add.at(change, last + WINDOW, -1)
             gone = np.cumsum(change[:-1]) > 0
             removed.append(int(gone.sum()))
             digests.append(_digest([w for w, g in zip(text.encode().split(), gone.tolist()) if not g]))
@@ -299,8 +315,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     buckets = max(8, math.ceil(size / 6 / RANGE_WINDOWS))
     marks = (
         rows.mapInArrow(lambda b: _send(b, bitmap.value, bits, buckets), SENT_SCHEMA)
-        .groupBy("bucket").applyInArrow(_mark, "doc_key long, hash_key long, runs binary")
-        .groupBy("doc_key", "hash_key").agg(F.collect_list("runs").alias("marks"))
+        .groupBy("bucket").applyInArrow(lambda t: _mark(t, buckets), MARK_SCHEMA)
+        .groupBy("area").applyInArrow(_gather, "doc_key long, hash_key long, marks binary")
     )
     opened = rows.mapInArrow(lambda b: _open(b, bitmap.value, bits), DOC_SCHEMA)
     joined = opened.join(marks, (F.coalesce("doc_id", F.lit(LAST)) == F.col("doc_key")) & (F.col("text_hash") == F.col("hash_key")), "left")
