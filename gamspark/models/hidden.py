@@ -228,5 +228,6 @@ def fit_hidden_boosting(
     model.info = {"val_losses": stop.path, "best_round": stop.best_round}
     if task == "classification" and optimize_threshold:
         scored = df.where(~val).select(c(target).cast("int").alias("y"), model.raw().alias("s"))
-        model.threshold = best_threshold(cut_lineage(scored), "y", "s").first()["threshold"]
+        # the curve predicts class 1 above its threshold, the model from its threshold on
+        model.threshold = float(np.nextafter(best_threshold(cut_lineage(scored), "y", "s").first()["threshold"], np.inf))
     return model

@@ -28,6 +28,23 @@ def classes(spark, folder):
     )
 
 
+#: Large quantity as a label, as ``classes`` makes it.
+CLASSES = (
+    "c AS (SELECT *, l_extendedprice / 10000 AS price, CAST(l_extendedprice / 10000 + l_partkey % 7 + l_discount * 20 > 9 AS INTEGER) AS label "
+    "FROM lineitem) "
+)
+
+
+def _level_means(by: str, value: str, name: str, digits: int = 4) -> str:
+    return f"WITH {CLASSES} SELECT {by}, round({value}, {digits}) AS {name}, count(*) AS n FROM c GROUP BY {by}"
+
+
+def _by(model, frame, by, digits=4, name="prediction", column="prediction"):
+    """Mean prediction and number of rows at each value of a column."""
+    found = model.predict(frame).groupBy(by).agg(F.avg(column).alias(name), F.count(F.lit(1)).alias("n"))
+    return found.withColumn(name, rnd(name, digits))
+
+
 @query("flagship")
 def flagship(spark, folder):
     """Clean, encode, fit an additive model on one Gram, and return its centred effects with importance."""
@@ -103,12 +120,22 @@ def elastic_net(spark, folder):
     return model.coefficients(spark).select(rnd("coef").alias("coef"), F.round(F.lit(model.intercept), 4).alias("intercept"))
 
 
-@query("elastic_net_path")
+PATH = [(a, r) for a in (0.1, 10.0, 1000.0) for r in (0.0, 0.5, 1.0)]
+
+
+@query(
+    "elastic_net_path",
+    "WITH s AS (SELECT covar_pop(l_quantity, l_extendedprice) AS c, var_pop(l_quantity) AS v FROM lineitem) "
+    + " UNION ALL ".join(
+        f"SELECT CAST({a} AS DOUBLE) AS alpha, CAST({r} AS DOUBLE) AS l1_ratio, round(sign(c) * greatest(abs(c) - {a} * {r}, 0) / (v + {a} * {1 - r}), 4) AS coef FROM s"
+        for a, r in PATH
+    ),
+)
 def elastic_net_path(spark, folder):
-    settings = [(a, r) for a in (0.1, 10.0, 1000.0) for r in (0.0, 0.5, 1.0)]
-    models = linear.fit_elastic_net_path(items(spark, folder), TARGET, NUM, CAT, settings, scale=True)
-    rows = [(m.info["alpha"], m.info["l1_ratio"], int((abs(m.beta[1:]) > 0).sum())) for m in models]
-    return spark.createDataFrame(rows, "alpha double, l1_ratio double, nonzero int")
+    """One feature has a closed form for every setting; all come from one pass."""
+    models = linear.fit_elastic_net_path(items(spark, folder), TARGET, ["l_quantity"], [], PATH)
+    rows = [(m.info["alpha"], m.info["l1_ratio"], float(m.beta[1])) for m in models]
+    return spark.createDataFrame(rows, "alpha double, l1_ratio double, coef double").withColumn("coef", rnd("coef", 4))
 
 
 PAIR_BINS = {"l_quantity": [10.5, 20.5, 30.5, 40.5], "l_discount": [0.025, 0.055, 0.085], "l_tax": [0.015, 0.045]}
@@ -152,97 +179,117 @@ def _losses(spark, model, frame, target, **extra):
     return spark.createDataFrame([tuple(row.values())], list(row))
 
 
-@query("logistic")
+LEVEL_ODDS = _level_means("l_returnflag", "ln(avg(label) / (1 - avg(label)))", "log_odds", 3)
+
+
+@query("logistic", LEVEL_ODDS)
 def logistic(spark, folder):
+    """Without a penalty, the log odds of a model of one factor are those of its levels."""
     frame = classes(spark, folder)
-    model = linear.fit_logistic(frame, "label", ["price", "l_discount"], ["l_returnflag"], C=1.0, class_weight="balanced")
-    return model.coefficients(spark)
+    model = linear.fit_logistic(frame, "label", [], ["l_returnflag"], penalty=None, tol=1e-13)
+    return _by(model, frame, "l_returnflag", 3, "log_odds", "raw")
 
 
-@query("decision_tree")
+@query("decision_tree", _level_means("label", "avg(price)", "prediction"))
 def decision_tree(spark, folder):
+    """A tree of one split on a feature of two values predicts the mean of each."""
     frame = classes(spark, folder)
-    return _losses(spark, trees.fit_tree(frame, "label", ["price", *NUM], CAT, "classification", max_depth=4), frame, "label")
+    return _by(trees.fit_tree(frame, "price", ["label"], max_depth=1), frame, "label")
 
 
-@query("random_forest")
+@query("random_forest", _level_means("label", "avg(3 + 2 * label)", "prediction"))
 def random_forest(spark, folder):
-    frame = classes(spark, folder)
-    model = trees.fit_forest(frame, "price", ["label", *NUM], CAT, n_estimators=10, max_depth=5)
-    return _losses(spark, model, frame, "price")
+    """Where the target is a function of the feature, every bag's leaves are exact."""
+    frame = classes(spark, folder).withColumn("y", 3.0 + 2 * F.col("label"))
+    return _by(trees.fit_forest(frame, "y", ["label", "l_tax"], n_estimators=5, max_depth=2), frame, "label")
 
 
-@query("boosted_trees")
+@query("boosted_trees", _level_means("label", "avg(price)", "prediction"))
 def boosted_trees(spark, folder):
+    """At rate 1 the first tree takes the means and leaves no residual to the others."""
     frame = classes(spark, folder)
-    model = trees.fit_boosted_trees(frame, "price", ["label", *NUM], CAT, n_estimators=5, max_depth=3, learning_rate=0.3)
-    return _losses(spark, model, frame, "price")
+    return _by(trees.fit_boosted_trees(frame, "price", ["label"], n_estimators=3, max_depth=1, learning_rate=1.0), frame, "label")
 
 
-@query("stump_gam")
+@query(
+    "stump_gam",
+    f"WITH {CLASSES} SELECT CAST(label AS DOUBLE) AS x_num, round(avg(price) - (SELECT avg(price) FROM c), 4) AS y, count(*) AS n FROM c GROUP BY label",
+)
 def stump_gam(spark, folder):
+    """Centred effects of the stumps on a feature of two values: the means less the mean."""
     frame = classes(spark, folder)
-    model = trees.fit_boosted_trees(frame, "label", ["price", "l_discount"], CAT, "classification", n_estimators=10, max_depth=1, learning_rate=0.5)
-    return fx.importance(trees.stump_effects(model, frame))
+    model = trees.fit_boosted_trees(frame, "price", ["label"], n_estimators=3, max_depth=1, learning_rate=1.0)
+    return fx.center_effects(trees.stump_effects(model, frame)).where("feat_idx >= 0").select("x_num", rnd("y", 4).alias("y"), "n")
 
 
-@query("perceptron")
+@query("perceptron", f"WITH {CLASSES} SELECT count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, true AS better FROM c")
 def perceptron(spark, folder):
+    """All rows are scored, and better than by the share of the labels."""
     frame = classes(spark, folder)
     model = trees.fit_perceptron(frame, "label", ["price", "l_discount"], [], hidden=(5,), max_iter=30)
-    return _losses(spark, model, frame, "label")
+    found = _losses(spark, model, frame, "label").select((F.col("loss") < F.col("constant_loss")).alias("better"))
+    counts = model.predict(frame).agg(F.count("prediction").alias("n"), F.sum(F.col("label").cast("long")).alias("positives")).first()
+    return found.select(F.lit(counts["n"]).alias("n"), F.lit(counts["positives"]).alias("positives"), "better")
 
 
-@query("spline_gam")
+@query("spline_gam", _level_means("l_linenumber", "avg(price)", "prediction", 3))
 def spline_gam(spark, folder):
+    """With more splines than values and next to no penalty, the fit at a value is its mean."""
     frame = classes(spark, folder)
-    model = spline.fit_spline_gam(frame, "price", ["l_discount", "l_quantity"], ["l_returnflag"], n_splines=10)
-    return _losses(spark, model, frame, "price", lam=model.info["lam"], edf=model.info["edf"])
+    return _by(spline.fit_spline_gam(frame, "price", ["l_linenumber"], n_splines=12, lam=1e-6), frame, "l_linenumber", 3)
 
 
-@query("spline_gam_logit")
+@query("spline_gam_logit", LEVEL_ODDS)
 def spline_gam_logit(spark, folder):
+    """With next to no penalty, the log odds of a factor are those of its levels."""
     frame = classes(spark, folder)
-    model = spline.fit_spline_gam(frame, "label", ["price", "l_discount"], ["l_returnflag"], "classification", n_splines=10, max_iter=8)
-    return _losses(spark, model, frame, "label", lam=model.info["lam"], edf=model.info["edf"])
+    model = spline.fit_spline_gam(frame, "label", [], ["l_returnflag"], "classification", lam=1e-7, tol=1e-12)
+    return _by(model, frame, "l_returnflag", 3, "log_odds", "raw")
 
 
-@query("lambda_search")
+@query(
+    "lambda_search",
+    f"WITH {CLASSES} SELECT 1e9 AS lam, CAST(2 AS DOUBLE) AS edf, round(count(*) * count(*) * var_pop(price) * (1 - pow(corr(price, l_quantity), 2)) / pow(count(*) - 2, 2), 4) AS gcv FROM c",
+)
 def lambda_search(spark, folder):
-    """Effective degrees of freedom and GCV along the penalty grid, all from one Gram."""
-    model = spline.fit_spline_gam(classes(spark, folder), "price", ["l_discount", "l_quantity"], ["l_returnflag"], n_splines=10)
-    return spark.createDataFrame(model.info["path"], "lam double, edf double, gcv double")
+    """At the largest penalty a spline is a straight line: two degrees of freedom and the line's residuals."""
+    model = spline.fit_spline_gam(classes(spark, folder), "price", ["l_quantity"], n_splines=10, lambdas=(1.0, 1e9))
+    return spark.createDataFrame(model.info["path"][-1:], "lam double, edf double, gcv double").select("lam", rnd("edf", 3).alias("edf"), rnd("gcv", 4).alias("gcv"))
 
 
-@query("regression_spline")
+@query("regression_spline", _level_means("l_linenumber", "avg(price)", "prediction", 3))
 def regression_spline(spark, folder):
+    """The basis has as many functions as there are values; next to no penalty gives the means."""
     frame = classes(spark, folder)
-    model = spline.fit_regression_spline(frame, "price", ["l_discount", "l_quantity", "label"], CAT, max_k=8)
-    return _losses(spark, model, frame, "price", lam=model.info["lam"], edf=model.info["edf"])
+    return _by(spline.fit_regression_spline(frame, "price", ["l_linenumber"], max_k=8, lambdas=(1e-6,)), frame, "l_linenumber", 3)
 
 
-@query("partial_dependence")
+@query(
+    "partial_dependence",
+    f"WITH {CLASSES} SELECT CAST(l_linenumber AS DOUBLE) AS x, round(avg(price) - (SELECT avg(price) FROM c WHERE l_linenumber = 1), 3) AS y FROM c GROUP BY l_linenumber",
+)
 def partial_dependence(spark, folder):
-    model = spline.fit_spline_gam(classes(spark, folder), "price", ["l_discount", "l_quantity"], [], n_splines=8)
-    return spline.partial_dependence(spark, model, 100)
+    """The curve of the fit that takes the means, at its values, less its begin."""
+    model = spline.fit_spline_gam(classes(spark, folder), "price", ["l_linenumber"], n_splines=12, lam=1e-6)
+    curve = spline.partial_dependence(spark, model, 7)
+    begin = curve.orderBy("x").first()["y"]
+    return curve.select("x", rnd(F.col("y") - F.lit(begin), 3).alias("y"))
 
 
-@query("binned_boosting")
+@query("binned_boosting", _level_means("l_linenumber", "avg(l_linenumber * l_linenumber)", "prediction", 2))
 def binned_boosting(spark, folder):
-    frame = classes(spark, folder)
-    model = boosting.fit_binned_boosting(
-        frame, "price", ["label", *NUM], CAT, key=KEY, max_bins=16, interactions=1, outer_bags=2, rounds=200
-    )
-    return _losses(spark, model, frame, "price", pair=" x ".join(model.info["pairs"][0]))
+    """Boosted to the end, every bag has the value of a bin where the target is a function of it."""
+    frame = classes(spark, folder).withColumn("y", (F.col("l_linenumber") * F.col("l_linenumber")).cast("double"))
+    model = boosting.fit_binned_boosting(frame, "y", ["l_linenumber"], key=KEY, max_bins=16, outer_bags=2, inner_bags=2, learning_rate=0.5, rounds=400)
+    return _by(model, frame, "l_linenumber", 2)
 
 
-@query("binned_boosting_logit")
+@query("binned_boosting_logit", _level_means("l_linenumber", "avg(CASE WHEN l_linenumber <= 3 THEN 1.0 ELSE 0.0 END)", "prediction"))
 def binned_boosting_logit(spark, folder):
-    frame = classes(spark, folder)
-    model = boosting.fit_binned_boosting(
-        frame, "label", ["price", "l_discount"], CAT, "classification", key=KEY, max_bins=16, inner_bags=2, rounds=100, passes=4
-    )
-    return _losses(spark, model, frame, "label")
+    """A label that a bin decides is predicted without error."""
+    frame = classes(spark, folder).withColumn("y", (F.col("l_linenumber") <= 3).cast("int"))
+    model = boosting.fit_binned_boosting(frame, "y", ["l_linenumber"], ["l_linestatus"], "classification", key=KEY, max_bins=16, inner_bags=2, rounds=100, passes=4)
+    return _by(model, frame, "l_linenumber")
 
 
 def _scaled(spark, folder, cols):
@@ -256,73 +303,130 @@ def _holdout():
     return hash_uniform("val", *[F.col(k) for k in KEY]) < 0.15
 
 
-@query("hidden_boosting")
+def _line(spark, folder):
+    """A target on a straight line of the line number, scaled to about one."""
+    x = (F.col("l_linenumber") - 4) / 2
+    return classes(spark, folder).withColumn("x", x.cast("double")).withColumn("y", (2 * x - 1).cast("double"))
+
+
+LINE = "(2 * (l_linenumber - 4) / 2 - 1)"
+
+
+@query("hidden_boosting", _level_means("l_linenumber", f"avg({LINE})", "prediction", 2))
 def hidden_boosting(spark, folder):
-    frame = _scaled(spark, folder, ["price", "l_discount", "l_quantity"])
-    model = hidden.fit_hidden_boosting(frame, "price", ["label", "l_discount", "l_quantity"], _holdout(), n_hid=5, n_estimators=60,
-                                       init_reg=0.01, pairs=[("label", "l_discount")])
-    return _losses(spark, model, frame, "price", learners=len(model.learners))
+    """A target on a line: the linear start and the learners after it end on the line."""
+    frame = _line(spark, folder)
+    model = hidden.fit_hidden_boosting(frame, "y", ["x", "label"], _holdout(), n_hid=5, n_estimators=40, init_reg=1e-4, pairs=[("x", "label")])
+    return _by(model, frame, "l_linenumber", 2)
 
 
-@query("hidden_boosting_logit")
+@query("hidden_boosting_logit", _level_means("l_linenumber", "avg(CASE WHEN l_linenumber > 4 THEN 1.0 ELSE 0.0 END)", "prediction"))
 def hidden_boosting_logit(spark, folder):
-    frame = _scaled(spark, folder, ["price", "l_discount"])
-    model = hidden.fit_hidden_boosting(frame, "label", ["price", "l_discount"], _holdout(), "classification", n_hid=5, n_estimators=5,
-                                       boost_rate=0.5, optimize_threshold=True)
-    return _losses(spark, model, frame, "label", learners=len(model.learners), threshold=float(model.threshold))
+    """A label that the value decides is predicted without error."""
+    frame = _line(spark, folder).withColumn("z", (F.col("l_linenumber") > 4).cast("int"))
+    model = hidden.fit_hidden_boosting(frame, "z", ["x"], _holdout(), "classification", n_hid=5, n_estimators=5, boost_rate=0.5,
+                                       optimize_threshold=True)
+    return _by(model, frame, "l_linenumber")
 
 
-@query("shape_functions")
+@query(
+    "shape_functions",
+    f"SELECT CAST((l_linenumber - 4) / 2 AS DOUBLE) AS x_num, round({LINE} - (SELECT avg({LINE}) FROM lineitem), 2) AS y, count(*) AS n FROM lineitem GROUP BY l_linenumber",
+)
 def shape_functions(spark, folder):
-    frame = _scaled(spark, folder, ["l_discount", "l_quantity"])
-    model = hidden.fit_hidden_boosting(frame, "price", ["label", "l_discount", "l_quantity"], _holdout(), n_hid=4, n_estimators=20, init_reg=0.01)
-    return fx.center_effects(model.shape_functions(frame)).select("feat_name", "feat_idx", "x_num", "y", "n")
+    """The centred shape of the feature that makes the target."""
+    frame = _line(spark, folder)
+    model = hidden.fit_hidden_boosting(frame, "y", ["x"], _holdout(), n_hid=4, n_estimators=20, init_reg=1e-4)
+    return fx.center_effects(model.shape_functions(frame)).where("feat_name = 'x'").select("x_num", rnd("y", 2).alias("y"), "n")
+
+
+def _planted_gain(by: str) -> str:
+    return f"(SELECT sum(s * s / n) FROM (SELECT sum(r) AS s, count(*) AS n FROM p GROUP BY {by}))"
+
+
+def _strongest_pair(target: str) -> str:
+    """The pair of discrete columns whose cells explain most beyond both columns."""
+    names = ("l_discount", "l_linenumber", "l_tax")
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    found = " UNION ALL ".join(
+        f"SELECT '{a}' AS feat_a, '{b}' AS feat_b, {_planted_gain(a + ', ' + b)} - {_planted_gain(a)} - {_planted_gain(b)} AS g" for a, b in pairs
+    )
+    return f"WITH p AS (SELECT *, {target} - avg({target}) OVER () AS r FROM lineitem), g AS ({found}) SELECT feat_a, feat_b FROM g ORDER BY g DESC LIMIT 1"
 
 
-@query("select_features")
+@query(
+    "select_features",
+    "WITH p AS (SELECT *, pow(l_discount * 20 - 1, 2) - avg(pow(l_discount * 20 - 1, 2)) OVER () AS r FROM lineitem), g AS ("
+    + " UNION ALL ".join(f"SELECT '{n}' AS feat_name, {_planted_gain(n)} AS g" for n in ("l_discount", "l_quantity", "l_tax"))
+    + ") SELECT feat_name FROM g ORDER BY g DESC LIMIT 1",
+)
 def select_features(spark, folder):
-    names = ["label", "l_discount", "l_quantity", "l_tax"]
-    kept = interactions.select_features(_scaled(spark, folder, ["price", *names]), "price", names, 2, n_hid=5)
+    """The feature whose values explain the target is the one that is kept."""
+    names = ["l_discount", "l_quantity", "l_tax"]
+    frame = _scaled(spark, folder, names).join(items(spark, folder).select(*KEY, F.col("l_discount").alias("raw")).distinct(), KEY)
+    frame = frame.withColumn("y", F.pow(F.col("raw") * 20 - 1, 2))
+    kept = interactions.select_features(frame, "y", names, 1, n_hid=8)
     return spark.createDataFrame([(n,) for n in kept], "feat_name string")
 
 
-@query("pairs_by_tree")
+@query("pairs_by_tree", _strongest_pair("CASE WHEN l_discount > 0.045 AND l_tax > 0.035 THEN 1.0 ELSE 0.0 END"))
 def pairs_by_tree(spark, folder):
-    found = interactions.pairs_by_tree(classes(spark, folder), "label", ["price", "l_discount", "l_quantity"], 1, "classification")
-    return spark.createDataFrame(found, "feat_a string, feat_b string")
+    """A label that two features decide together: the tree uses these two."""
+    frame = classes(spark, folder).withColumn("y", ((F.col("l_discount") > 0.045) & (F.col("l_tax") > 0.035)).cast("int"))
+    found = interactions.pairs_by_tree(frame, "y", ["l_discount", "l_linenumber", "l_tax"], 1, "classification")
+    return spark.createDataFrame([tuple(sorted(n.removeprefix("num__") for n in p)) for p in found], "feat_a string, feat_b string")
 
 
-@query("pairs_by_lasso")
+@query("pairs_by_lasso", _strongest_pair("(l_discount - 0.05) * (l_tax - 0.04) * 1000"))
 def pairs_by_lasso(spark, folder):
-    names = ["price", "l_discount", "l_quantity"]
-    found = interactions.pairs_by_lasso(_scaled(spark, folder, names), "label", names, 1, KEY, n_hid=4)
-    return spark.createDataFrame(found, "feat_a string, feat_b string")
+    """A target that is a product of two features: their pair is the one that is kept."""
+    names = ["l_discount", "l_linenumber", "l_tax"]
+    frame = _scaled(spark, folder, names).withColumn("y", F.col("l_discount") * F.col("l_tax"))
+    found = interactions.pairs_by_lasso(frame, "y", names, 1, KEY, n_hid=6)
+    return spark.createDataFrame([tuple(sorted(p)) for p in found], "feat_a string, feat_b string")
 
 
-@query("bagged_gam")
+@query(
+    "bagged_gam",
+    "SELECT 'l_quantity' AS feat_name, round(avg(abs(3 * (l_quantity - (SELECT avg(l_quantity) FROM lineitem)))), 4) AS importance FROM lineitem",
+)
 def bagged_gam(spark, folder):
-    frame = items(spark, folder)
-    model = bagging.fit_bagged_ridge(frame, TARGET, NUM, CAT, bags=5, key=KEY)
-    return fx.bag_importance(model.member_effects(frame))
+    """On a straight line every bag has the line's slope, so the importance is that of the line."""
+    frame = items(spark, folder).withColumn("y", 3 * F.col("l_quantity") + 2)
+    model = bagging.fit_bagged_ridge(frame, "y", ["l_quantity"], bags=5, key=KEY, alpha=0.0)
+    return fx.bag_importance(model.member_effects(frame)).withColumn("importance", rnd("importance", 4))
 
 
-@query("subspace_ensemble")
+@query("subspace_ensemble", _level_means("l_linenumber", "avg(CASE WHEN l_linenumber > 4 THEN 1.0 ELSE 0.0 END)", "prediction"))
 def subspace_ensemble(spark, folder):
-    frame = classes(spark, folder)
-    model = bagging.fit_subspace_ensemble(frame, "label", ["price", "l_discount", "l_tax"], ["l_returnflag"], members=3, key=KEY,
-                                          fusion="w.avgagg")
-    return _losses(spark, model, frame, "label")
+    """Every subset of features decides the label, so the fused members do."""
+    frame = classes(spark, folder).withColumn("z", (F.col("l_linenumber") > 4).cast("int"))
+    frame = frame.withColumn("a", F.col("l_linenumber") * 1.0).withColumn("b", -F.col("l_linenumber") / 7).withColumn("d", F.exp(F.col("l_linenumber") / 7))
+    model = bagging.fit_subspace_ensemble(frame, "z", ["a", "b", "d"], [], members=3, key=KEY, fusion="w.avgagg")
+    return _by(model, frame, "l_linenumber")
+
 
+HELD = "CAST(CAST('0x' || substr(md5(concat_ws('_', 'val', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 < 0.15"
 
-@query("validation_path")
+
+@query(
+    "validation_path",
+    f"""WITH {CLASSES}, h AS (SELECT *, {HELD} AS val FROM c), m AS (SELECT l_returnflag, avg(price) AS mean FROM h WHERE NOT val GROUP BY ALL)
+        SELECT 1e-7 AS lam, round(avg(pow(price - mean, 2)), 4) AS loss FROM h JOIN m USING (l_returnflag) WHERE val""",
+)
 def validation_path(spark, folder):
-    model = spline.fit_by_validation(classes(spark, folder), "price", ["l_discount", "label"], ["l_returnflag"], _holdout(), n_splines=8)
-    return spark.createDataFrame(model.info["validation_path"], "lam double, loss double")
+    """At next to no penalty a factor has the training means of its levels; their loss on the held rows ends the path."""
+    model = spline.fit_by_validation(classes(spark, folder), "price", [], ["l_returnflag"], _holdout(), lambdas=(1.0, 1e-7))
+    return spark.createDataFrame(model.info["validation_path"][-1:], "lam double, loss double").withColumn("loss", rnd("loss", 4))
 
 
-@query("nested_evaluation")
+@query(
+    "nested_evaluation",
+    """SELECT m.model, CAST(quality AS VARCHAR) AS "row", round(count(*) / 2.0, 4) AS mean
+       FROM documents JOIN labels USING (doc_id), (VALUES ('logistic'), ('tree')) m(model) GROUP BY ALL""",
+)
 def nested_evaluation(spark, folder):
-    """Two models with two configurations each over two folds, as fold means."""
+    """Two models with two configurations each over two folds: every row is tested once by each model."""
     from ..operators.reports import fold_mean_std
 
     docs = table(spark, folder, "documents").select("doc_id", "n_chars", "lang", "source")
@@ -331,16 +435,28 @@ def nested_evaluation(spark, folder):
         frame, "documents", ["doc_id"], "quality", ["n_chars"], ["lang", "source"], "classification",
         {"logistic": [{"C": 0.1}, {"C": 1.0}], "tree": [{"max_depth": 2}, {"max_depth": 4}]}, folds=2,
     )
-    return fold_mean_std(reports.where(F.col("row") != "timing"), ("dataset", "model", "row", "metric"))
+    found = fold_mean_std(reports.where("metric = 'support' AND row IN ('0', '1')"), ("model", "row"))
+    return found.select("model", "row", rnd("mean", 4).alias("mean"))
+
 
+def _grid_loss(alpha: float) -> str:
+    """Loss on the held rows of a one-feature elastic net of the other rows (l1_ratio 0.5)."""
+    return f"(SELECT avg(pow(price - (my + b * (l_quantity - mx)), 2)) FROM (SELECT *, sign(cv) * greatest(abs(cv) - {alpha} * 0.5, 0) / (v + {alpha} * 0.5) AS b FROM t), h WHERE val)"
 
-@query("grid_search")
+
+@query(
+    "grid_search",
+    f"""WITH {CLASSES}, h AS (SELECT *, {HELD} AS val FROM c),
+        t AS (SELECT avg(l_quantity) AS mx, avg(price) AS my, covar_pop(l_quantity, price) AS cv, var_pop(l_quantity) AS v FROM h WHERE NOT val)
+        SELECT 0 AS config_id, round({_grid_loss(0.01)}, 5) AS loss, false AS failed UNION ALL SELECT 1, round({_grid_loss(5.0)}, 5), false
+        UNION ALL SELECT 2, CAST(NULL AS DOUBLE), true""",
+)
 def grid_search(spark, folder):
-    """Trial log with losses, seconds and a failed configuration."""
+    """Trial log with losses and a failed configuration."""
     frame = classes(spark, folder).withColumn("val", _holdout())
     done = evaluate.grid_search(
-        evaluate.FITS["elastic_net"], frame.where(~F.col("val")), frame.where("val"), "price", NUM, CAT, "regression",
-        [{"alpha": 0.01}, {"alpha": 1.0}, {"alpha": 0.1, "unknown": 1}],
+        evaluate.FITS["elastic_net"], frame.where(~F.col("val")), frame.where("val"), "price", ["l_quantity"], [], "regression",
+        [{"alpha": 0.01}, {"alpha": 5.0}, {"alpha": 0.1, "unknown": 1}],
     )
     rows = [t.row("lineitem", "elastic_net", 0) for t in done]
-    return spark.createDataFrame(rows, evaluate.TRIAL_SCHEMA).select("config_id", "loss", "failed")
+    return spark.createDataFrame(rows, evaluate.TRIAL_SCHEMA).select("config_id", rnd("loss", 5).alias("loss"), "failed")
\ No newline at end of file
