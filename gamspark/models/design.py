@@ -20,6 +20,13 @@ def numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).cast(pa.float64()).to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
 
 
+def indicators(codes: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros((len(codes), size))
+    known = np.flatnonzero(codes >= 0)
+    out[known, codes[known]] = 1.0
+    return out
+
+
 @dataclass(frozen=True)
 class Constant:
     name: str = "intercept"
@@ -89,7 +96,7 @@ class Levels:
 
 @dataclass(frozen=True)
 class Bins:
-    """One indicator per bin of a numeric column; a value on a cut belongs to the upper bin."""
+    """One indicator per bin of a numeric column; a value on a cut belongs to the upper bin, a missing one to none (effect 0)."""
 
     name: str
     cuts: tuple[float, ...]
@@ -103,12 +110,11 @@ class Bins:
         return len(self.cuts) + 1
 
     def codes(self, batch):
-        return np.searchsorted(np.asarray(self.cuts), numbers(batch, self.name), side="right")
+        x = numbers(batch, self.name)
+        return np.where(np.isnan(x), -1, np.searchsorted(np.asarray(self.cuts), x, side="right"))
 
     def build(self, batch):
-        out = np.zeros((batch.num_rows, self.size))
-        out[np.arange(batch.num_rows), self.codes(batch)] = 1.0
-        return out
+        return indicators(self.codes(batch), self.size)
 
 
 @dataclass(frozen=True)
@@ -131,12 +137,11 @@ class PairBins:
         return self.first.size * self.second.size
 
     def codes(self, batch):
-        return self.first.codes(batch) * self.second.size + self.second.codes(batch)
+        a, b = self.first.codes(batch), self.second.codes(batch)
+        return np.where((a < 0) | (b < 0), -1, a * self.second.size + b)
 
     def build(self, batch):
-        out = np.zeros((batch.num_rows, self.size))
-        out[np.arange(batch.num_rows), self.codes(batch)] = 1.0
-        return out
+        return indicators(self.codes(batch), self.size)
 
 
 @dataclass(frozen=True)

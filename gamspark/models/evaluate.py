@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import c
 from ..operators import clean, encode, metrics, split
-from ..operators.hpo import select_best
+from ..operators.hpo import drop_invalid_configs, expand_grid, select_best, typed_params
 from ..session import cut_lineage
 from .additive import Fitted
 from .boosting import fit_binned_boosting
+from .hidden import fit_hidden_gam
 from .linear import fit_elastic_net, fit_logistic, fit_ridge
 from .spline import fit_regression_spline, fit_spline_gam
 from .trees import fit_boosted_trees, fit_forest, fit_perceptron, fit_tree
@@ -53,6 +54,7 @@ FITS: dict[str, Callable[..., Fitted]] = {
     "spline_gam": fit_spline_gam,
     "regression_spline": fit_regression_spline,
     "binned_boosting": fit_binned_boosting,
+    "hidden_boosting": fit_hidden_gam,
 }
 
 
@@ -92,6 +94,12 @@ def grid_search(fit, train: DataFrame, val: DataFrame, target: str, numeric: Seq
         return list(pool.map(inheritable_thread_target(train.sparkSession)(one), enumerate(candidates)))
 
 
+def grid_candidates(grid: DataFrame, model: str, task: str) -> list[dict]:
+    """Typed candidates of one model from grid rows (model, param, values): the product without combinations no solver accepts."""
+    configs = drop_invalid_configs(expand_grid(grid.where(F.col("model") == model)), task=task)
+    return [typed_params(r["params"]) for r in configs.orderBy("config_id").collect()]
+
+
 def best_trial(trials: Sequence[Trial]) -> Trial:
     """Smallest loss, the first of equals; failed fits are skipped."""
     good = [t for t in trials if not t.failed and t.loss is not None and t.loss == t.loss]
@@ -115,7 +123,7 @@ def fold_report(scored: DataFrame, target: str, task: str) -> list[tuple[str, st
     """(row, metric, value) of one test fold."""
     if task == "regression":
         line = metrics.regression_report(scored, target, "prediction").first().asDict()
-        return [("0", k, v) for k, v in line.items()]
+        return [("0", k, v) for k, v in line.items() if k not in ("n", "n_unscored")]
     out = []
     y = scored.withColumn("__y", c(target).cast("int")).withColumn("__p", F.col("prediction").cast("int"))
     for r in metrics.classification_report(y, "__y", "__p").collect():

@@ -162,8 +162,10 @@ def gram(
     """One pass over ``df``; returns a Gram per group, or per weight column, or {0: ...}.
 
     ``offset`` is the score a row already has; ``working(y, score)`` turns it into iteration weights,
-    a working response and the loss. Rows with a NULL target are left out. ``spread=False`` says that
-    the frame is already dealt out (see ``reused``).
+    a working response and the loss. Rows with a NULL target are left out, and rows with a NULL or NaN in
+    a column that enters as a number (``rows`` of the result says how many were used); a missing value of
+    a binned or level column has no indicator. ``spread=False`` says that the frame is already dealt out
+    (see ``reused``).
     """
     design.check()
     if group is not None and weights:
@@ -183,6 +185,8 @@ def gram(
         *[c(w).cast("double").alias(f"__w{i}") for i, w in enumerate(weights)],
         *([] if group is None else [(c(group) if isinstance(group, str) else group).cast("int").alias("__g")]),
     ).where(F.col("__y").isNotNull())
+    for name in dict.fromkeys(n for b in design.blocks if not hasattr(b, "codes") for n in b.columns):
+        narrow = narrow.where(c(name).isNotNull() & ~F.isnan(c(name).cast("double")))
     names = {"group": group is not None}
     if group is not None:
         groups = narrow.select("__g").distinct().limit(at_once + 1).count()

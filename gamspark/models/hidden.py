@@ -15,15 +15,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import c
+from ..functions.scalars import c, fast_uniform
 from ..operators import effects as fx
+from ..operators.encode import ColumnTransformer, column_transformer
 from ..operators.metrics import best_threshold
 from ..session import cut_lineage
 from .additive import Fitted, check_task, term_column
 from .design import Constant, Design, Hidden, HiddenPair, Linear
 from .gram import arrow_score, gram, reused, spread_small
-from .interactions import hidden_weights
-from .linear import centred, coordinate_descent, fit_logistic, ridge_solve
+from .interactions import hidden_weights, pairs_by_lasso, select_features
+from .linear import centred, coordinate_descent, fit_logistic, fit_ridge, ridge_solve
 
 RAW_LIMIT = 100.0
 BATCH_COLUMNS = 400  # the pass costs rows x columns^2, so fewer learners per pass are cheaper in total
@@ -231,3 +232,47 @@ def fit_hidden_boosting(
         # the curve predicts class 1 above its threshold, the model from its threshold on
         model.threshold = float(np.nextafter(best_threshold(cut_lineage(scored), "y", "s").first()["threshold"], np.inf))
     return model
+
+
+@dataclass
+class EncodedHidden(Fitted):
+    """Boosted random features behind the encoding they were trained on."""
+
+    inner: HiddenModel
+    encoder: ColumnTransformer
+    task: str
+    threshold: float = 0.0
+    info: dict = field(default_factory=dict)
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        return self.inner.predict(self.encoder.transform(df)).drop(*self.encoder.names)
+
+    def loss(self, df: DataFrame, target: str) -> float:
+        return self.inner.loss(self.encoder.transform(df), target)
+
+
+def fit_hidden_gam(df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str] = (), task: str = "regression",
+                   interactions: int = 0, feat_select: int | None = None, fixed: Sequence[str] = (), val_share: float = 0.15,
+                   n_hid: int = 10, seed: int = 0, **options) -> EncodedHidden:
+    """The whole fit: encode, choose features, search pairs, boost, and the threshold of classes.
+
+    ``feat_select`` keeps so many encoded features by the Lasso on their random features, next to those that
+    ``fixed`` names; ``interactions`` asks for so many pairs, searched on what the linear start leaves over.
+    The validation rows are a hash of all feature columns.
+    """
+    encoder = column_transformer(df, numeric, categorical)
+    rows = encoder.transform(df)
+    features = list(encoder.names)
+    keep = [n for n in features if n in fixed or any(n.endswith(f"__{f}") for f in fixed)]
+    if feat_select is not None and feat_select < len(features):
+        chosen = select_features(rows, target, [n for n in features if n not in keep], feat_select, n_hid=n_hid, seed=seed)
+        features = [n for n in features if n in keep or n in chosen]
+    pairs: list[tuple[str, str]] = []
+    if interactions and len(features) > 1:
+        start = fit_ridge(rows, target, features, alpha=1.0)
+        left = rows.withColumn("__left", c(target).cast("double") - start.raw())
+        pairs = pairs_by_lasso(left, "__left", features, min(interactions, len(features) * (len(features) - 1) // 2), [], seed=seed)
+    val = fast_uniform(f"val{seed}", *[c(n) for n in (*numeric, *categorical)]) < val_share
+    inner = fit_hidden_boosting(rows, target, features, val, task, n_hid=n_hid, pairs=pairs,
+                                optimize_threshold=task == "classification", **options)
+    return EncodedHidden(inner, encoder, task, inner.threshold, {**inner.info, "features": features, "pairs": pairs})

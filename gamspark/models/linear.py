@@ -97,15 +97,31 @@ def fit_elastic_net_path(df, target, numeric, categorical, settings: Sequence[tu
     return out
 
 
+#: Solver names and the penalties that each allows.
+SOLVERS = {
+    "lbfgs": ("l2", "none"),
+    "liblinear": ("l1", "l2"),
+    "newton-cg": ("l2", "none"),
+    "newton-cholesky": ("l2", "none"),
+    "sag": ("l2", "none"),
+    "saga": ("l1", "l2", "elasticnet", "none"),
+}
+
+
 def fit_logistic(df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str] = (), C: float = 1.0,
                  penalty: str | None = "l2", l1_ratio: float | None = None, class_weight: str | None = None,
-                 max_iter: int = 100, scale: bool = True, tol: float = 1e-8) -> AdditiveModel:
+                 max_iter: int = 100, scale: bool = True, tol: float = 1e-8, solver: str | None = None) -> AdditiveModel:
     """Logistic regression on 0/1 labels with l1, l2, elastic net or no penalty.
 
+    ``solver`` is accepted so that grids written for other libraries run: the name is checked, and that it
+    allows the penalty. All give the same optimum; the steps are those below.
+
     C multiplies the summed loss, so the penalty per unit of weight is 1 / (C * weight sum). Every
     Newton pass reads the rows once and solves the penalised quadratic from its Gram, which takes
     far fewer passes than a first-order solver; a step that does not lower the objective is halved.
     """
+    if solver is not None and (penalty or "none") not in SOLVERS.get(solver, ()):
+        raise ValueError(f"solver {solver!r} does not fit with penalty {penalty!r}")
     mix = {"l1": 1.0, "l2": 0.0, "elasticnet": l1_ratio, None: 0.0, "none": 0.0}[penalty]
     if mix is None:
         raise ValueError("elastic net needs l1_ratio")

@@ -220,8 +220,14 @@ def column_ranges(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float,
 
 
 def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
-    """(bin, low, high, n): equal-width bins, the last one closed on the right, empty bins included."""
+    """(bin, low, high, n): equal-width bins, the last one closed on the right, empty bins included.
+
+    A column without values has bins without edges.
+    """
     lo, hi = column_ranges(df, [col])[col]
+    if lo is None:
+        none = F.lit(None).cast("double")
+        return df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), none.alias("low"), none.alias("high"), F.lit(0).cast("bigint").alias("n"))
     if lo == hi:
         lo, hi = lo - 0.5, hi + 0.5
     width = (hi - lo) / bins

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -57,6 +58,21 @@ def drop_invalid_configs(configs: DataFrame, params: str = "params", task: str =
     return configs.where(~bad)
 
 
+def typed_params(params: dict[str, str]) -> dict:
+    """Parameters of a parsed grid as Python values: whole numbers, numbers, true and false, none, lists; other text stays."""
+
+    def value(text: str | None):
+        if text is None or text.strip() in ("None", "null", "none"):
+            return None
+        try:
+            return ast.literal_eval(text.strip())
+        except (ValueError, SyntaxError):
+            low = text.strip().lower()
+            return {"true": True, "false": False}.get(low, text)
+
+    return {k: value(v) for k, v in params.items()}
+
+
 def select_best(trials: DataFrame, by: Sequence[str] = ("dataset", "model", "fold")) -> DataFrame:
     """(by..., config_id, loss): smallest loss, the first configuration among equals; failed ones are skipped."""
     ok = trials.where(~F.col("failed") & F.col("loss").isNotNull() & ~F.isnan("loss"))

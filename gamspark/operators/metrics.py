@@ -14,14 +14,21 @@ LOSS_EPS = 2.0**-52
 
 
 def regression_report(df: DataFrame, y: str, prediction: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., RMSE, MSE, MAE, EVS, R2, Max Error) in one aggregation."""
-    truth, e = c(y).cast("double"), c(y).cast("double") - c(prediction).cast("double")
+    """(by..., RMSE, MSE, MAE, EVS, R2, Max Error, n, n_unscored) in one aggregation.
+
+    All figures are over the n rows with a target and a prediction; n_unscored rows have a target only.
+    """
+    truth = c(y).cast("double")
+    e = truth - c(prediction).cast("double")
+    known = F.when(e.isNotNull(), truth)
     base = df.groupBy(*[c(b) for b in by]).agg(
         F.avg(e * e).alias("MSE"),
         F.avg(F.abs(e)).alias("MAE"),
         F.max(F.abs(e)).alias("Max Error"),
         F.var_pop(e).alias("__ve"),
-        F.var_pop(truth).alias("__vy"),
+        F.var_pop(known).alias("__vy"),
+        F.count(e).alias("n"),
+        F.count_if(truth.isNotNull() & e.isNull()).alias("n_unscored"),
     )
     return base.select(
         *[c(b) for b in by],
@@ -31,6 +38,8 @@ def regression_report(df: DataFrame, y: str, prediction: str, by: Sequence[str]
         (1 - F.try_divide(F.col("__ve"), F.col("__vy"))).alias("EVS"),
         (1 - F.try_divide(F.col("MSE"), F.col("__vy"))).alias("R2"),
         "Max Error",
+        "n",
+        "n_unscored",
     )
 
 

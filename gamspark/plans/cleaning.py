@@ -70,6 +70,43 @@ def load(spark, folder):
     )
 
 
+@query(
+    "load_dataset_missing",
+    """SELECT CASE l_linestatus WHEN 'O' THEN 1 END AS l_linestatus, count(*) AS n,
+              count(*) FILTER (l_linenumber <> 2) AS flags, count(*) FILTER (l_linenumber <> 3) AS taxes
+       FROM lineitem WHERE l_linestatus = 'O' AND l_linenumber <> 1 GROUP BY ALL""",
+)
+def load_dataset_missing(spark, folder):
+    """Texts that mean missing, in a file: of the target, of a level, of a number; and a label that the map does not know."""
+    path = shared_path(spark, "missing")
+    number = F.col("l_linenumber")
+    rows = table(spark, folder, "lineitem").select(
+        "l_orderkey", F.when(number == 1, "NA").otherwise(F.col("l_linestatus")).alias("l_linestatus"),
+        F.when(number == 2, "N/A").otherwise(F.col("l_returnflag")).alias("l_returnflag"),
+        F.when(number == 3, "NaN").otherwise(F.col("l_tax").cast("string")).alias("l_tax"),
+    )
+    rows.write.option("header", True).csv(path)
+    spec = DatasetSpec("missing", "classification", path.rsplit("/", 1)[1], "l_linestatus", numeric=("l_tax",), categorical=("l_returnflag",),
+                       target_map={"O": 1}, drop_null_target=True)
+    frame, _ = load_dataset(spark, spec, path.rsplit("/", 1)[0])
+    return frame.groupBy("l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.count("l_returnflag").alias("flags"), F.count("l_tax").alias("taxes"))
+
+
+@query(
+    "read_rater_blocks",
+    """SELECT 'r' || n_regionkey AS rater, '1:' || CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS VARCHAR) AS unit,
+              CAST(CASE WHEN n_nationkey % 3 <> 0 THEN n_nationkey END AS DOUBLE) AS value FROM nation""",
+)
+def read_rater_blocks(spark, folder):
+    """A grid file of the nations: a block for each region, '-' where a rating is missing."""
+    path = shared_path(spark, "raters")
+    cell = F.when(F.col("n_nationkey") % 3 == 0, "-").otherwise(F.col("n_nationkey").cast("string"))
+    blocks = table(spark, folder, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", cell.alias("cell")))).alias("cells"))
+    line = F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit("\n1;"), F.array_join(F.col("cells.cell"), ";"))
+    blocks.select(F.concat(line, F.lit("\n")).alias("value")).coalesce(1).write.text(path)
+    return readers.read_rater_blocks(spark, f"{path}/*.txt")
+
+
 @query(
     "keys_from_path",
     r"""SELECT regexp_extract(p, '/([a-z]+)/([A-Za-z_]+)_Folds/', 1) AS dataset,

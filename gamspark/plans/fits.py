@@ -329,6 +329,14 @@ def hidden_boosting_logit(spark, folder):
     return _by(model, frame, "l_linenumber")
 
 
+@query("hidden_gam", _level_means("l_linenumber", f"avg({LINE})", "prediction", 2))
+def hidden_gam(spark, folder):
+    """The whole fit on unscaled columns keeps the feature that makes the target."""
+    frame = _line(spark, folder)
+    model = hidden.fit_hidden_gam(frame, "y", ["l_linenumber", "l_tax"], feat_select=1, n_hid=6, n_estimators=30, init_reg=1e-4)
+    return _by(model, frame, "l_linenumber", 2)
+
+
 @query(
     "shape_functions",
     f"SELECT CAST((l_linenumber - 4) / 2 AS DOUBLE) AS x_num, round({LINE} - (SELECT avg({LINE}) FROM lineitem), 2) AS y, count(*) AS n FROM lineitem GROUP BY l_linenumber",

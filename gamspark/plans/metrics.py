@@ -26,12 +26,29 @@ PRED = (
     "regression_report",
     f"""WITH {PRED} SELECT l_returnflag, round(sqrt(avg(e * e)), 4) AS "RMSE", round(avg(e * e), 2) AS "MSE",
         round(avg(abs(e)), 4) AS "MAE", round(1 - var_pop(e) / var_pop(y), 6) AS "EVS",
-        round(1 - avg(e * e) / var_pop(y), 6) AS "R2", round(max(abs(e)), 5) AS "Max Error" FROM p GROUP BY ALL""",
+        round(1 - avg(e * e) / var_pop(y), 6) AS "R2", round(max(abs(e)), 5) AS "Max Error", count(*) AS n, CAST(0 AS BIGINT) AS n_unscored FROM p GROUP BY ALL""",
 )
 def regression_report(spark, folder):
-    out = metrics.regression_report(predicted(spark, folder), "l_extendedprice", "prediction", ["l_returnflag"])
+    return _rounded_report(predicted(spark, folder))
+
+
+def _rounded_report(frame):
+    out = metrics.regression_report(frame, "l_extendedprice", "prediction", ["l_returnflag"])
     digits = {"RMSE": 4, "MSE": 2, "MAE": 4, "EVS": 6, "R2": 6, "Max Error": 5}
-    return out.select("l_returnflag", *[rnd(n, d).alias(n) for n, d in digits.items()])
+    return out.select("l_returnflag", *[rnd(n, d).alias(n) for n, d in digits.items()], "n", "n_unscored")
+
+
+@query(
+    "regression_report_unscored",
+    f"""WITH {PRED} SELECT l_returnflag, round(sqrt(avg(e * e)), 4) AS "RMSE", round(avg(e * e), 2) AS "MSE",
+        round(avg(abs(e)), 4) AS "MAE", round(1 - var_pop(e) / var_pop(y), 6) AS "EVS",
+        round(1 - avg(e * e) / var_pop(y), 6) AS "R2", round(max(abs(e)), 5) AS "Max Error", count(*) AS n,
+        (SELECT count(*) FROM p q WHERE q.y >= 30000 AND q.l_returnflag = p.l_returnflag) AS n_unscored FROM p WHERE y < 30000 GROUP BY ALL""",
+)
+def regression_report_unscored(spark, folder):
+    """Rows without a prediction count, but enter no figure."""
+    frame = predicted(spark, folder)
+    return _rounded_report(frame.withColumn("prediction", F.when(F.col("l_extendedprice") < 30000, F.col("prediction"))))
 
 
 def labelled(spark, folder):

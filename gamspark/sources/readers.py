@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,10 +13,20 @@ FOLD_PATH = r"/([a-z]+)/([A-Za-z_]+)_Folds/"
 GRID_TYPE = "map<string,map<string,array<string>>>"
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ",", schema=None, **options) -> DataFrame:
-    """Delimited text with a header row. Without a schema every column stays text: no inference scan."""
+#: Texts that mean a missing value in delimited files.
+MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+           "NaN", "None", "n/a", "nan", "null")
+
+
+def read_delimited(spark: SparkSession, path: str, sep: str = ",", schema=None, missing: Sequence[str] = MISSING, **options) -> DataFrame:
+    """Delimited text with a header row. Without a schema every column stays text: no inference scan.
+
+    Text cells that say ``missing`` become NULL.
+    """
     reader = spark.read.option("header", True).option("sep", sep).options(**options)
-    return (reader.schema(schema) if schema is not None else reader).csv(path)
+    frame = (reader.schema(schema) if schema is not None else reader).csv(path)
+    text = {f.name for f in frame.schema.fields if f.dataType.simpleString() == "string"}
+    return frame.select(*[F.when(~c(n).isin(*missing), c(n)).alias(n) if n in text and missing else c(n) for n in frame.columns])
 
 
 def keys_from_path(path: Column) -> tuple[Column, Column]:

@@ -227,14 +227,14 @@ def load_dataset(
     spec = spec.resolve(frame.columns)
     if spec.null_tokens:
         frame = clean.null_tokens(frame, spec.null_tokens)
-    if spec.drop_null_target:
-        frame = clean.drop_null_target(frame, spec.target)
     if spec.target_map:
         frame = clean.map_target(frame, spec.target, spec.target_map)
     else:
         frame = frame.withColumn(spec.target, c(spec.target).try_cast("double"))
         if spec.task == "classification":
             frame = frame.withColumn(spec.target, c(spec.target).cast("int"))
+    if spec.drop_null_target:  # after the map, so that an unknown label is a missing one
+        frame = clean.drop_null_target(frame, spec.target)
     keys = [n for n in frame.columns if n not in {*spec.numeric, *spec.categorical, spec.target}]
     for name in spec.categorical:
         frame = frame.withColumn(name, c(name).cast("string"))
