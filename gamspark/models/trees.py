@@ -143,17 +143,28 @@ def stump_splits(model: TreeModel) -> list[tuple[str, float, float, float]]:
 def stump_effects(model: TreeModel, df: DataFrame) -> DataFrame:
     """Effect table of a depth-1 ensemble over the encoded columns, at the values seen in ``df``.
 
-    The classifier's margin counts twice: its probability is 1/(1+exp(-2 F)).
+    The classifier's margin counts twice: its probability is 1/(1+exp(-2 F)). Splits at the same value are
+    added up first, so the plan grows with the splits that differ (features x bins), not with the trees.
     """
     factor = 2.0 if model.task == "classification" else 1.0
     splits = stump_splits(model)
     names = list(model.encoder.names)
     values = fx.feature_value_counts(model.encoder.transform(df), names)
-    y = F.lit(0.0)
+    steps: dict[str, dict[float, list[float]]] = {}
     for column, threshold, left, right in splits:
         if column:
-            step = F.when(F.col("x_num") <= threshold, factor * left).otherwise(factor * right)
-            y = y + F.when(F.col("feat_name") == column, step).otherwise(0.0)
+            both = steps.setdefault(column, {}).setdefault(threshold, [0.0, 0.0])
+            both[0] += factor * left
+            both[1] += factor * right
+    y = F.lit(0.0)
+    for column, at in sorted(steps.items()):
+        edges, levels = sorted(at), [sum(left for left, _ in at.values())]
+        for edge in edges:
+            levels.append(levels[-1] + at[edge][1] - at[edge][0])
+        own = F.lit(levels[-1])
+        for edge, level in zip(reversed(edges), reversed(levels[:-1])):
+            own = F.when(F.col("x_num") <= edge, level).otherwise(own)
+        y = F.when(F.col("feat_name") == column, own).otherwise(y)
     constant = factor * sum(left for column, _, left, _ in splits if not column)
     table = values.withColumn("y", y).withColumn("y_std", F.lit(None).cast("double"))
     return fx.offset_row(df.sparkSession, constant).select(fx.COLUMNS).unionByName(table.select(fx.COLUMNS))

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import functools
 import importlib
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, ship_package
+from ..session import new_folder, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -57,4 +56,4 @@ def rnd(x: Column | str, digits: int = 6) -> Column:
 
 def shared_path(spark: SparkSession, kind: str) -> str:
     """A new folder next to the checkpoints, for queries that write and read back."""
-    return f"{ensure_checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    return new_folder(spark, kind)

@@ -48,9 +48,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_WRITTEN: list[str] = []
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """The name of a new folder below the checkpoint folder, which all executors share; ``release`` deletes it."""
+    path = f"{ensure_checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that this application has written to the shared folder; frames that read them are of no use then."""
+    deleted = 0
+    while _WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        deleted += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return deleted
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: no lineage, and a size that the optimizer knows."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
