@@ -7,7 +7,6 @@ memory depends on the slice and the longest text, never on the number of rows in
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import new_folder
 
 SLICE_BYTES = 4 << 20
 U64 = np.uint64
@@ -186,14 +185,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             begin = end
 
 
-def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder below the checkpoint folder, which all executors share."""
-    return f"{ensure_checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, kind: str, codec: str = "zstd") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: later steps do not redo it after a lost executor."""
-    path = shared_folder(df.sparkSession, kind)
+    path = new_folder(df.sparkSession, kind)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -24,7 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, Texts, hash_ranges, pick, shared_folder, slices, small_batches, table
+from ..session import new_folder
+from .common import SLICE_BYTES, Texts, hash_ranges, pick, slices, small_batches, table
 from .registry import query
 from .wavelet import WaveletMatrix
 
@@ -294,7 +295,7 @@ def count_token(shards: DataFrame, token: int) -> DataFrame:
 
 def token_output(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Writes ``docs`` as shards to the shared folder and reads the files back."""
-    path = shared_folder(docs.sparkSession, "tokens")
+    path = new_folder(docs.sparkSession, "tokens")
     write_shards(docs, path, tokenizer or default_tokenizer())
     return read_documents(read_shards(docs.sparkSession, path))
 
