@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..session import new_folder
 
 SLICE_BYTES = 4 << 20
+BATCH_ROWS = 1000
 U64 = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -192,9 +193,15 @@ def stored(df: DataFrame, kind: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Batches for Python of at most so many rows, as texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Batches for Python of at most BATCH_ROWS rows, as texts may be long. Every operator here sets the same."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows of a batch whose rows are large, each copied only when it is its turn."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
 
 
 def pick(docs: DataFrame, *names: str) -> DataFrame:

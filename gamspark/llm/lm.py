@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mixing_model as M
-from .common import pick, slices, small_batches, stored, table
+from .common import one_by_one, pick, slices, small_batches, stored, table
 from .registry import query
 from .toxicity import held_out
 
@@ -88,7 +88,7 @@ def _range_of(words: np.ndarray, ranges: int) -> np.ndarray:
 
 def _send(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in one_by_one(batch):
             a = _arrays(row)
             of = _range_of(a["words"], ranges)
             order = np.argsort(of, kind="stable")
@@ -146,7 +146,7 @@ def _run_events(code: M.Code, a: dict[str, np.ndarray], symbol_of: np.ndarray, d
 def _count_tables(batches: Iterator[pa.RecordBatch], code: M.Code) -> Iterator[pa.RecordBatch]:
     tables, part = M.new_tables(), TaskContext.get().partitionId()
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in one_by_one(batch):
             a = _arrays(row)
             symbol_of = code.symbols(a["words"])
             for docs, at in _runs(a, np.flatnonzero(a["held"] == 0)):
@@ -171,7 +171,7 @@ def _learn_weights(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.Reco
     weights = np.tile(M.START_WEIGHTS, (M.GATES, 1))
     size = 0
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in one_by_one(batch):
             a = _arrays(row)
             symbol_of = code.symbols(a["words"])
             for docs, at in _runs(a, np.flatnonzero(a["held"] == 0)):
@@ -186,7 +186,7 @@ def _score(batches: Iterator[pa.RecordBatch], model, n: int, v: int, rest_n: int
     code, tables, weights = model.value
     predictors = M.Predictors.build(tables, leave_out=False)
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in one_by_one(batch):
             a = _arrays(row)
             known = np.zeros(len(a["words"]), dtype=np.int64)
             of = _range_of(a["words"], ranges)
@@ -220,7 +220,6 @@ def lm_scores(docs: DataFrame, coded: int = CODED) -> DataFrame:
     small_batches(spark)
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id"), 10).cast("int").alias("held"))
     blocks = stored(rows.mapInArrow(_blocks, BLOCK_SCHEMA), "lm-blocks")
-    small_batches(spark, 1)  # from here on a row is a block
     sizes = blocks.select(F.octet_length("words").alias("w")).agg(F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum("w"), F.lit(0)).alias("bytes")).first()
     ranges = max(4, math.ceil(sizes["bytes"] / 8 / RANGE_WORDS))
     sent = blocks.select("block", "words", "counts").mapInArrow(lambda b: _send(b, ranges), "range int, block long, words binary, counts binary")

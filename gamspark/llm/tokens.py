@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import new_folder
-from .common import SLICE_BYTES, Texts, hash_ranges, pick, slices, small_batches, table
+from .common import SLICE_BYTES, Texts, hash_ranges, one_by_one, pick, slices, small_batches, table
 from .registry import query
 from .wavelet import WaveletMatrix
 
@@ -243,7 +243,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in one_by_one(batch):
                 raw = memoryview(_matrix(row).decode().astype("<u4")).cast("B")
                 ends = np.cumsum(row["lengths"])
                 begins = ends - row["lengths"]
@@ -257,28 +257,21 @@ def read_documents(shards: DataFrame) -> DataFrame:
                     }
                 )
 
-    one_by_one(shards.sparkSession)
     rows = shards.mapInArrow(decode, "doc_id long, part int, seq int, inner long, n_tokens long, ids_crc32 long")
     return rows.join(_shard_starts(shards), ["part", "seq"]).select(
         "doc_id", (F.col("before") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32"
     )
 
 
-def one_by_one(spark: SparkSession) -> None:
-    """Shards are large rows: one to a batch."""
-    small_batches(spark, 1)
-
-
 def find_token(shards: DataFrame, token: int) -> DataFrame:
     """(start): global positions of a token, by select in each shard."""
 
     def find(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in one_by_one(batch):
                 at = _matrix(row).locate(token)
                 yield pa.RecordBatch.from_pydict({"part": pa.array([row["part"]] * len(at), pa.int32()), "seq": pa.array([row["seq"]] * len(at), pa.int32()), "inner": pa.array(at, pa.int64())})
 
-    one_by_one(shards.sparkSession)
     return shards.mapInArrow(find, "part int, seq int, inner long").join(_shard_starts(shards), ["part", "seq"]).select((F.col("before") + F.col("inner")).alias("start"))
 
 
@@ -287,9 +280,8 @@ def count_token(shards: DataFrame, token: int) -> DataFrame:
 
     def count(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"n": pa.array([_matrix(row).count(token) for row in batch.to_pylist()], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"n": pa.array([_matrix(row).count(token) for row in one_by_one(batch)], pa.int64())})
 
-    one_by_one(shards.sparkSession)
     return shards.mapInArrow(count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
