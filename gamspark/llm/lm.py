@@ -236,7 +236,7 @@ def lm_scores(docs: DataFrame, coded: int = CODED) -> DataFrame:
 
     tasks = max(1, math.ceil(sizes["blocks"] / BLOCKS_PER_TASK))
     group = max(1, math.isqrt(tasks))
-    parts = blocks.repartition(tasks).mapInArrow(lambda b: _count_tables(b, code), "tab int, at int, part int, cells binary")
+    parts = blocks.coalesce(tasks).mapInArrow(lambda b: _count_tables(b, code), "tab int, at int, part int, cells binary")
     cells = "tab int, at int, cells binary"
     merged = parts.withColumn("salt", F.col("part") % group).groupBy("tab", "at", "salt").applyInArrow(_add_cells, cells).groupBy("tab", "at").applyInArrow(_add_cells, cells)
     tables = M.new_tables()
