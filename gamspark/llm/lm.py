@@ -9,7 +9,7 @@ follows the coding cost turn by turn. The sum of the decisions' and leaves' log1
 
 Corpus counts. Documents are packed into blocks of words as numbers; a block sends its distinct words (64-bit hashes) with their
 training counts to ranges of the hash, which add up and send every block its totals: one exchange of distinct words, not of
-tokens. Tables are counted in tasks of BLOCKS_PER_TASK blocks and merged in two steps; they, the code and the weights are of
+tokens. Tables are counted in tasks of BLOCKS_PER_TASK blocks and merged in two steps, as whole sums; they, the code and the weights are of
 fixed size and are broadcast.
 
 Nulls and odd cases: null and empty texts are the end token alone; a null id counts as the empty text for the hold-out hash;
@@ -143,6 +143,15 @@ def _run_events(code: M.Code, a: dict[str, np.ndarray], symbol_of: np.ndarray, d
     return M.events(code, symbol_of[number], a["words"][number], a["lengths"][docs].astype(np.int64), TURN_TOKENS)
 
 
+def _pack(cells: np.ndarray) -> bytes:
+    """A slice of counts, whole, in the narrowest width that holds its largest."""
+    return cells.astype(np.min_scalar_type(int(cells.max())).newbyteorder("<")).tobytes()
+
+
+def _unpack(cells: bytes) -> np.ndarray:
+    return np.frombuffer(cells, f"<u{len(cells) // SLICE_CELLS}").astype(np.int64)
+
+
 def _count_tables(batches: Iterator[pa.RecordBatch], code: M.Code) -> Iterator[pa.RecordBatch]:
     tables, part = M.new_tables(), TaskContext.get().partitionId()
     for batch in batches:
@@ -155,14 +164,12 @@ def _count_tables(batches: Iterator[pa.RecordBatch], code: M.Code) -> Iterator[p
         for s in range(0, len(one), SLICE_CELLS):
             cells = one[s : s + SLICE_CELLS]
             if cells.any():
-                small = np.minimum(cells, M.COUNT_LIMIT).astype("<u2")
-                yield pa.RecordBatch.from_pydict({"tab": pa.array([k], pa.int32()), "at": pa.array([s], pa.int32()), "part": pa.array([part], pa.int32()), "cells": pa.array([small.tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"tab": pa.array([k], pa.int32()), "at": pa.array([s], pa.int32()), "part": pa.array([part], pa.int32()), "cells": pa.array([_pack(cells)], pa.binary())})
 
 
 def _add_cells(rows: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(c, "<u2").astype(np.int64) for c in rows.column("cells").to_pylist())
-    small = np.minimum(total, M.COUNT_LIMIT).astype("<u2")
-    return pa.table({"tab": rows.column("tab").slice(0, 1), "at": rows.column("at").slice(0, 1), "cells": pa.array([small.tobytes()], pa.binary())})
+    total = sum(_unpack(c) for c in rows.column("cells").to_pylist())
+    return pa.table({"tab": rows.column("tab").slice(0, 1), "at": rows.column("at").slice(0, 1), "cells": pa.array([_pack(total)], pa.binary())})
 
 
 def _learn_weights(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
@@ -241,8 +248,8 @@ def lm_scores(docs: DataFrame, coded: int = CODED) -> DataFrame:
     merged = parts.withColumn("salt", F.col("part") % group).groupBy("tab", "at", "salt").applyInArrow(_add_cells, cells).groupBy("tab", "at").applyInArrow(_add_cells, cells)
     tables = M.new_tables()
     for r in merged.toLocalIterator():  # of fixed size
-        tables[r["tab"]][r["at"] : r["at"] + SLICE_CELLS] = np.frombuffer(r["cells"], "<u2")
-    tables = [t.astype("<u2") for t in tables]
+        tables[r["tab"]][r["at"] : r["at"] + SLICE_CELLS] = _unpack(r["cells"])
+    tables = [t.astype(np.min_scalar_type(int(t.max()))) for t in tables]
     shared = spark.sparkContext.broadcast((code, tables))
     learned = blocks.mapInArrow(lambda b: _learn_weights(b, shared), "size long, weights array<double>")
     learned = learned.select("size", F.posexplode("weights")).groupBy("pos").agg(F.sum("col").alias("w"), F.sum("size").alias("size")).orderBy("pos").collect()

@@ -15,7 +15,6 @@ FREQUENT = 64
 INPUTS = 5
 BIAS = 0.3
 GATES = 16
-COUNT_LIMIT = 60_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 START_WEIGHTS = np.array([0.2, 0.4, 0.3, 0.3, 0.0])
 
@@ -145,7 +144,7 @@ class Predictors:
     def build(cls, tables: list[np.ndarray], leave_out: bool) -> Predictors:
         odds, sure = [], []
         for one in tables:
-            zeros, ones = one.reshape(-1, 2).astype(np.float32).T
+            zeros, ones = one.reshape(-1, 2).astype(np.float64).T
             if leave_out:
                 less_zero, less_one = np.maximum(zeros - 1, 0), np.maximum(ones - 1, 0)
                 both = [np.log((ones + 0.4) / (less_zero + 0.4)), np.log((less_one + 0.4) / (zeros + 0.4))]

@@ -1,6 +1,7 @@
 """Odd inputs, and the parts of the operators against plain versions."""
 
 import collections
+import math
 import random
 
 import numpy as np
@@ -369,6 +370,24 @@ def test_lm_probabilities_add_up_to_one():
     assert total == pytest.approx(1.0, abs=1e-4)
 
 
+def test_lm_odds_of_often_seen_cells():
+    from gamspark.llm import mixing_model as M
+
+    def part(zeros, ones):
+        cells = np.zeros(lm.SLICE_CELLS, dtype=np.int64)
+        cells[:2] = zeros, ones
+        one = {"tab": [0], "at": [0], "cells": pa.array([lm._pack(cells)], pa.binary())}
+        return pa.table(one)
+
+    for zeros, ones in ((1_000_000, 100_000), (100_000, 50_000), (2**33, 2**31), (200, 100)):
+        merged = lm._add_cells(pa.concat_tables([part(zeros - 3, ones), part(3, 0)]))
+        cells = lm._unpack(merged.column("cells")[0].as_py())
+        assert cells[:2].tolist() == [zeros, ones]
+        for leave_out in (False, True):
+            odds = M.Predictors.build([cells], leave_out).odds[0]
+            assert odds[0] == pytest.approx(math.log(ones / zeros), abs=0.01)
+
+
 def test_pages_with_other_layouts():
     page = (
         "<body><div class=menu><a href=x>Home</a></div><div id=content><h2>Title</h2><p>Some text, with marks. More &amp; more.<p>Second one<br>here, ok."
