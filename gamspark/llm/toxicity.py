@@ -2,7 +2,8 @@
 
 1. Learn: in a bounded sample of labelled training documents (at most about TRAIN_ROWS, by a hash of the id) count in how many
    toxic and clean documents each word and each word beginning stands; those with a significant excess of toxic ones form the
-   lexicon (at most MAX_TERMS). Words of five letters or more may be misspelled by one edit.
+   lexicon (at most MAX_TERMS). Strong words and beginnings of five letters or more may be misspelled by one edit; strong words
+   stay in the lexicon for their misspellings when a beginning of theirs is in it, beyond MAX_TERMS.
 2. Compile: the trie of the lexicon and the automaton for one edit are walked together; each set of positions reached becomes a
    state of one deterministic automaton over bytes.
 3. Match: all words of a slice of texts step through the table at once; dead words drop out after a few bytes.
@@ -77,12 +78,12 @@ class Automaton:
         return out
 
 
-#: Positions of words that have begun as a term says, strong and weak.
-HIT, WEAK_HIT = (-1, 0), (-1, 1)
+#: Positions of words that have begun as a term says, strong and weak, and strong but misspelled.
+HIT, WEAK_HIT, FUZZY_HIT = (-1, 0), (-1, 1), (-1, 2)
 
 
 def compile_automaton(words: list[str], prefixes: list[str], weak: frozenset[str] = frozenset()) -> Automaton:
-    """Deterministic automaton of whole words (strong ones of FUZZY_FROM letters or more with one edit) and word beginnings."""
+    """Deterministic automaton of whole words (strong ones of FUZZY_FROM letters or more with one edit) and word beginnings (the same)."""
     children: list[dict[int, int]] = [{}, {}]  # roots: 0 of words that may be misspelled, 1 of the others
     whole: dict[int, int] = {}
     begins: dict[int, tuple[int, int]] = {}
@@ -99,6 +100,7 @@ def compile_automaton(words: list[str], prefixes: list[str], weak: frozenset[str
     fuzzy = [w for w in words if len(w) >= FUZZY_FROM and w not in weak]
     for word in fuzzy:
         whole[insert(word, 0)] = 1
+    fuzzy_begins = {insert(p, 0) for p in prefixes if len(p) >= FUZZY_FROM and p not in weak}
     fuzzy_nodes = {0, *range(2, len(children))}
     for word in set(words).difference(fuzzy):
         whole[insert(word, 1)] = 3 if word in weak else 1
@@ -112,8 +114,10 @@ def compile_automaton(words: list[str], prefixes: list[str], weak: frozenset[str
     def closed(positions: set) -> frozenset:
         if HIT in positions:
             return frozenset([HIT])
+        if FUZZY_HIT in positions:  # other misspellings say no more
+            positions = {p for p in positions if p[0] < 0 or not p[1]}
         more = {(c, 1) for node, edits in positions if not edits and node in fuzzy_nodes for c in children[node].values()}
-        return frozenset(positions | more)
+        return frozenset(positions | more) if FUZZY_HIT not in positions else frozenset(positions)
 
     def after(state: frozenset, byte: int | None) -> frozenset:
         out = set()
@@ -122,6 +126,8 @@ def compile_automaton(words: list[str], prefixes: list[str], weak: frozenset[str
                 out.add((node, edits) if node < 0 else begins[node])
             if node < 0:
                 continue
+            if edits and node in fuzzy_begins:
+                out.add(FUZZY_HIT)
             if byte in children[node]:
                 out.add((children[node][byte], edits))
             if not edits and node in fuzzy_nodes:
@@ -144,7 +150,7 @@ def compile_automaton(words: list[str], prefixes: list[str], weak: frozenset[str
     final = np.zeros(len(numbers), dtype=np.int8)
     for state, number in numbers.items():
         exact = {whole[n] for n, e in state if not e and n in whole} | {1 for p in state if p == HIT} | {3 for p in state if p == WEAK_HIT}
-        final[number] = 1 if 1 in exact else 2 if any(e and n in whole for n, e in state if n >= 0) else 3 if exact else 0
+        final[number] = 1 if 1 in exact else 2 if FUZZY_HIT in state or any(e and n in whole for n, e in state if n >= 0) else 3 if exact else 0
     hit = numbers.get(frozenset([HIT]), -1)
     return Automaton(classes, np.array([rows[i] for i in range(len(rows))], dtype=np.int32), final, hit)
 
@@ -239,17 +245,22 @@ def learn_lexicon(counted: DataFrame, toxic: int, clean: int, max_terms: int = M
         .limit(10 * max_terms)
         .collect()
     )
-    words, begins, weak = [], [], set()
+    words, begins, weak, under = [], [], set(), []
     for row in ranked:
         term = row["term"]
-        if len(words) + len(begins) == max_terms:
-            break
-        if any(term.startswith(p) for p in begins) or row["prefix"] and any(x.startswith(term) for x in words + begins):
+        below = [p for p in begins if term.startswith(p)]
+        is_weak = (row["t"] + SMOOTHING * rate) / (row["t"] + row["c"] + SMOOTHING) < STRONG
+        if below:
+            # The beginning matches this word; its misspellings are the word's own. It takes no place of another term.
+            if not row["prefix"] and len(term) >= FUZZY_FROM and not is_weak:
+                under.append(term)
+            continue
+        if len(words) + len(begins) == max_terms or row["prefix"] and any(x.startswith(term) for x in words + begins):
             continue
         (begins if row["prefix"] else words).append(term)
-        if (row["t"] + SMOOTHING * rate) / (row["t"] + row["c"] + SMOOTHING) < STRONG:
+        if is_weak:
             weak.add(term)
-    return words, begins, frozenset(weak)
+    return words + under, begins, frozenset(weak)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -286,7 +297,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, max_terms:
             kept = np.flatnonzero(automaton.run(texts.data, starts, ends) == 2)
             yield pa.RecordBatch.from_pydict({"term": pa.array([texts.text(i).decode() for i in kept.tolist()], pa.string())})
 
-    # Words of clean documents that are one edit from a term: as many at most as there are such edits.
+    # Words of clean documents that are, or begin, one edit from a term: words of the bounded sample.
     innocent = frozenset(r["term"] for r in counted.where("prefix = 0 AND c > 0 AND c >= t").select("term").mapInArrow(near, "term string").collect())
     model = Model(automaton, innocent)
 

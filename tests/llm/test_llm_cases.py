@@ -129,6 +129,20 @@ def test_automaton_against_edit_distance():
     assert automaton.run(texts.data, texts.offsets[:-1], texts.offsets[1:]).tolist() == [want(w) for w in tried]
 
 
+def test_misspelled_words_below_a_beginning(spark):
+    # The beginning stands in more toxic documents than each of its words.
+    rows = [("idio", 4, 130, 0), ("idiot", 0, 90, 0), ("idiots", 0, 40, 0), ("idiot", 5, 40, 0), ("scumbag", 0, 30, 0), ("morons", 0, 35, 0), ("moron", 5, 50, 0), ("the", 0, 150, 850)]
+    counted = spark.createDataFrame(rows, "term string, prefix int, t long, c long")
+    words_, begins, weak = toxicity.learn_lexicon(counted, 150, 850)
+    assert begins == ["idio", "moron"] and {"idiot", "idiots", "morons"} <= set(words_) and not weak
+    assert toxicity.learn_lexicon(counted, 150, 850, 2)[0] == ["idiot", "idiots", "morons"]  # they take no other term's place
+    automaton = toxicity.compile_automaton(words_, begins, weak)
+    want = {"idiot": 1, "idiots": 1, "idiotic": 1, "1diot": 2, "idi0ts": 2, "idot": 2, "morons": 1, "moronic": 1, "m0ronic": 2, "mronic": 2, "m0r0nic": 0, "mo": 0, "idxxx": 0, "the": 0}
+    texts = as_texts(pa.array(list(want)))
+    got = automaton.run(texts.data, texts.offsets[:-1], texts.offsets[1:]).tolist()
+    assert dict(zip(want, got)) == want
+
+
 def test_toxicity_bears_odd_rows(spark, odd):
     none = toxicity.train(odd, labels(spark))
     got = toxicity.score(odd, none).collect()
