@@ -14,10 +14,20 @@ from .additive import AdditiveModel
 from .design import Constant, Design, Levels, Linear
 from .gram import Gram, batch_score, gram, logistic_working, reused
 
+RANK_CUT = 1e-11
+
 
 def ridge_solve(g: np.ndarray, b: np.ndarray, alpha: float) -> np.ndarray:
-    """(G + alpha I)^-1 b."""
-    return np.linalg.solve(g + alpha * np.eye(len(b)), b)
+    """(G + alpha I)^-1 b; of a system without full rank (an intercept next to all levels of a factor, equal or constant
+    columns) the solution of least norm, in units in which every column has the same length. The cut is relative: what is
+    below RANK_CUT of the largest eigenvalue is rounding."""
+    a = g + alpha * np.eye(len(b))
+    scale = np.sqrt(np.maximum(np.diag(a), 0.0))
+    unit = np.divide(1.0, scale, out=np.zeros(len(b)), where=scale > 0)
+    values, vectors = np.linalg.eigh(a * np.outer(unit, unit))
+    kept = values > RANK_CUT * np.max(values, initial=0.0)
+    inverse = np.divide(1.0, values, out=np.zeros(len(b)), where=kept)
+    return unit * (vectors @ (inverse * (vectors.T @ (unit * b))))
 
 
 def linear_design(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], scale: bool = False,
