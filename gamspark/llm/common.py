@@ -205,8 +205,13 @@ def one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
 
 
 def pick(docs: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns (matched by exact name, so that extra columns with clashing spelling do no harm)."""
-    return docs.select(*[F.col(f"`{n}`") for n in names])
+    """Only the named columns, by exact name, whatever other columns there are: of names that differ in case only the one that is
+    spelled so, of the same name twice the first."""
+    lower = [n.lower() for n in docs.columns]
+    if all(lower.count(n.lower()) <= 1 for n in names):
+        return docs.select(*[F.col(f"`{n}`") for n in names])
+    at = [docs.columns.index(n) for n in names]
+    return docs.toDF(*[f"c{i}" for i in range(len(lower))]).select(*[F.col(f"c{i}").alias(n) for i, n in zip(at, names)])
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -11,7 +11,9 @@ from ..plans.catalog import shipped
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-MODULES = ("decontaminate", "fingerprints", "licences", "lm", "mixing", "neardup", "pages", "repeats", "tokens", "toxicity")
+MODULES = (
+    "decontaminate", "fingerprints", "licences", "lm", "merkle", "mixing", "neardup", "packing", "pages", "repeats", "spellings", "tokens", "toxicity",
+)
 
 
 def query(name: str, sql: str | None = None):
