@@ -281,6 +281,28 @@ def spelling_groups(words: DataFrame, ratio: float = 2.0, task_letters: int = TA
     )
 
 
-@query("op12_spelling_variants")
+_LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: CRC-32 a bit at a time over the UTF-8 bytes of letters below U+0100.
+_CRC_SQL = (
+    "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split({0}, ''), "
+    "lambda ch: CASE WHEN unicode(ch) < 128 THEN [CAST(unicode(ch) AS BIGINT)] ELSE [195, unicode(ch) - 64] END))), "
+    "lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda d, e: xor(d >> 1, 3988292384 * (d & 1)))), 4294967295)"
+)
+SQL = f"""WITH RECURSIVE runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all({_LOWER_SQL}, '[A-Za-zÀ-ÿ]+')) AS w FROM documents),
+each AS (SELECT id, w, count(*) AS k FROM runs GROUP BY ALL),
+coded AS (SELECT w, k, {_CRC_SQL.format("id || ':' || w")} AS h FROM each),
+typed AS (SELECT k, CASE WHEN h % 97 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS w FROM coded),
+words AS MATERIALIZED (SELECT w, CAST(sum(k) AS BIGINT) AS n FROM typed WHERE length(w) >= 5 GROUP BY w HAVING sum(k) >= 3),
+skipped AS MATERIALIZED (SELECT w, n, left(w, i) AS a, substr(w, i + 2) AS b FROM (SELECT w, n, unnest(range(length(w))) AS i FROM words)),
+near AS MATERIALIZED (SELECT x.w, y.w AS v, y.n FROM skipped x JOIN skipped y ON x.a = y.a AND x.b = y.b AND x.w <> y.w
+    UNION SELECT s.w, c.w, c.n FROM skipped s JOIN words c ON c.w = s.a || s.b UNION SELECT c.w, s.w, s.n FROM skipped s JOIN words c ON c.w = s.a || s.b),
+best AS (SELECT w, v, n, count(*) OVER (PARTITION BY w) AS n_near, row_number() OVER (PARTITION BY w ORDER BY n DESC, v) AS k FROM near),
+forms AS MATERIALIZED (SELECT words.w, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 2 * words.n THEN v END AS form, CASE WHEN best.n >= 2 * words.n THEN best.n END AS form_n
+    FROM words LEFT JOIN best ON best.w = words.w AND k = 1),
+ways AS (SELECT w, w AS root, 0 AS step FROM forms UNION ALL SELECT ways.w, forms.form, step + 1 FROM ways JOIN forms ON forms.w = ways.root WHERE forms.form IS NOT NULL)
+SELECT w AS word, n, n_near, form, form_n, root FROM forms JOIN (SELECT w, arg_max(root, step) AS root FROM ways GROUP BY w) USING (w)"""
+
+
+@query("op12_spelling_variants", SQL)
 def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_groups(word_counts(table(spark, folder, "documents")))
