@@ -19,6 +19,7 @@ from .additive import Fitted
 from .boosting import fit_binned_boosting
 from .hidden import fit_hidden_gam
 from .linear import fit_elastic_net, fit_logistic, fit_ridge
+from .smooth import fit_smooth_gam
 from .spline import fit_regression_spline, fit_spline_gam
 from .trees import fit_boosted_trees, fit_forest, fit_perceptron, fit_tree
 
@@ -53,6 +54,7 @@ FITS: dict[str, Callable[..., Fitted]] = {
     "perceptron": lambda df, target, numeric, categorical, task, **k: fit_perceptron(df, target, numeric, categorical, **k),
     "spline_gam": fit_spline_gam,
     "regression_spline": fit_regression_spline,
+    "smooth_gam": fit_smooth_gam,
     "binned_boosting": fit_binned_boosting,
     "hidden_boosting": fit_hidden_gam,
 }

@@ -14,6 +14,7 @@ from ..operators.encode import sorted_levels
 from .additive import AdditiveModel, check_task
 from .design import Constant, Design, Levels, Linear, Spline
 from .gram import Gram, batch_score, gram, logistic_working, reused
+from .smooth import Smooth, fit_smooth_gam
 
 LAMBDAS = tuple(np.logspace(-3, 3, 15))
 NULL_RIDGE = 1e-6
@@ -187,11 +188,15 @@ def fit_by_validation(df: DataFrame, target: str, numeric: Sequence[str], catego
 
 def fit_regression_spline(df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str] = (),
                           task: str = "regression", max_k: int = 10, order: int = 2, gamma: float = 1.4,
-                          lambdas: Sequence[float] = LAMBDAS, max_iter: int = 25, tol: float = 1e-5) -> AdditiveModel:
-    """Basis sizes from the data, penalty order ``order``, GCV with inflated degrees of freedom.
+                          lambdas: Sequence[float] | None = None, max_iter: int = 25, tol: float = 1e-5,
+                          spline_type: str = "tp", select: bool = False) -> AdditiveModel:
+    """Basis sizes from the data, penalty order ``order``, rows counted as rows / ``gamma``.
 
-    Thin-plate bases are approximated by P-splines of the same size.
+    Every term has its own penalty (``smooth.fit_smooth_gam``). With ``lambdas``, one penalty of that grid serves all terms of a
+    P-spline model, chosen by GCV.
     """
+    if lambdas is None:
+        return fit_smooth_gam(df, target, numeric, categorical, task, max_k, order, gamma, spline_type, select, max_iter=max_iter, tol=tol)
     design = regression_spline_design(df, numeric, categorical, max_k)
     return _fit(df, target, design, numeric, categorical, task, lambdas, order, gamma, max_iter, tol)
 
@@ -203,7 +208,7 @@ def partial_dependence(spark: SparkSession, model: AdditiveModel, points: int =
     """
     cov, rows = model.info["covariance"], []
     for block, sl in zip(model.design.blocks, model.design.slices):
-        if not isinstance(block, Spline):
+        if not isinstance(block, (Spline, Smooth)):
             continue
         x = np.linspace(block.lo, block.hi, points)
         basis = block.evaluate(x)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..models import bagging, boosting, evaluate, hidden, interactions, linear, spline, trees
+from ..models import bagging, boosting, evaluate, hidden, interactions, linear, smooth, spline, trees
 from ..models.design import Constant, Design, Levels, Linear
 from ..models.gram import gram
 from ..operators import effects as fx
@@ -108,6 +109,22 @@ def coefficient_table(spark, folder):
     return model.coefficients(spark).withColumn("coef", digits)
 
 
+@query(
+    "ols_factor",
+    """WITH m AS (SELECT l_returnflag, avg(l_quantity) AS mx, avg(l_extendedprice) AS my FROM lineitem GROUP BY ALL),
+            s AS (SELECT sum((l_quantity - mx) * (l_extendedprice - my)) / sum(pow(l_quantity - mx, 2)) AS slope FROM lineitem JOIN m USING (l_returnflag))
+       SELECT l_returnflag, round(slope, 4) AS slope, round(avg(my + slope * (l_quantity - mx)), 2) AS prediction, round(sqrt(avg(pow(l_extendedprice - my - slope * (l_quantity - mx), 2))), 3) AS rmse
+       FROM lineitem JOIN m USING (l_returnflag), s GROUP BY l_returnflag, slope""",
+)
+def ols_factor(spark, folder):
+    """Least squares on a number and all levels of a factor next to an intercept: the slope within levels, and residuals per level."""
+    frame = items(spark, folder)
+    model = linear.fit_ridge(frame, TARGET, ["l_quantity"], ["l_returnflag"], alpha=0.0)
+    error = F.col(TARGET) - F.col("raw")
+    found = model.predict(frame).groupBy("l_returnflag").agg(F.avg("raw").alias("prediction"), F.sqrt(F.avg(error * error)).alias("rmse"))
+    return found.select("l_returnflag", F.lit(round(float(model.beta[1]), 4)).alias("slope"), rnd("prediction", 2).alias("prediction"), rnd("rmse", 3).alias("rmse"))
+
+
 @query(
     "elastic_net",
     """WITH s AS (SELECT avg(o_custkey) AS mx, avg(o_totalprice) AS my, covar_pop(o_custkey, o_totalprice) AS c, var_pop(o_custkey) AS v FROM orders),
@@ -264,6 +281,25 @@ def regression_spline(spark, folder):
     return _by(spline.fit_regression_spline(frame, "price", ["l_linenumber"], max_k=8, lambdas=(1e-6,)), frame, "l_linenumber", 3)
 
 
+@query(
+    "smooth_terms",
+    """SELECT 'l_linenumber' AS feat_name, CAST(l_linenumber AS DOUBLE) AS x, CAST(l_linenumber * 3 % 7 - 3 AS DOUBLE) AS y, true AS wiggly FROM lineitem GROUP BY l_linenumber
+       UNION ALL SELECT 'l_quantity', l_quantity, round(0.1 * (l_quantity - (SELECT min(l_quantity) FROM lineitem)), 2), false FROM lineitem GROUP BY l_quantity""",
+)
+def smooth_terms(spark, folder):
+    """A term that jumps from value to value and one that is straight, each with a penalty of its own: the one uses more than half of
+    its functions (all of them, in fact), the other next to one; and both curves from their first value on."""
+    noise = (F.pmod(F.xxhash64(*[F.col(k) for k in KEY]), F.lit(201)) - 100) / 5000
+    y = F.col("l_linenumber") * 3 % 7 + 0.1 * F.col("l_quantity") + noise
+    frame = items(spark, folder).withColumn("y", y)
+    model = smooth.fit_smooth_gam(frame, "y", ["l_linenumber", "l_quantity"], max_k=10)
+    curves = model.effects(frame).where("feat_idx >= 0")
+    begin = F.min_by("y", "x_num").over(Window.partitionBy("feat_name"))
+    sizes = {b.name: b.size for b in model.design.blocks}
+    wiggly = F.create_map(*[x for n, v in model.info["edf"].items() for x in (F.lit(n), F.lit(v > sizes[n] / 2))])
+    return curves.select("feat_name", F.col("x_num").alias("x"), rnd(F.col("y") - begin, 2).alias("y"), wiggly[F.col("feat_name")].alias("wiggly"))
+
+
 @query(
     "partial_dependence",
     f"WITH {CLASSES} SELECT CAST(l_linenumber AS DOUBLE) AS x, round(avg(price) - (SELECT avg(price) FROM c WHERE l_linenumber = 1), 3) AS y FROM c GROUP BY l_linenumber",
