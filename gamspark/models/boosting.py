@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import c, fast_uniform, poisson_weight
 from ..operators.encode import sorted_levels
 from .additive import AdditiveModel, check_task
+from .cuts import quantile_cuts
 from .design import Bins, Constant, Design, Levels, PairBins
 from .gram import Gram, batch_score, gram, logistic_step, reused
 from .interactions import pair_strength
@@ -24,26 +25,6 @@ PAIR_BINS = 16
 VALIDATION_SHARE = 0.15
 
 
-def quantile_cuts(df: DataFrame, cols: Sequence[str], max_bins: int, accuracy: int = 10_000) -> dict[str, tuple[float, ...]]:
-    """At most max_bins - 1 cut points per column from a quantile sketch, in one pass for all columns.
-
-    A cut lies between neighbouring sketched values, so that a discrete column gets one bin per value.
-    """
-    if not cols:
-        return {}
-    probs = [i / (2 * max_bins) for i in range(2 * max_bins + 1)]
-    row = df.agg(*[F.percentile_approx(c(n).cast("double"), probs, accuracy).alias(f"q{i}") for i, n in enumerate(cols)]).first()
-    out = {}
-    for i, n in enumerate(cols):
-        values = sorted(set(row[f"q{i}"] or []))
-        cuts = [(a + b) / 2 for a, b in zip(values, values[1:])]
-        if len(cuts) >= max_bins:
-            at = np.linspace(0, len(cuts) - 1, max_bins - 1).round().astype(int)
-            cuts = [cuts[j] for j in sorted(set(at))]
-        out[n] = tuple(cuts)
-    return out
-
-
 def binned_design(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], max_bins: int) -> Design:
     cuts = quantile_cuts(df, numeric, max_bins)
     levels = sorted_levels(df, categorical)

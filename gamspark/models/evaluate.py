@@ -18,6 +18,7 @@ from ..session import cut_lineage
 from .additive import Fitted
 from .boosting import fit_binned_boosting
 from .hidden import fit_hidden_gam
+from .histograms import fit_newton_boosting
 from .linear import fit_elastic_net, fit_logistic, fit_ridge
 from .smooth import fit_smooth_gam
 from .spline import fit_regression_spline, fit_spline_gam
@@ -50,6 +51,7 @@ FITS: dict[str, Callable[..., Fitted]] = {
     "tree": fit_tree,
     "forest": fit_forest,
     "boosted_trees": fit_boosted_trees,
+    "newton_boosting": fit_newton_boosting,
     "stump_gam": lambda *a, **k: fit_boosted_trees(*a, **{**k, "max_depth": 1}),
     "perceptron": lambda df, target, numeric, categorical, task, **k: fit_perceptron(df, target, numeric, categorical, **k),
     "spline_gam": fit_spline_gam,

@@ -132,22 +132,38 @@ def _partial_sums(design: Design, names: dict, working, offset, n_weights: int):
                         acc[:square] += g[upper]
                         acc[square:-4] += rhs
                         acc[-4:] += (w @ (zz * zz), w.sum(), cw.sum(), ll @ cw)
-        part = TaskContext.get().partitionId()
         for key, acc in sums.items():
-            starts = range(0, width, BLOCK)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([part] * len(starts), pa.int32()),
-                    pa.array([key] * len(starts), pa.int32()),
-                    pa.array(range(len(starts)), pa.int32()),
-                    pa.array([acc[s : s + BLOCK] for s in starts], pa.list_(pa.float64())),
-                ],
-                names=["part", "grp", "block", "data"],
-            )
+            yield partial_blocks(key, acc)
 
     return run
 
 
+def partial_blocks(key: int, values: np.ndarray) -> pa.RecordBatch:
+    """A task's sums for one group, cut into blocks."""
+    starts = range(0, len(values), BLOCK)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([TaskContext.get().partitionId()] * len(starts), pa.int32()),
+            pa.array([key] * len(starts), pa.int32()),
+            pa.array(range(len(starts)), pa.int32()),
+            pa.array([values[s : s + BLOCK] for s in starts], pa.list_(pa.float64())),
+        ],
+        names=["part", "grp", "block", "data"],
+    )
+
+
+def block_sums(partial: DataFrame) -> dict[int, np.ndarray]:
+    """Partial sums of all tasks added up, per group. Two steps, so that no reducer reads a block of every task."""
+    partial = partial.groupBy("grp", "block", (F.col("part") % SALTS).alias("salt")).agg(Summarizer.sum(array_to_vector(F.col("data"))).alias("v"))
+    rows = partial.groupBy("grp", "block").agg(Summarizer.sum(F.col("v")).alias("v")).select(
+        "grp", "block", vector_to_array("v").alias("v")
+    ).collect()
+    return {
+        key: np.concatenate([np.asarray(r["v"]) for r in sorted((r for r in rows if r["grp"] == key), key=lambda r: r["block"])])
+        for key in sorted({r["grp"] for r in rows})
+    }
+
+
 def gram(
     df: DataFrame,
     design: Design,
@@ -194,17 +210,11 @@ def gram(
             raise ValueError(f"more than {at_once} groups; the driver holds a matrix of each")
     source = spread_small(narrow) if spread else narrow
     partial = source.mapInArrow(_partial_sums(design, names, working, offset, len(weights)), OUT_SCHEMA)
-    # Two steps, so that no reducer reads a block of every task.
-    partial = partial.groupBy("grp", "block", (F.col("part") % SALTS).alias("salt")).agg(Summarizer.sum(array_to_vector(F.col("data"))).alias("v"))
-    rows = partial.groupBy("grp", "block").agg(Summarizer.sum(F.col("v")).alias("v")).select(
-        "grp", "block", vector_to_array("v").alias("v")
-    ).collect()
     size = design.size
     upper = np.triu_indices(size)
     square = len(upper[0])
     out: dict[int, Gram] = {}
-    for key in sorted({r["grp"] for r in rows}):
-        flat = np.concatenate([np.asarray(r["v"]) for r in sorted((r for r in rows if r["grp"] == key), key=lambda r: r["block"])])
+    for key, flat in block_sums(partial).items():
         g = np.zeros((size, size))
         g[upper] = flat[:square]
         g = g + np.triu(g, 1).T

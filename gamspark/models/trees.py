@@ -21,6 +21,7 @@ from ..operators import effects as fx
 from ..operators import encode
 from .additive import Fitted, check_task
 from .gram import spread_small
+from .histograms import fit_best_first_tree
 
 MAX_DEPTH = 30
 STUMP = re.compile(
@@ -81,9 +82,10 @@ def _depth(max_depth: int | None) -> int:
 
 def fit_tree(df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str] = (),
              task: str = "regression", max_depth: int | None = 5, min_rows: int = 1, class_weight: str | None = None,
-             max_leaf_nodes: int | None = None, splitter: str = "best", max_bins: int = 32, seed: int = 0) -> TreeModel:
+             max_leaf_nodes: int | None = None, splitter: str = "best", max_bins: int = 32, seed: int = 0) -> Fitted:
+    """A tree of Spark's, or, with a limit on its leaves or with random cuts, a best-first one on histograms."""
     if max_leaf_nodes is not None or splitter != "best":
-        raise ValueError("leaf-limited growth and random splits have no distributed counterpart here")
+        return fit_best_first_tree(df, target, numeric, categorical, task, max_depth, max_leaf_nodes, min_rows, class_weight, splitter, max_bins, seed)
     kind = mlr.DecisionTreeRegressor if check_task(task) == "regression" else mlc.DecisionTreeClassifier
     est = kind(maxDepth=_depth(max_depth), minInstancesPerNode=min_rows, maxBins=max_bins, seed=seed)
     return _fit(est, df, target, numeric, categorical, task, class_weight)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..models import bagging, boosting, evaluate, hidden, interactions, linear, smooth, spline, trees
+from ..models import bagging, boosting, evaluate, hidden, histograms, interactions, linear, smooth, spline, trees
 from ..models.design import Constant, Design, Levels, Linear
 from ..models.gram import gram
 from ..operators import effects as fx
@@ -239,6 +239,57 @@ def stump_gam(spark, folder):
     return fx.center_effects(trees.stump_effects(model, frame)).where("feat_idx >= 0").select("x_num", rnd("y", 4).alias("y"), "n")
 
 
+STEPS = """CASE WHEN l_quantity <= 24 THEN 0.0 WHEN l_tax <= 0.045 THEN 20.0 WHEN l_discount <= 0.055 THEN 33.0 ELSE 40.0 END"""
+
+
+@query(
+    "best_first_tree",
+    f"""WITH y AS (SELECT *, {STEPS} AS step, {STEPS} + (l_partkey % 7 - 3) / 10 AS y FROM lineitem)
+        SELECT CAST(round(step) AS INTEGER) AS step, round(avg(y), 5) AS prediction, round(sqrt(avg(pow(y - (SELECT avg(y) FROM y z WHERE z.step = y.step), 2))), 5) AS rmse,
+               count(*) AS n FROM y GROUP BY step""",
+)
+def best_first_tree(spark, folder):
+    """Four leaves on a ladder of three features: the splits are taken in the order of their gain, down one side, and each leaf is
+    the mean of its step."""
+    step = F.expr(STEPS)
+    frame = items(spark, folder).withColumn("step", step.cast("double")).withColumn("y", step.cast("double") + (F.col("l_partkey") % 7 - 3) / 10)
+    model = trees.fit_tree(frame, "y", NUM, CAT, max_depth=None, max_leaf_nodes=4, max_bins=64)
+    error = F.col("y") - F.col("prediction")
+    found = model.predict(frame).groupBy("step", "prediction").agg(F.sqrt(F.avg(error * error)).alias("rmse"), F.count(F.lit(1)).alias("n"))
+    return found.select(F.col("step").cast("int").alias("step"), rnd("prediction", 5).alias("prediction"), rnd("rmse", 5).alias("rmse"), "n")
+
+
+@query(
+    "newton_boosting",
+    f"""WITH {CLASSES}, b AS (SELECT avg(label) AS p, ln(avg(label) / (1 - avg(label))) AS f FROM c),
+        a AS (SELECT l_linestatus, sum(label) AS s, count(*) AS n FROM c GROUP BY ALL),
+        r1 AS (SELECT l_linestatus, s, n, f + 0.3 * (s - n * p) / (n * p * (1 - p) + 2.0) AS f FROM a, b),
+        r2 AS (SELECT l_linestatus, n, f + 0.3 * (s - n / (1 + exp(-f))) / (n / (1 + exp(-f)) * (1 - 1 / (1 + exp(-f))) + 2.0) AS f FROM r1)
+        SELECT l_linestatus, round(f, 6) AS raw, n FROM r2""",
+)
+def newton_boosting(spark, folder):
+    """Two second-order steps with an L2 term on a factor of two levels have a closed form."""
+    frame = classes(spark, folder)
+    model = histograms.fit_newton_boosting(frame, "label", [], ["l_linestatus"], "classification", n_estimators=2, max_depth=3, reg_lambda=2.0)
+    return _by(model, frame, "l_linestatus", 6, "raw", "raw")
+
+
+@query(
+    "newton_stump_gam",
+    """WITH y AS (SELECT *, CASE WHEN l_linenumber > 4 THEN 3.0 ELSE 0.0 END AS a, CASE WHEN l_returnflag = 'N' THEN 5.0 ELSE 0.0 END AS b FROM lineitem)
+       SELECT 'l_linenumber' AS feat_name, CAST(l_linenumber AS VARCHAR) AS value, round(CAST(avg(a) - (SELECT avg(a) FROM y) AS DOUBLE), 4) AS effect, count(*) AS n FROM y GROUP BY l_linenumber
+       UNION ALL SELECT 'l_returnflag', l_returnflag, round(CAST(avg(b) - (SELECT avg(b) FROM y) AS DOUBLE), 4), count(*) FROM y GROUP BY l_returnflag""",
+)
+def newton_stump_gam(spark, folder):
+    """Stumps boosted on two features, one of them a factor, as one additive model: the centred effects are the two parts of the target."""
+    y = F.when(F.col("l_linenumber") > 4, 3.0).otherwise(0.0) + F.when(F.col("l_returnflag") == "N", 5.0).otherwise(0.0)
+    frame = items(spark, folder).withColumn("y", y)
+    model = histograms.fit_newton_boosting(frame, "y", ["l_linenumber"], ["l_returnflag"], n_estimators=12, max_depth=1, learning_rate=1.0, reg_lambda=0.0)
+    table = fx.center_effects(model.additive().effects(frame)).where("feat_idx >= 0")
+    value = F.coalesce("x_cat", F.col("x_num").cast("int").cast("string"))
+    return table.select("feat_name", value.alias("value"), rnd("y", 4).alias("effect"), "n")
+
+
 @query("perceptron", f"WITH {CLASSES} SELECT count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, true AS better FROM c")
 def perceptron(spark, folder):
     """All rows are scored, and better than by the share of the labels."""
