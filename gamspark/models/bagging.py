@@ -15,9 +15,10 @@ from ..functions.scalars import c, logit, sigmoid
 from ..operators.split import bag_weights, random_subspace
 from ..session import cut_lineage
 from .additive import AdditiveModel, Fitted
-from .gram import gram
+from .design import Design
+from .gram import Member, gram, logistic_working, reused, run_together
 from .linear import _additive, centred, linear_design, ridge_solve
-from .spline import fit_spline_gam
+from .spline import _fitted, spline_design, spline_steps
 
 
 @dataclass
@@ -82,6 +83,7 @@ class SubspaceEnsemble(Fitted):
     fusion: str
     task: str = "classification"
     threshold: float = 0.0
+    passes: int = 0
 
     def probability(self) -> Column:
         return fuse_columns([sigmoid(m.raw()) for m in self.members], self.weights)[FUSIONS[self.fusion]]
@@ -94,7 +96,8 @@ def fit_subspace_ensemble(df: DataFrame, target: str, numeric: Sequence[str], ca
                           members: int = 10, subspace: int = 2, bagging: bool = True, subspaces: bool = True,
                           fusion: str = "avgagg", n_splines: int = 6, lam: float = 1.0, key: Sequence[str] = (),
                           seed: int = 0) -> SubspaceEnsemble:
-    """Spline members for 0/1 labels on Poisson bags and hash-ranked feature subsets."""
+    """Spline members for 0/1 labels on Poisson bags and hash-ranked feature subsets. All members are fitted in step: a pass over
+    the rows gives each its cross-products."""
     if fusion not in FUSIONS:
         raise ValueError(f"fusion must be one of {sorted(FUSIONS)}")
     features = [*numeric, *categorical]
@@ -104,12 +107,20 @@ def fit_subspace_ensemble(df: DataFrame, target: str, numeric: Sequence[str], ca
         table = df.sparkSession.createDataFrame([(n,) for n in features], "feat_name string")
         picked = random_subspace(table, members, subspace, seed).collect()
         chosen = {b: [n for n in features if (b, n) in {tuple(r) for r in picked}] for b in range(members)}
-    fits = []
+    whole = spline_design(df, numeric, categorical, n_splines)  # members share its terms, which a pass builds once
+    jobs = []
     for b in range(members):
-        mine = chosen[b]
-        fits.append(
-            fit_spline_gam(rows, target, [n for n in numeric if n in mine], [n for n in categorical if n in mine], "classification",
-                           n_splines=n_splines, lam=lam, max_iter=8, weight=f"bag_{b}" if bagging else None)
-        )
-    hits = df.agg(*[F.avg(((m.raw() >= 0) == (c(target) == 1)).cast("double")) for m in fits]).first()
-    return SubspaceEnsemble(fits, [float(h) for h in hits], fusion)
+        design = Design(tuple(t for t in whole.blocks if not t.columns or t.columns[0] in chosen[b]))
+        member = Member(design, weight=f"bag_{b}" if bagging else None, working=logistic_working)
+        jobs.append((member, spline_steps(design, [lam], 2, 1.0, 8, 1e-5)))
+    narrow = rows.select(*[c(n) for n in dict.fromkeys([*whole.columns, target, *[f"bag_{b}" for b in range(members) if bagging]])])
+    with reused(narrow) as kept:
+        found, passes = run_together(kept, target, jobs)
+        fits = []
+        for b, ((member, _), result) in enumerate(zip(jobs, found)):
+            if isinstance(result, Exception):
+                raise result
+            mine = [n for n in numeric if n in chosen[b]], [n for n in categorical if n in chosen[b]]
+            fits.append(_fitted(member.design, *result, "classification", *mine))
+        hits = kept.agg(*[F.avg(((m.raw() >= 0) == (c(target) == 1)).cast("double")) for m in fits]).first()
+    return SubspaceEnsemble(fits, [float(h) for h in hits], fusion, passes=passes)

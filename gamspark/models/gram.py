@@ -222,6 +222,147 @@ def gram(
     return out
 
 
+@dataclass(frozen=True)
+class Member:
+    """One of several cross-products of the same pass: its own columns, weight, share of the rows and score so far."""
+
+    design: Design
+    beta: np.ndarray | None = None  # score so far, for ``working``
+    weight: str | None = None
+    cells: frozenset[int] | None = None  # only rows of these cells
+    working: Working | None = None
+
+
+def _member_sums(members: Sequence[Member], weights: dict[str, str], celled: bool):
+    sizes = [m.design.size for m in members]
+    uppers = {n: np.triu_indices(n) for n in set(sizes)}
+    counted = [m.design.indicators for m in members]
+    products = [(_count_products if k else _dense_products)(m.design)[2] for m, k in zip(members, counted)]
+    chunk = max(256, CHUNK_VALUES // max(sizes))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        sums = [np.zeros(len(uppers[n][0]) + n + 4) for n in sizes]
+        for whole in batches:
+            for start in range(0, whole.num_rows, chunk):
+                batch = whole.slice(start, chunk)
+                y, built = numbers(batch, "__y"), {}
+                cell = numbers(batch, "__cell").astype(np.int64) if celled else None
+
+                def columns(block):  # terms that members share are built once
+                    if id(block) not in built:
+                        built[id(block)] = block.build(batch)
+                    return built[id(block)]
+
+                def codes(block):
+                    if ("codes", id(block)) not in built:
+                        built["codes", id(block)] = block.codes(batch)
+                    return built["codes", id(block)]
+
+                def whole_basis(design, indicators):
+                    if id(design) not in built:
+                        built[id(design)] = [codes(b) for b in design.blocks] if indicators else np.hstack([columns(b) for b in design.blocks])
+                    return built[id(design)]
+
+                for k, m in enumerate(members):
+                    basis = whole_basis(m.design, counted[k])
+                    weight = numbers(batch, weights[m.weight]) if m.weight else np.ones(len(y))
+                    use = weight != 0
+                    if m.cells is not None:
+                        use &= np.isin(cell, list(m.cells))
+                    if not counted[k]:
+                        use &= ~np.isnan(basis).any(axis=1)
+                    if not use.all():
+                        basis = [x[use] for x in basis] if counted[k] else basis[use]
+                    cw, z, w, loss = weight[use], y[use], np.ones(int(use.sum())), np.zeros(int(use.sum()))
+                    if m.working is not None:
+                        beta = m.beta if m.beta is not None else np.zeros(m.design.size)
+                        if counted[k]:
+                            score = sum(np.r_[beta[sl], 0.0][x] for x, sl in zip(basis, m.design.slices))
+                        else:
+                            score = basis @ beta
+                        w, z, loss = m.working(z, score)
+                    w = w * cw
+                    g, rhs = products[k](basis, w, z)
+                    square = len(uppers[sizes[k]][0])
+                    sums[k][:square] += g[uppers[sizes[k]]]
+                    sums[k][square:-4] += rhs
+                    sums[k][-4:] += (w @ (z * z), w.sum(), cw.sum(), loss @ cw)
+        for k, values in enumerate(sums):
+            yield partial_blocks(k, values)
+
+    return run
+
+
+def gram_many(df: DataFrame, y: str | Column, members: Sequence[Member], cell: str | Column | None = None) -> list[Gram]:
+    """The cross-products of all members from one pass over ``df`` (several when the driver could not hold all matrices).
+
+    Each member leaves out rows with a missing number of its own terms. ``rows`` counts weights of 1 and more as they are.
+    """
+    at_once, waiting, out = [], list(members), []
+    for m in members:
+        m.design.check()
+    while waiting:
+        at_once, held = [], 0
+        while waiting and (not at_once or held + waiting[0].design.size ** 2 <= DRIVER_VALUES):
+            at_once.append(waiting.pop(0))
+            held += at_once[-1].design.size ** 2
+        names = {w: f"__w{i}" for i, w in enumerate(dict.fromkeys(m.weight for m in at_once if m.weight))}
+        columns = dict.fromkeys(n for m in at_once for n in m.design.columns)
+        target = c(y) if isinstance(y, str) else y
+        narrow = df.select(
+            *[c(n) for n in columns], target.cast("double").alias("__y"), *[c(w).cast("double").alias(n) for w, n in names.items()],
+            *([] if cell is None else [(c(cell) if isinstance(cell, str) else cell).cast("int").alias("__cell")]),
+        ).where(F.col("__y").isNotNull())
+        found = block_sums(narrow.mapInArrow(_member_sums(at_once, names, cell is not None), OUT_SCHEMA))
+        for k, m in enumerate(at_once):
+            size = m.design.size
+            upper = np.triu_indices(size)
+            flat = found.get(k, np.zeros(len(upper[0]) + size + 4))
+            g = np.zeros((size, size))
+            g[upper] = flat[: len(upper[0])]
+            out.append(Gram(g + np.triu(g, 1).T, flat[len(upper[0]) : -4], *[float(v) for v in flat[-4:]]))
+    return out
+
+
+def run_together(df: DataFrame, y: str | Column, jobs: Sequence[tuple[Member, Iterator]], cell: str | Column | None = None) -> tuple[list, int]:
+    """Iterative fits in step: every round is one pass that serves all fits which still go on.
+
+    A fit is a generator that yields coefficients, is sent the cross-products there, and returns its result. Returns the results and
+    the number of rounds.
+    """
+    results, state, rounds = [None] * len(jobs), {}, 0
+
+    def advance(k: int, stats: Gram | None) -> None:
+        try:
+            state[k] = jobs[k][1].send(stats)
+        except StopIteration as end:
+            results[k] = end.value
+            state.pop(k, None)
+        except np.linalg.LinAlgError as error:  # the other fits go on
+            results[k] = error
+            state.pop(k, None)
+
+    for k in range(len(jobs)):
+        advance(k, None)
+    while state:
+        live = sorted(state)
+        members = [Member(jobs[k][0].design, state[k], jobs[k][0].weight, jobs[k][0].cells, jobs[k][0].working) for k in live]
+        rounds += 1
+        for k, stats in zip(live, gram_many(df, y, members, cell)):
+            advance(k, stats)
+    return results, rounds
+
+
+def run_alone(steps: Iterator, stats_at: Callable[[np.ndarray], Gram]):
+    """The result of one such fit, with a pass of its own per step."""
+    try:
+        beta = next(steps)
+        while True:
+            beta = steps.send(stats_at(beta))
+    except StopIteration as end:
+        return end.value
+
+
 def batch_score(design: Design, beta: np.ndarray) -> Callable[[pa.RecordBatch], np.ndarray]:
     """Score of a fitted design for use as ``offset``."""
     return lambda batch: design.score(batch, beta)

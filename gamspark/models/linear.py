@@ -12,7 +12,7 @@ from ..functions.scalars import c
 from ..operators import encode
 from .additive import AdditiveModel
 from .design import Constant, Design, Levels, Linear
-from .gram import Gram, batch_score, gram, logistic_working, reused
+from .gram import Gram, Member, batch_score, gram, logistic_working, reused, run_alone, run_together
 
 RANK_CUT = 1e-11
 
@@ -132,34 +132,62 @@ def fit_logistic(df: DataFrame, target: str, numeric: Sequence[str], categorical
     """
     if solver is not None and (penalty or "none") not in SOLVERS.get(solver, ()):
         raise ValueError(f"solver {solver!r} does not fit with penalty {penalty!r}")
-    mix = {"l1": 1.0, "l2": 0.0, "elasticnet": l1_ratio, None: 0.0, "none": 0.0}[penalty]
-    if mix is None:
-        raise ValueError("elastic net needs l1_ratio")
+    mix = penalty_mix(penalty, l1_ratio)
     design = linear_design(df, numeric, categorical, scale)
     weights = ["weight"] if class_weight == "balanced" else []
     frame = encode.balanced_weights(df, target) if weights else df
     narrow = frame.select(*[c(n) for n in dict.fromkeys([*design.columns, target, *weights])])
-    beta, before, last = np.zeros(design.size), None, np.inf
     with reused(narrow) as rows:
-        for _ in range(max_iter):
-            stats = gram(rows, design, target, weights, working=logistic_working, offset=batch_score(design, beta), spread=False)[0]
-            lam = 0.0 if penalty in (None, "none") else 1.0 / (C * stats.rows)
-            cost = stats.loss / stats.rows + lam * (mix * np.abs(beta[1:]).sum() + (1 - mix) / 2 * beta[1:] @ beta[1:])
-            if before is not None and cost > last + 1e-12:
-                beta = (beta + before) / 2
-                if np.max(np.abs(beta - before), initial=0.0) < 1e-10:
-                    break
-                continue
-            if last - cost <= tol * max(abs(cost), 1e-12):
-                break
-            last, before = cost, beta
-            g, b, means, centre = centred(stats)
-            # the quadratic is per weight of the iteration, the penalty per row
-            slopes = coordinate_descent(g, b, stats.rows, lam, mix, start=beta[1:])
-            beta = np.r_[centre - slopes @ means, slopes]
+        beta = run_alone(
+            logistic_steps(design, C, penalty, mix, max_iter, tol),
+            lambda at: gram(rows, design, target, weights, working=logistic_working, offset=batch_score(design, at), spread=False)[0],
+        )
     return _additive(design, beta, "classification", numeric, categorical, C=C, penalty=penalty)
 
 
+def logistic_steps(design: Design, C: float, penalty: str | None, mix: float, max_iter: int, tol: float):
+    """Newton steps of a penalised logistic regression (see ``run_together``); returns the coefficients."""
+    beta, before, last = np.zeros(design.size), None, np.inf
+    for _ in range(max_iter):
+        stats = yield beta
+        lam = 0.0 if penalty in (None, "none") else 1.0 / (C * stats.rows)
+        cost = stats.loss / stats.rows + lam * (mix * np.abs(beta[1:]).sum() + (1 - mix) / 2 * beta[1:] @ beta[1:])
+        if before is not None and cost > last + 1e-12:
+            beta = (beta + before) / 2
+            if np.max(np.abs(beta - before), initial=0.0) < 1e-10:
+                break
+            continue
+        if last - cost <= tol * max(abs(cost), 1e-12):
+            break
+        last, before = cost, beta
+        g, b, means, centre = centred(stats)
+        # the quadratic is per weight of the iteration, the penalty per row
+        slopes = coordinate_descent(g, b, stats.rows, lam, mix, start=beta[1:])
+        beta = np.r_[centre - slopes @ means, slopes]
+    return beta
+
+
+def penalty_mix(penalty: str | None, l1_ratio: float | None) -> float:
+    mix = {"l1": 1.0, "l2": 0.0, "elasticnet": l1_ratio, None: 0.0, "none": 0.0}[penalty]
+    if mix is None:
+        raise ValueError("elastic net needs l1_ratio")
+    return mix
+
+
+def fit_logistic_path(df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str], settings: Sequence[dict],
+                      max_iter: int = 100, scale: bool = True, tol: float = 1e-8) -> list[AdditiveModel]:
+    """``fit_logistic`` for every setting (C, penalty, l1_ratio), in step: as many passes as the longest of the fits takes."""
+    design = linear_design(df, numeric, categorical, scale)
+    jobs = []
+    for s in settings:
+        penalty = s.get("penalty", "l2")
+        steps = logistic_steps(design, s.get("C", 1.0), penalty, penalty_mix(penalty, s.get("l1_ratio")), max_iter, tol)
+        jobs.append((Member(design, working=logistic_working), steps))
+    with reused(df.select(*[c(n) for n in dict.fromkeys([*design.columns, target])])) as rows:
+        betas, rounds = run_together(rows, target, jobs)
+    return [_additive(design, beta, "classification", numeric, categorical, passes=rounds, **s) for beta, s in zip(betas, settings)]
+
+
 def raw_linear(coefs: dict[str, float], intercept: float = 0.0) -> Column:
     total = F.lit(float(intercept))
     for name, v in coefs.items():

@@ -13,7 +13,7 @@ from ..operators.clean import column_ranges, feature_values
 from ..operators.encode import sorted_levels
 from .additive import AdditiveModel, check_task
 from .design import Constant, Design, Levels, Linear, Spline
-from .gram import Gram, batch_score, gram, logistic_working, reused
+from .gram import Gram, Member, batch_score, gram, gram_many, logistic_working, reused, run_alone, run_together
 from .smooth import Smooth, fit_smooth_gam
 
 LAMBDAS = tuple(np.logspace(-3, 3, 15))
@@ -123,16 +123,30 @@ def _fit(df, target, design, numeric, categorical, task, lambdas, order, gamma,
         best, path = search_lambda(stats, penalty, lambdas, ridge, gamma)
         passes = 1
     else:
-        beta, last = np.zeros(design.size), np.inf
         narrow = df.select(*[c(n) for n in dict.fromkeys([*design.columns, target, *weights])])
         with reused(narrow) as rows:
-            for passes in range(1, max_iter + 1):
-                stats = gram(rows, design, target, weights, working=logistic_working, offset=batch_score(design, beta), spread=False)[0]
-                # the penalty is chosen again on every weighted pass, so the search costs no extra passes
-                best, path = search_lambda(stats, penalty, lambdas, ridge, gamma)
-                if abs(last - stats.loss) <= tol * (abs(last) if np.isfinite(last) else 1.0) and passes > 2:
-                    break
-                last, beta = stats.loss, best[1]
+            best, path, passes, stats = run_alone(
+                spline_steps(design, lambdas, order, gamma, max_iter, tol),
+                lambda at: gram(rows, design, target, weights, working=logistic_working, offset=batch_score(design, at), spread=False)[0],
+            )
+    return _fitted(design, best, path, passes, stats, task, numeric, categorical)
+
+
+def spline_steps(design: Design, lambdas: Sequence[float], order: int, gamma: float, max_iter: int, tol: float):
+    """Newton steps of a penalised model for classes (see ``run_together``); returns what ``_fitted`` takes."""
+    penalty, ridge = penalty_matrix(design, order), _null_ridge(design)
+    beta, last = np.zeros(design.size), np.inf
+    for passes in range(1, max_iter + 1):
+        stats = yield beta
+        # the penalty is chosen again on every weighted pass, so the search costs no extra passes
+        best, path = search_lambda(stats, penalty, lambdas, ridge, gamma)
+        if abs(last - stats.loss) <= tol * (abs(last) if np.isfinite(last) else 1.0) and passes > 2:
+            break
+        last, beta = stats.loss, best[1]
+    return best, path, passes, stats
+
+
+def _fitted(design, best, path, passes, stats, task, numeric, categorical) -> AdditiveModel:
     lam, beta, edf, gcv, inverse = best
     residual = max(stats.squared_error(beta), 0.0) / max(stats.rows - edf, 1.0)
     scale = residual if task == "regression" else 1.0
@@ -157,16 +171,21 @@ def fit_by_validation(df: DataFrame, target: str, numeric: Sequence[str], catego
     fit on all rows.
 
     Squared loss: the cross-products of both parts come from one pass, and so do the losses of the whole
-    path and the final fit. Log loss fits every penalty on the training part.
+    path and the final fit. Log loss fits all penalties in step: the passes are those of the longest fit.
     """
     design = spline_design(df, numeric, categorical, n_splines)
     path, ordered = [], sorted(lambdas, reverse=True)
     if check_task(task) == "classification":
-        for lam in ordered:
-            model = _fit(df.where(~val), target, design, numeric, categorical, task, [lam], order, 1.0, 25, 1e-5)
-            path.append((float(lam), model.loss(df.where(val), target)))
-        best = min(path, key=lambda p: p[1])[0]
-        out = _fit(df, target, design, numeric, categorical, task, [best], order, 1.0, 25, 1e-5)
+        # all penalties in step: first on the other rows, then their losses on the held ones, last the best on all rows
+        narrow = df.select(*[c(n) for n in dict.fromkeys([*design.columns, target])], val.cast("int").alias("__val"))
+        with reused(narrow) as rows:
+            member = Member(design, cells=frozenset([0]), working=logistic_working)
+            fits, _ = run_together(rows, target, [(member, spline_steps(design, [lam], order, 1.0, 25, 1e-5)) for lam in ordered], "__val")
+            good = [(lam, f[0][1]) for lam, f in zip(ordered, fits) if not isinstance(f, Exception)]
+            held = gram_many(rows, target, [Member(design, beta, cells=frozenset([1]), working=logistic_working) for _, beta in good], "__val")
+            path = [(float(lam), h.loss / h.rows) for (lam, _), h in zip(good, held)]
+            best = min(path, key=lambda p: p[1])[0]
+            out = _fit(rows, target, design, numeric, categorical, task, [best], order, 1.0, 25, 1e-5)
     else:
         penalty, ridge = penalty_matrix(design, order), _null_ridge(design)
         parts = gram(df, design, target, group=val.cast("int"))
