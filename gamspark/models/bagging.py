@@ -91,6 +91,14 @@ class SubspaceEnsemble(Fitted):
     def raw(self) -> Column:
         return logit(self.probability())
 
+    def predict(self, df: DataFrame) -> DataFrame:
+        """Scores of the members first, each once, then what is made of them."""
+        names = [f"__member{i}" for i in range(len(self.members))]
+        scored = df.withColumns({n: m.raw() for n, m in zip(names, self.members)}).withColumns({n: sigmoid(c(n)) for n in names})
+        fused = fuse_columns([c(n) for n in names], self.weights)[FUSIONS[self.fusion]]
+        out = scored.withColumn("__fused", fused).withColumn("raw", logit(F.col("__fused"))).withColumn("probability", sigmoid(F.col("raw")))
+        return out.withColumn("prediction", F.when(F.col("raw") < self.threshold, 0.0).otherwise(1.0)).drop("__fused", *names)
+
 
 def fit_subspace_ensemble(df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str] = (),
                           members: int = 10, subspace: int = 2, bagging: bool = True, subspaces: bool = True,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..models import bagging, boosting, evaluate, hidden, histograms, interactions, linear, smooth, spline, trees
+from ..models import bagging, boosting, evaluate, folds, hidden, histograms, interactions, linear, smooth, spline, trees
 from ..models.design import Constant, Design, Levels, Linear
 from ..models.gram import gram
 from ..operators import effects as fx
@@ -554,4 +554,48 @@ def grid_search(spark, folder):
         [{"alpha": 0.01}, {"alpha": 5.0}, {"alpha": 0.1, "unknown": 1}],
     )
     rows = [t.row("lineitem", "elastic_net", 0) for t in done]
-    return spark.createDataFrame(rows, evaluate.TRIAL_SCHEMA).select("config_id", rnd("loss", 5).alias("loss"), "failed")
\ No newline at end of file
+    return spark.createDataFrame(rows, evaluate.TRIAL_SCHEMA).select("config_id", rnd("loss", 5).alias("loss"), "failed")
+
+
+@query(
+    "shared_folds",
+    f"""WITH {CLASSES}, h AS (SELECT l_quantity AS x, price, l_linenumber % 3 AS own, {HELD} AS val FROM c),
+        m AS (SELECT k.fold, avg(price) AS m, stddev_pop(price) AS s FROM h, (VALUES (0), (1), (2)) k(fold) WHERE own <> fold GROUP BY ALL),
+        z AS (SELECT fold, own, val, x, (price - m) / s AS z FROM h, m),
+        a(config_id, alpha) AS (VALUES (0, 1.0), (1, 50000.0), (2, 1e7)),
+        fit AS (SELECT fold, config_id, alpha, avg(x) AS mx, avg(z) AS mz, covar_pop(x, z) * count(*) / (var_pop(x) * count(*) + alpha) AS b
+                FROM z, a WHERE own <> fold AND NOT val GROUP BY fold, config_id, alpha),
+        loss AS (SELECT z.fold, config_id, alpha, avg(pow(z - mz - b * (x - mx), 2)) AS loss FROM z JOIN fit ON z.fold = fit.fold WHERE own <> z.fold AND val GROUP BY z.fold, config_id, alpha),
+        best AS (SELECT fold, arg_min(alpha, (loss, config_id)) AS alpha FROM loss GROUP BY fold),
+        refit AS (SELECT z.fold, avg(x) AS mx, avg(z) AS mz, covar_pop(x, z) * count(*) / (var_pop(x) * count(*) + alpha) AS b FROM z JOIN best ON best.fold = z.fold WHERE own <> z.fold GROUP BY z.fold, alpha)
+        SELECT fold, 'loss of ' || config_id AS line, round(loss, 6) AS value FROM loss
+        UNION ALL SELECT z.fold, 'RMSE', round(sqrt(avg(pow(z - mz - b * (x - mx), 2))), 6) FROM z JOIN refit ON z.fold = refit.fold WHERE own = z.fold GROUP BY z.fold
+        UNION ALL SELECT z.fold, 'MAE', round(avg(abs(z - mz - b * (x - mx))), 6) FROM z JOIN refit ON z.fold = refit.fold WHERE own = z.fold GROUP BY z.fold""",
+)
+def shared_folds(spark, folder):
+    """Three ridge candidates over three folds, refits and test reports: one pass for all fits, one for all reports."""
+    grid = {"ridge": [{"alpha": 1.0}, {"alpha": 50000.0}, {"alpha": 1e7}]}
+    trials, reports = folds.shared_evaluation(classes(spark, folder), "lineitem", KEY, "price", ["l_quantity"], [], "regression", grid, 3,
+                                              fold=F.col("l_linenumber") % 3, val=_holdout())
+    losses = trials.select("fold", F.concat(F.lit("loss of "), F.col("config_id").cast("string")).alias("line"), rnd("loss").alias("value"))
+    return losses.unionByName(reports.where("metric IN ('RMSE', 'MAE')").select("fold", F.col("metric").alias("line"), rnd("value").alias("value")))
+
+
+PENALTIES = (0.01, 0.1, 1.0)
+
+
+@query(
+    "logistic_path",
+    f"WITH {CLASSES}, s AS (SELECT count(*) AS n, sum(label) AS p FROM c) SELECT count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, "
+    f"round(ln(max(s.p) / (max(s.n) - max(s.p))), 4) AS intercept, 0 AS kept, true AS falling FROM c, s",
+)
+def logistic_path(spark, folder):
+    """Several features and both factors, a path of lasso penalties fitted in step. At the strongest penalty no feature is left, and
+    the constant is the log odds; every weaker penalty has a lower loss."""
+    frame = classes(spark, folder)
+    settings = [{"C": 1e-9, "penalty": "l1"}, *[{"C": v, "penalty": "l1"} for v in PENALTIES]]
+    models = linear.fit_logistic_path(frame, "label", ["price", *NUM], CAT, settings, scale=True)
+    losses = [m.loss(frame, "label") for m in models]
+    kept = int((models[0].beta[1:] != 0).sum())
+    counts = models[0].predict(frame).agg(F.count("prediction").alias("n"), F.sum(F.col("label").cast("long")).alias("positives"))
+    return counts.select("n", "positives", F.lit(round(float(models[0].beta[0]), 4)).alias("intercept"), F.lit(kept).alias("kept"), F.lit(losses == sorted(losses, reverse=True)).alias("falling"))
