@@ -122,6 +122,43 @@ def _centre(design: Design, beta: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def purify(design: Design, beta: np.ndarray, counts: np.ndarray, tol: float = 1e-12, sweeps: int = 10_000) -> tuple[Design, np.ndarray]:
+    """The same scores with pure pair effects: what a pair's surface says about one feature alone moves to a term of that feature on the
+    pair's bins, and the overall mean to the constant. ``counts`` are the rows of every column; afterwards the weighted mean of each
+    row and column of a surface is 0 (of those with rows), and so is that of the new terms. For a row that misses just one of the
+    two numbers, a pair has no effect, but the term of the other feature has.
+    """
+    blocks, parts, extra = list(design.blocks), [beta[sl].copy() for sl in design.slices], {}
+    for k, (block, sl) in enumerate(zip(design.blocks, design.slices)):
+        if not isinstance(block, PairBins):
+            continue
+        shape = (block.first.size, block.second.size)
+        surface, n = parts[k].reshape(shape).copy(), counts[sl].reshape(shape)
+        surface[n == 0] = 0.0  # cells without rows say nothing, and would never be asked for by the rows
+        sides = [np.zeros(shape[0]), np.zeros(shape[1])]
+        for _ in range(sweeps):
+            moved = 0.0
+            for axis in (0, 1):
+                total = n.sum(axis=1 - axis)
+                mean = np.divide((surface * n).sum(axis=1 - axis), total, out=np.zeros(shape[axis]), where=total > 0)
+                sides[axis] += mean
+                surface -= mean[:, None] if axis == 0 else mean[None, :]
+                moved = max(moved, float(np.max(np.abs(mean))))
+            if moved <= tol * max(1.0, float(np.max(np.abs(parts[k])))):
+                break
+        kept = parts[k].reshape(shape) - sides[0][:, None] - sides[1][None, :]  # also for cells without rows: the sum is as before
+        for axis, bins in enumerate((block.first, block.second)):
+            weight = n.sum(axis=1 - axis)
+            mean = float(sides[axis] @ weight / weight.sum()) if weight.sum() else 0.0
+            parts[0] = parts[0] + mean
+            extra[bins] = extra.get(bins, 0.0) + sides[axis] - mean
+        parts[k] = kept.ravel()
+    for bins, effect in extra.items():
+        blocks.append(bins)
+        parts.append(np.asarray(effect))
+    return Design(tuple(blocks)), np.concatenate(parts)
+
+
 def _with_bags(df: DataFrame, key: Sequence[str], outer: int, inner: int, seed: int) -> tuple[DataFrame, list[list[str]], list[str]]:
     """Weight columns: per outer bag its training rows (times inner Poisson weights) and its validation rows."""
     cols, train, val = {}, [], []
@@ -179,7 +216,8 @@ def _boost_stage(df, target, design, key, task, base, base_columns, outer, inner
                 f = f + cyclic_boost(design, bags, held, rate, rounds, leaves, patience)[0]
             fits.append(best)
             paths.append(path)
-        counts = np.diag(stats[0].g) + np.diag(held.g)
+    if task != "regression" or inner:  # the passes before have weights; terms are centred by rows
+        counts = np.diag(gram(df, design, target, spread=False)[0].g)
     return np.mean(fits, axis=0), paths, counts
 
 
@@ -232,5 +270,6 @@ def _fit_stages(df, target, numeric, categorical, task, key, max_bins, interacti
     joined = Design((*design.blocks, *pairs))
     beta = np.r_[beta, more[1:]]
     beta[0] += more[0]
+    joined, beta = purify(joined, beta, np.r_[counts, pair_counts[1:]])
     return AdditiveModel(joined, beta, task, tuple(numeric), tuple(categorical),
                          info={"paths": paths, "pair_paths": pair_paths, "pairs": [p.columns for p in pairs]})

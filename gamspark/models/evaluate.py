@@ -17,6 +17,7 @@ from ..operators.hpo import drop_invalid_configs, expand_grid, select_best, type
 from ..session import cut_lineage
 from .additive import Fitted
 from .boosting import fit_binned_boosting
+from .fused import fit_fused
 from .hidden import fit_hidden_gam
 from .histograms import fit_newton_boosting
 from .linear import fit_elastic_net, fit_logistic, fit_ridge
@@ -58,6 +59,7 @@ FITS: dict[str, Callable[..., Fitted]] = {
     "regression_spline": fit_regression_spline,
     "smooth_gam": fit_smooth_gam,
     "binned_boosting": fit_binned_boosting,
+    "fused": fit_fused,
     "hidden_boosting": fit_hidden_gam,
 }
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..models import bagging, boosting, evaluate, folds, hidden, histograms, interactions, linear, smooth, spline, trees
+from ..models import bagging, boosting, evaluate, folds, fused, hidden, histograms, interactions, linear, smooth, spline, trees
+from ..models.additive import AdditiveModel
 from ..models.design import Constant, Design, Levels, Linear
 from ..models.gram import gram
 from ..operators import effects as fx
@@ -599,3 +600,26 @@ def logistic_path(spark, folder):
     kept = int((models[0].beta[1:] != 0).sum())
     counts = models[0].predict(frame).agg(F.count("prediction").alias("n"), F.sum(F.col("label").cast("long")).alias("positives"))
     return counts.select("n", "positives", F.lit(round(float(models[0].beta[0]), 4)).alias("intercept"), F.lit(kept).alias("kept"), F.lit(losses == sorted(losses, reverse=True)).alias("falling"))
+
+
+FUSED_LAMBDAS = (50.0, 200.0)
+JUMP = "CASE WHEN l_linenumber > 3 THEN 10.0 ELSE 0.0 END + (l_partkey % 7 - 3) / 100"
+
+
+@query(
+    "fused_path",
+    f"""WITH y AS (SELECT l_linenumber, l_linenumber > 3 AS high, CAST({JUMP} AS DOUBLE) AS y FROM lineitem),
+        s AS (SELECT high, avg(y) AS mean, count(*) AS n FROM y GROUP BY high), l(lam) AS (VALUES {", ".join(f"({v})" for v in FUSED_LAMBDAS)})
+        SELECT CAST(lam AS DOUBLE) AS lam, l_linenumber, round(mean + CASE WHEN high THEN -1 ELSE 1 END * lam / n, 5) AS prediction, 1 AS jumps
+        FROM (SELECT DISTINCT l_linenumber, high FROM y) JOIN s USING (high), l""",
+)
+def fused_path(spark, folder):
+    """A target that jumps once: at every penalty of the path there is one jump, between the segments' means, each moved towards the
+    other by the penalty over its rows."""
+    frame = items(spark, folder).withColumn("y", F.expr(JUMP).cast("double"))
+    model = fused.fit_fused_path(frame, "y", ["l_linenumber"], lambdas=FUSED_LAMBDAS)
+    out = None
+    for (lam, _, jumps), beta in zip(model.info["path"], model.info["coefficients"]):
+        at = _by(AdditiveModel(model.design, beta), frame, "l_linenumber", 5).select(F.lit(lam).alias("lam"), "l_linenumber", "prediction", F.lit(jumps).alias("jumps"))
+        out = at if out is None else out.unionByName(at)
+    return out

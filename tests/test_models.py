@@ -189,10 +189,34 @@ def test_binned_boosting(df):
     assert all(abs(r["m"]) < 1e-6 for r in table.where("feat_idx >= 0").groupBy("feat_name").agg(
         (F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("m")).collect())
     ranges = df.agg(F.min("a").alias("lo_a"), F.max("a").alias("hi_a"), F.min("b").alias("lo_b"), F.max("b").alias("hi_b"))
+    pair = next(i for i, b in enumerate(paired.design.blocks) if isinstance(b, PairBins))
+    n = np.diag(gm.gram(df, Design((paired.design.blocks[pair],)), "y")[0].g).reshape(paired.design.blocks[pair].first.size, -1)
+    cells = paired.beta[paired.design.slices[pair]].reshape(n.shape)
+    assert np.allclose((cells * n).sum(0), 0, atol=1e-6) and np.allclose((cells * n).sum(1), 0, atol=1e-6)
     surface = paired.surface(ranges.select("*", F.lit("a").alias("feat_a"), F.lit("b").alias("feat_b")), "a", "b", 5)
     assert surface.count() == 25
 
 
+def test_purified_pairs(df):
+    rng = np.random.default_rng(4)
+    first, second = Bins("a", (-1.0, 0.0, 1.0)), Bins("b", (-0.5, 0.5))
+    design = Design((Constant(), Bins("a", (0.3,)), PairBins(first, second)))
+    beta = rng.normal(size=design.size)
+    counts = np.diag(gm.gram(df, design, "y")[0].g)
+    pure, moved = boosting.purify(design, beta, counts)
+    assert [b.name for b in pure.blocks] == ["intercept", "a", "a x b", "a", "b"]
+    found = df.select("id", gm.score_column(design, beta).alias("x"), gm.score_column(pure, moved).alias("y"))
+    assert found.agg(F.max(F.abs(F.col("x") - F.col("y")))).first()[0] < 1e-12
+    surface, n = moved[pure.slices[2]].reshape(4, 3), counts[design.slices[2]].reshape(4, 3)
+    assert np.allclose((surface * n).sum(0), 0, atol=1e-8) and np.allclose((surface * n).sum(1), 0, atol=1e-8)
+    assert abs(moved[pure.slices[3]] @ n.sum(1)) < 1e-8 and abs(moved[pure.slices[4]] @ n.sum(0)) < 1e-8
+    empty = counts.copy()
+    empty[design.slices[2].start + 1] = 0.0
+    pure, moved = boosting.purify(design, beta, empty)
+    again = df.select("id", gm.score_column(design, beta).alias("x"), gm.score_column(pure, moved).alias("y"))
+    assert again.agg(F.max(F.abs(F.col("x") - F.col("y")))).first()[0] < 1e-12
+
+
 def test_binned_boosting_of_classes(df):
     model = boosting.fit_binned_boosting(df, "label", ["a", "b"], ["g"], "classification", key=["id"], max_bins=16, rounds=200)
     best = linear.fit_logistic(df, "label", ["a", "b"], ["g"], penalty="none").loss(df, "label")
