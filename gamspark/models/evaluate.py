@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import threading
 import time
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -30,6 +33,7 @@ TRIAL_SCHEMA = (
     "failed boolean, message string"
 )
 REPORT_SCHEMA = "dataset string, model string, fold int, row string, metric string, value double"
+SCHEMAS = {"trials": TRIAL_SCHEMA, "reports": REPORT_SCHEMA}
 
 
 def _no_task(fit):
@@ -80,21 +84,82 @@ class Trial:
 
 
 def run_trial(fit, train: DataFrame, val: DataFrame, target: str, numeric, categorical, task: str, config_id: int, params: dict) -> Trial:
-    """Fits and scores one configuration; a failed fit is recorded instead of ending the search."""
+    """Fits and scores one configuration; a failed fit is recorded instead of ending the search, an error in scoring is not."""
     start = time.perf_counter()
     try:
         model = fit(train, target, numeric, categorical, task, **params)
-        seconds = time.perf_counter() - start
-        return Trial(config_id, params, model.loss(val, target), seconds, False, model=model)
     except Exception as error:  # noqa: BLE001 - the trial log keeps the message
         return Trial(config_id, params, None, time.perf_counter() - start, True, f"{type(error).__name__}: {error}")
+    seconds = time.perf_counter() - start
+    return Trial(config_id, params, model.loss(val, target), seconds, False, model=model)
+
+
+class TrialStore:
+    """Finished trials and fold reports in a folder, so that a search that broke off goes on where it was.
+
+    Every trial, and every report of a model on a fold, is a table of its own below a name made from its key, parameters included. It
+    counts once Spark has committed it, and writing it again changes nothing. A changed grid or seed therefore finds only what is
+    the same. ``folder`` must be one that a later driver sees.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.lock = threading.Lock()
+        self.rows: dict[str, dict[str, list[tuple]]] = {"trials": {}, "reports": {}}
+        for kind, schema in SCHEMAS.items():
+            for r in self._table(kind, schema).collect():  # a row per trial and report line
+                values = tuple(r)
+                self.rows[kind].setdefault(values[0], []).append(values[1:])
+
+    def _path(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _table(self, kind: str, schema: str) -> DataFrame:
+        whole = f"store_key string, {schema}"
+        root = self._path(f"{self.folder}/{kind}")
+        files = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(root):
+            return self.spark.createDataFrame([], whole)
+        done = [str(s.getPath()) for s in files.listStatus(root) if files.exists(self._path(f"{s.getPath()}/_SUCCESS"))]
+        return self.spark.read.schema(whole).parquet(*done) if done else self.spark.createDataFrame([], whole)
+
+    @staticmethod
+    def key(*parts) -> str:
+        return hashlib.sha256(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()
+
+    def get(self, kind: str, key: str) -> list[tuple] | None:
+        return self.rows[kind].get(key)
+
+    def put(self, kind: str, key: str, rows: Sequence[tuple]) -> None:
+        frame = self.spark.createDataFrame([(key, *r) for r in rows], f"store_key string, {SCHEMAS[kind]}")
+        frame.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/{kind}/{key}")
+        with self.lock:
+            self.rows[kind][key] = [tuple(r) for r in rows]
+
+    def trials(self) -> DataFrame:
+        """All finished trials."""
+        return self._table("trials", TRIAL_SCHEMA).drop("store_key")
 
 
 def grid_search(fit, train: DataFrame, val: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str],
-                task: str, candidates: Sequence[dict], parallelism: int = 2) -> list[Trial]:
-    """All candidates on the same frames. A few fits run at once, so that small ones share the cluster."""
+                task: str, candidates: Sequence[dict], parallelism: int = 2, store: TrialStore | None = None,
+                name: tuple[str, str, int] = ("", "", 0)) -> list[Trial]:
+    """All candidates on the same frames. A few fits run at once, so that small ones share the cluster.
+
+    With a ``store``, trials of (dataset, model, fold) ``name`` that it has are not run again (they come without a model), and each
+    other is stored as soon as it is done.
+    """
     def one(item):
-        return run_trial(fit, train, val, target, numeric, categorical, task, *item)
+        config_id, params = item
+        key = TrialStore.key(*name, task, target, [*numeric], [*categorical], config_id, params)
+        known = store.get("trials", key) if store else None
+        if known:
+            loss, seconds, failed, message = known[0][5:9]
+            return Trial(config_id, params, loss, seconds, failed, message)
+        done = run_trial(fit, train, val, target, numeric, categorical, task, config_id, params)
+        if store:
+            store.put("trials", key, [done.row(*name)])
+        return done
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         return list(pool.map(inheritable_thread_target(train.sparkSession)(one), enumerate(candidates)))
@@ -151,8 +216,9 @@ def nested_evaluation(
     val_share: float = 0.25,
     seed: int = 42,
     parallelism: int = 2,
+    store: TrialStore | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(trials, reports) over outer folds.
+    """(trials, reports) over outer folds. With a ``store``, what an earlier, broken evaluation has finished is not run again.
 
     Per fold: cleaning statistics and the target scale come from the training part only, candidates are
     compared on an inner split, the best configuration is refitted on all training rows. The folded frame
@@ -176,20 +242,27 @@ def nested_evaluation(
         parts = split.train_val_split(whole, inner_key, val_share, target if task == "classification" else None).persist()
         train, val = parts.where(F.col("part") == "train"), parts.where(F.col("part") == "val")
         for name, candidates in grids.items():
-            done = grid_search(FITS[name], train, val, target, cleaner.numeric, cleaner.categorical, task, candidates, parallelism)
+            own = (f"{dataset} {folds} {val_share} {seed}", name, fold) if store else (dataset, name, fold)
+            done = grid_search(FITS[name], train, val, target, cleaner.numeric, cleaner.categorical, task, candidates, parallelism, store, own)
             trials += [t.row(dataset, name, fold) for t in done]
             if all(t.failed for t in done):  # the trials say why; the other models go on
                 continue
             best = best_trial(done)
+            stored = TrialStore.key(*own, task, target, cleaner.numeric, cleaner.categorical, [t.params for t in done])
+            if store and store.get("reports", stored):
+                reports += store.get("reports", stored)
+                continue
             refit = run_trial(FITS[name], parts, parts, target, cleaner.numeric, cleaner.categorical, task, -1, best.params)
             if refit.failed:
                 trials.append(refit.row(dataset, name, fold))
                 continue
             lines = fold_report(refit.model.predict(test), target, task)
-            reports += [(dataset, name, fold, row, metric, float(v)) for row, metric, v in lines if v is not None]
             seconds = [t.seconds for t in done if not t.failed]
-            reports.append((dataset, name, fold, "timing", "timing_best_model", best.seconds))
-            reports.append((dataset, name, fold, "timing", "mean_timing_all_hpo_configs", sum(seconds) / len(seconds)))
+            lines += [("timing", "timing_best_model", best.seconds), ("timing", "mean_timing_all_hpo_configs", sum(seconds) / len(seconds))]
+            found = [(dataset, name, fold, row, metric, float(v)) for row, metric, v in lines if v is not None]
+            reports += found
+            if store:
+                store.put("reports", stored, found)
         parts.unpersist()
     return spark.createDataFrame(trials, TRIAL_SCHEMA), spark.createDataFrame(reports, REPORT_SCHEMA)
 

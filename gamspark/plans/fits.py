@@ -11,7 +11,7 @@ from ..models.design import Constant, Design, Levels, Linear
 from ..models.gram import gram
 from ..operators import effects as fx
 from ..operators import clean, encode
-from .catalog import query, rnd, table
+from .catalog import query, rnd, shared_path, table
 
 NUM, CAT, TARGET = ["l_quantity", "l_discount", "l_tax"], ["l_returnflag", "l_linestatus"], "l_extendedprice"
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -623,3 +623,47 @@ def fused_path(spark, folder):
         at = _by(AdditiveModel(model.design, beta), frame, "l_linenumber", 5).select(F.lit(lam).alias("lam"), "l_linenumber", "prediction", F.lit(jumps).alias("jumps"))
         out = at if out is None else out.unionByName(at)
     return out
+
+
+@query(
+    "fit_timing",
+    """SELECT m.model, m.config_id, true AS timed, CAST(n.n AS BIGINT) AS n FROM (VALUES ('ridge', 0), ('ridge', 1), ('elastic_net', 0)) m(model, config_id), (SELECT count(*) AS n FROM orders) n""",
+)
+def fit_timing(spark, folder):
+    """Every fit of a search has its seconds, in the trials and in the table of the store that a broken search would go on from."""
+    frame = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    store = evaluate.TrialStore(spark, shared_path(spark, "trials"))
+    for name, grid in {"ridge": [{"alpha": 1.0}, {"alpha": 10.0}], "elastic_net": [{"alpha": 0.5}]}.items():
+        evaluate.grid_search(evaluate.FITS[name], frame, frame, "o_totalprice", ["o_custkey"], [], "regression", grid, store=store, name=("orders", name, 0))
+    timed = (F.col("seconds") > 0) & ~F.col("failed")
+    return store.trials().select("model", "config_id", timed.alias("timed"), F.lit(frame.count()).alias("n"))
+
+
+def _seed_share(seed: int) -> str:
+    return f"CAST(CAST('0x' || substr(md5(concat_ws('_', '{seed}', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 < 0.3"
+
+
+SEEDS = [11 + 10 * i for i in range(10)]
+
+
+@query(
+    "retry_next_seed",
+    f"WITH {CLASSES}, t AS ("
+    + " UNION ALL ".join(f"SELECT {s} AS seed, count(*) AS n, avg(label) - (SELECT avg(label) FROM c) AS more FROM c WHERE {_seed_share(s)}" for s in SEEDS)
+    + ") SELECT seed, n, round(more, 6) AS more FROM t WHERE more > 0 ORDER BY seed LIMIT 1",
+)
+def retry_next_seed(spark, folder):
+    """A draw that is refused (too few positive rows) is drawn again with the next seed, ten further, until one is accepted."""
+    from ..functions.scalars import hash_uniform
+
+    frame = classes(spark, folder).select(*KEY, "label")
+    share = frame.agg(F.avg("label")).first()[0]
+
+    def draw(seed: int):
+        found = frame.where(hash_uniform(seed, *[F.col(k) for k in KEY]) < 0.3).agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("share")).first()
+        if found["share"] <= share:
+            raise ValueError(f"seed {seed}: {found['share']} positive rows")
+        return found["n"], found["share"] - share
+
+    (n, more), seed = evaluate.retry_next_seed(draw, SEEDS[0], 10, len(SEEDS))
+    return spark.createDataFrame([(seed, n, round(more, 6))], "seed int, n long, more double")
