@@ -667,3 +667,33 @@ def retry_next_seed(spark, folder):
 
     (n, more), seed = evaluate.retry_next_seed(draw, SEEDS[0], 10, len(SEEDS))
     return spark.createDataFrame([(seed, n, round(more, 6))], "seed int, n long, more double")
+
+
+BAGS = 3
+
+
+def _bag_sql(bag: int) -> str:
+    """Poisson(1) weight of a row in a bag: how many steps of the distribution its hash has passed."""
+    from ..functions.scalars import poisson_cdf
+
+    u = f"CAST(CAST('0x' || substr(md5(concat_ws('_', '0', '{bag}', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0"
+    weight = " + ".join(f"CAST(u >= {edge!r} AS INTEGER)" for edge in poisson_cdf(1.0))
+    return (
+        f"SELECT {bag} AS bag, CAST(sum(w) AS BIGINT) AS n, (sum(w * x * y) - sum(w * x) * sum(w * y) / sum(w)) / (sum(w * x * x) - sum(w * x) * sum(w * x) / sum(w)) AS slope, "
+        f"sum(w * y) / sum(w) AS my, sum(w * x) / sum(w) AS mx FROM (SELECT x, y, {weight} AS w FROM (SELECT l_quantity AS x, l_extendedprice AS y, {u} AS u FROM lineitem))"
+    )
+
+
+@query(
+    "bagged_slopes",
+    f"WITH b AS ({' UNION ALL '.join(_bag_sql(k) for k in range(BAGS))}) SELECT bag, round(slope, 4) AS slope, round(my - slope * mx, 2) AS intercept, n FROM b",
+)
+def bagged_slopes(spark, folder):
+    """Least squares in every Poisson bag of a target with noise: the weighted slope, so that the weights of the bags matter."""
+    from ..operators.split import bag_weights
+
+    frame = items(spark, folder)
+    model = bagging.fit_bagged_ridge(frame, TARGET, ["l_quantity"], bags=BAGS, key=KEY, alpha=0.0)
+    sizes = bag_weights(frame, KEY, BAGS).agg(*[F.sum(f"bag_{k}").cast("long") for k in range(BAGS)]).first()
+    rows = [(k, round(float(m.beta[1]), 4), round(m.intercept, 2), sizes[k]) for k, m in enumerate(model.members)]
+    return spark.createDataFrame(rows, "bag int, slope double, intercept double, n long")
