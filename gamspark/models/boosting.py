@@ -197,7 +197,7 @@ def _boost_stage(df, target, design, key, task, base, base_columns, outer, inner
     else:
         for names_b, val_b in zip(train, val):
             f, best, best_loss, path = np.zeros(design.size), np.zeros(design.size), np.inf, []
-            for _ in range(passes):
+            for at_pass in range(passes + 1):  # the last one only judges the correction before
 
                 def offset(batch, f=f):
                     score = design.score(batch, f)
@@ -212,6 +212,8 @@ def _boost_stage(df, target, design, key, task, base, base_columns, outer, inner
                     best, best_loss = f, loss
                 else:
                     break
+                if at_pass == passes:
+                    break
                 bags = [stats[i] for i in range(len(names_b))]
                 f = f + cyclic_boost(design, bags, held, rate, rounds, leaves, patience)[0]
             fits.append(best)

@@ -288,6 +288,12 @@ def test_tree_limits_are_explicit(df):
             trees.fit_tree(df, "y", ["a"], **bad)
 
 
+def test_last_correction_of_classes_counts(df):
+    fit = lambda passes: boosting.fit_binned_boosting(df, "label", ["a", "b"], [], "classification", key=["id"], max_bins=8, rounds=30, passes=passes)
+    one = fit(1)
+    assert len(one.info["paths"][0]) == 2 and one.info["paths"][0][1] < one.info["paths"][0][0] and np.any(one.beta[1:] != 0)
+
+
 def test_interaction_searches(df):
     rows = df.withColumn("c", F.rand(1)).withColumn("xor", (F.col("a") * F.col("b") > 0).cast("double"))
     cuts = {n: (-0.5, 0.0, 0.5) for n in ("a", "b", "c")}
