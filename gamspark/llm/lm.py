@@ -42,7 +42,8 @@ BLOCKS_PER_TASK = 8
 SLICE_CELLS = 1 << 16
 RUN_TOKENS = 1 << 17
 TURN_TOKENS = 64
-TRAIN_RATE, DOCUMENT_RATE = 0.5, 0.5
+DOCUMENT_RATE = 0.5
+LEARN_PASSES = 2
 BLOCK_SCHEMA = "block long, n_docs int, doc_ids binary, no_id binary, held binary, sizes binary, lengths binary, tokens binary, words binary, counts binary"
 
 
@@ -172,25 +173,42 @@ def _add_cells(rows: pa.Table) -> pa.Table:
     return pa.table({"tab": rows.column("tab").slice(0, 1), "at": rows.column("at").slice(0, 1), "cells": pa.array([_pack(total)], pa.binary())})
 
 
-def _learn_weights(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    code, tables = model.value
+def _weight_sums(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    code, tables, weights, offsets = model.value
     predictors = M.Predictors.build(tables, leave_out=True)
-    weights = np.tile(M.START_WEIGHTS, (M.GATES, 1))
-    size = 0
+    sums = np.zeros(M.N_SUMS)
     for batch in batches:
         for row in one_by_one(batch):
             a = _arrays(row)
             symbol_of = code.symbols(a["words"])
             for docs, at in _runs(a, np.flatnonzero(a["held"] == 0)):
                 e = _run_events(code, a, symbol_of, docs, at)
-                _, weights = M.mix(*predictors.inputs(e), e, len(docs), weights, TRAIN_RATE, shared=True)
-                size += len(e.bit)
-    if size:
-        yield pa.RecordBatch.from_pydict({"size": pa.array([size], pa.int64()), "weights": pa.array([(weights * size).ravel()], pa.list_(pa.float64()))})
+                sums += M.weight_sums(*predictors.inputs(e), e, weights, offsets)
+    yield pa.RecordBatch.from_pydict({"sums": pa.array([sums], pa.list_(pa.float64()))})
+
+
+def learn_weights(blocks: DataFrame, code: M.Code, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the gates and offsets of the final stage: LEARN_PASSES Newton steps, each from sums over all training documents.
+    A gate whose cost a step has raised goes back to its weights before."""
+    weights, offsets = np.tile(M.START_WEIGHTS, (M.GATES, 1)), np.zeros((M.GATES, M.BUCKETS))
+    before, before_cost = weights, np.full(M.GATES, np.inf)
+    for _ in range(LEARN_PASSES):
+        shared = blocks.sparkSession.sparkContext.broadcast((code, tables, weights, offsets))
+        sums = blocks.mapInArrow(lambda b, shared=shared: _weight_sums(b, shared), "sums array<double>")
+        rows = sums.select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("sum")).orderBy("pos").collect()  # N_SUMS rows
+        shared.destroy()
+        if not rows:
+            break
+        cost, after, moved = M.newton_step(np.array([r["sum"] for r in rows]), weights, offsets)
+        worse = cost > before_cost
+        after[worse] = before[worse]
+        before, before_cost = weights, np.minimum(cost, before_cost)
+        weights, offsets = after, moved
+    return weights, offsets
 
 
 def _score(batches: Iterator[pa.RecordBatch], model, n: int, v: int, rest_n: int, rest_v: int, ranges: int) -> Iterator[pa.RecordBatch]:
-    code, tables, weights = model.value
+    code, tables, weights, offsets = model.value
     predictors = M.Predictors.build(tables, leave_out=False)
     for batch in batches:
         for row in one_by_one(batch):
@@ -209,7 +227,7 @@ def _score(batches: Iterator[pa.RecordBatch], model, n: int, v: int, rest_n: int
             score = np.bincount(doc_of, weights=leaf_of[a["tokens"]], minlength=n_docs)
             for docs, at in _runs(a, np.arange(n_docs)):
                 e = _run_events(code, a, symbol_of, docs, at)
-                cost, _ = M.mix(*predictors.inputs(e), e, len(docs), weights, DOCUMENT_RATE, shared=False)
+                cost = M.mix(*predictors.inputs(e), e, len(docs), weights, offsets, DOCUMENT_RATE)
                 score[docs] += np.bincount(e.doc, weights=cost, minlength=len(docs))
             yield pa.RecordBatch.from_pydict(
                 {
@@ -250,11 +268,8 @@ def lm_scores(docs: DataFrame, coded: int = CODED) -> DataFrame:
     for r in merged.toLocalIterator():  # of fixed size
         tables[r["tab"]][r["at"] : r["at"] + SLICE_CELLS] = _unpack(r["cells"])
     tables = [t.astype(np.min_scalar_type(int(t.max()))) for t in tables]
-    shared = spark.sparkContext.broadcast((code, tables))
-    learned = blocks.mapInArrow(lambda b: _learn_weights(b, shared), "size long, weights array<double>")
-    learned = learned.select("size", F.posexplode("weights")).groupBy("pos").agg(F.sum("col").alias("w"), F.sum("size").alias("size")).orderBy("pos").collect()
-    weights = np.array([r["w"] / r["size"] for r in learned]).reshape(M.GATES, M.INPUTS) if learned else np.tile(M.START_WEIGHTS, (M.GATES, 1))
-    model = spark.sparkContext.broadcast((code, tables, weights))
+    weights, offsets = learn_weights(blocks, code, tables)
+    model = spark.sparkContext.broadcast((code, tables, weights, offsets))
     answers = totals.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("range", "totals")).alias("totals"))
     joined = blocks.drop("counts").join(answers.hint("merge"), "block")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"

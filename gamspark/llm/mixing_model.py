@@ -17,6 +17,11 @@ BIAS = 0.3
 GATES = 16
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 START_WEIGHTS = np.array([0.2, 0.4, 0.3, 0.3, 0.0])
+#: Mixed log odds stay within LIMIT; the final stage has so many buckets of them for each gate.
+LIMIT = 12.0
+BUCKETS = 24
+PRIOR = 50.0
+REFINE_RATE = 0.02
 
 
 @dataclass
@@ -166,15 +171,64 @@ class Predictors:
         return columns, gate
 
 
-def mix(columns: list[np.ndarray], gate: np.ndarray, e: Events, n_docs: int, weights: np.ndarray, rate: float, shared: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Log10 probability of each decision, and the weights after them (gates by inputs, for each document if not ``shared``).
+def weight_sums(columns: list[np.ndarray], gate: np.ndarray, e: Events, weights: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums over decisions for one Newton step: of each gate the cost in nats, gradient and curvature of the weights, then of each
+    cell of the final stage the ones less the probability and the curvature. They add up in any order of documents."""
+    order = np.argsort(gate.astype(np.uint8), kind="stable")
+    bounds = np.searchsorted(gate[order], np.arange(GATES + 1))
+    x = np.empty((len(gate), INPUTS))
+    for k, column in enumerate(columns):
+        x[:, k] = column[order]
+    x[:, -1] = BIAS
+    y = e.bit[order].astype(np.float64)
+    out = np.zeros((GATES, 1 + INPUTS + INPUTS * INPUTS))
+    cells = np.zeros((GATES, 2, BUCKETS))
+    for g in np.flatnonzero(np.diff(bounds)):
+        at = slice(bounds[g], bounds[g + 1])
+        z = np.clip(x[at] @ weights[g], -LIMIT, LIMIT)
+        p = 1 / (1 + np.exp(-z))
+        slope = p * (1 - p)
+        out[g, 0] = -np.log(1 - np.abs(y[at] - p)).sum()
+        out[g, 1 : 1 + INPUTS] = (y[at] - p) @ x[at]
+        out[g, 1 + INPUTS :] = ((x[at] * slope[:, None]).T @ x[at]).ravel()
+        bucket = bucket_of(z)
+        p = 1 / (1 + np.exp(-z - offsets[g][bucket]))
+        cells[g, 0] = np.bincount(bucket, weights=y[at] - p, minlength=BUCKETS)
+        cells[g, 1] = np.bincount(bucket, weights=p * (1 - p), minlength=BUCKETS)
+    return np.concatenate([out.ravel(), cells.ravel()])
+
+
+N_SUMS = GATES * (1 + INPUTS + INPUTS * INPUTS + 2 * BUCKETS)
+
+
+def newton_step(sums: np.ndarray, weights: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Costs of the gates at these weights, the next weights and the next offsets of the final stage. START_WEIGHTS and offsets of 0
+    count as PRIOR decisions, so that gates and cells without decisions stay there."""
+    own = sums[: GATES * (1 + INPUTS + INPUTS * INPUTS)].reshape(GATES, -1)
+    cells = sums[own.size :].reshape(GATES, 2, BUCKETS)
+    after = np.empty_like(weights)
+    for g in range(GATES):
+        pull = PRIOR * (START_WEIGHTS - weights[g])
+        curve = own[g, 1 + INPUTS :].reshape(INPUTS, INPUTS) + PRIOR * np.eye(INPUTS)
+        after[g] = weights[g] + np.linalg.solve(curve, own[g, 1 : 1 + INPUTS] + pull)
+    moved = offsets + np.clip((cells[:, 0] - PRIOR * offsets) / (cells[:, 1] + PRIOR), -1, 1)
+    return own[:, 0], after, moved
 
-    After each turn the weights of the gates used follow the gradient of the coding cost: of each document for itself, or
-    (``shared``) of all together.
+
+def bucket_of(z: np.ndarray) -> np.ndarray:
+    """The final stage's cell of a mixed log odds between -LIMIT and LIMIT."""
+    return ((z + LIMIT) * (BUCKETS / (2 * LIMIT) * (1 - 1e-6))).astype(np.int64)
+
+
+def mix(columns: list[np.ndarray], gate: np.ndarray, e: Events, n_docs: int, weights: np.ndarray, offsets: np.ndarray, rate: float) -> np.ndarray:
+    """Log10 probability of each decision.
+
+    The gate's weights mix the inputs to log odds; the final stage adds the offset of their cell (gate and bucket). Each document
+    begins with a copy of the weights and offsets, and after each turn both follow the gradient of the coding cost.
     """
-    rows = GATES if shared else n_docs * GATES
-    state = np.tile(weights.T.astype(np.float32), (1, 1 if shared else n_docs))
-    row = gate if shared else e.doc * GATES + gate
+    state = np.tile(weights.T.astype(np.float32), (1, n_docs))
+    refine = np.tile(offsets.astype(np.float32).ravel(), n_docs)
+    row = e.doc * GATES + gate
     cost = np.empty(len(e.bit), dtype=np.float32)
     for a, b in zip(e.turns[:-1].tolist(), e.turns[1:].tolist()):
         if a == b:
@@ -183,10 +237,12 @@ def mix(columns: list[np.ndarray], gate: np.ndarray, e: Events, n_docs: int, wei
         z = state[-1][at] * np.float32(BIAS)
         for k, column in enumerate(columns):
             z += state[k][at] * column[a:b]
-        np.clip(z, -12, 12, out=z)
-        p = 1 / (1 + np.exp(-z))
-        cost[a:b] = np.log10(1 - np.abs(y - p))
-        error = y - p
+        np.clip(z, -LIMIT, LIMIT, out=z)
+        error = y - 1 / (1 + np.exp(-z))
+        cell = at * BUCKETS + bucket_of(z)
+        off = y - 1 / (1 + np.exp(-z - refine[cell]))
+        cost[a:b] = np.log10(1 - np.minimum(np.abs(off), np.float32(1 - 1e-6)))
+        np.add.at(refine, cell, off * np.float32(REFINE_RATE))
         low = int(at.min())
         at = at - low
         n = rate / (np.bincount(at) + 50)
@@ -194,4 +250,4 @@ def mix(columns: list[np.ndarray], gate: np.ndarray, e: Events, n_docs: int, wei
         for k, column in enumerate(columns):
             state[k, span] += np.bincount(at, weights=error * column[a:b]) * n
         state[-1, span] += np.bincount(at, weights=error) * n * BIAS
-    return cost, state.T.reshape(-1, INPUTS)[:rows]
+    return cost

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import odd_documents, words
+from pyspark.sql import functions as F
 
 from gamspark.llm import decontaminate, fingerprints, groups, licences, lm, mixing, neardup, pages, repeats, tokens, toxicity
 from gamspark.llm.common import as_texts, gram_hashes, hash_ranges, sliding_min
@@ -374,16 +375,115 @@ def test_lm_probabilities_add_up_to_one():
     code = M.Code.build(hashes, rng.integers(1, 50, 12), 7.0)
     tables = [rng.integers(0, 9, len(t)) for t in M.new_tables()]
     predictors = M.Predictors.build(tables, leave_out=False)
-    weights = rng.normal(0.3, 0.2, (M.GATES, M.INPUTS))
+    weights, offsets = rng.normal(0.3, 0.2, (M.GATES, M.INPUTS)), rng.normal(0, 0.5, (M.GATES, M.BUCKETS))
     total = 0.0
     for symbol in range(13):
         own = np.array([code.hashes[symbol] if symbol < 12 else 5], dtype=np.uint64)
         e = M.events(code, np.array([symbol]), own, np.array([1]), 64)
-        cost, _ = M.mix(*predictors.inputs(e), e, 1, weights, 0.5, shared=False)
+        cost = M.mix(*predictors.inputs(e), e, 1, weights, offsets, 0.5)
         total += 10 ** float(cost.sum())
     assert total == pytest.approx(1.0, abs=1e-4)
 
 
+def lm_documents():
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(60)]
+    return [(i, " ".join(rng.choices(vocabulary, weights=range(60, 0, -1), k=rng.choice((0, 3, 40, 150))))) for i in range(60)]
+
+
+def test_lm_scores_do_not_depend_on_the_split(spark):
+    df = spark.createDataFrame(lm_documents(), "doc_id long, text string")
+    got = [{r["doc_id"]: r["score"] for r in lm.lm_scores(df.repartition(n)).collect()} for n in (1, 8, 64)]
+    got.append({r["doc_id"]: r["score"] for r in lm.lm_scores(df.orderBy(F.desc("doc_id")).coalesce(2)).collect()})
+    for other in got[1:]:
+        assert other == pytest.approx(got[0], rel=1e-6)
+
+
+def test_lm_scores_against_a_plain_version(spark):
+    """Counts in dictionaries, Newton sums and online mixing one decision after the other."""
+    import zlib
+
+    from gamspark.llm import mixing_model as M
+
+    documents, coded = lm_documents(), 20
+    tokens = {i: [int(h) for h in as_texts(pa.array([t])).words().hashes()] + [lm.END] for i, t in documents}
+    train = [i for i, _ in documents if zlib.crc32(str(i).encode()) % 10]
+    counts = collections.Counter(w for i in train for w in tokens[i])
+    top = sorted(counts, key=lambda w: (-counts[w], w - 2**64 * (w >= 2**63)))[:coded]
+    rest_n, rest_v = sum(counts.values()) - sum(counts[w] for w in top), len(counts) - len(top)
+    code = M.Code.build(np.array(top, np.uint64), np.array([counts[w] for w in top]), rest_n)
+
+    def decisions(i):
+        own = np.array(tokens[i], np.uint64)
+        e = M.events(code, code.symbols(own), own, np.array([len(own)]), lm.TURN_TOKENS)
+        return [(int(e.bit[j]), float(e.prior[j]), [int(x[j]) for x in e.index]) for j in range(len(e.bit))], e.turns.tolist()
+
+    seen = [collections.Counter() for _ in M.TABLE_BITS]
+    for i in train:
+        for bit, _, cells in decisions(i)[0]:
+            for k, cell in enumerate(cells):
+                seen[k][cell, bit] += 1
+
+    def inputs(bit, prior, cells, without):
+        x, sure = [prior], []
+        for k, cell in enumerate(cells):
+            zeros, ones = (seen[k][cell, b] - (without and b == bit) for b in (0, 1))
+            x.append(math.log((ones + 0.4) / (zeros + 0.4)))
+            sure.append((zeros + ones > 0) + (zeros + ones > 3) + (zeros + ones > 30))
+        return np.array([*x, M.BIAS]), 4 * sure[0] + sure[1]
+
+    def sigmoid(z):
+        return 1 / (1 + math.exp(-z))
+
+    def bucket(z):
+        return min(int((z + M.LIMIT) * M.BUCKETS / (2 * M.LIMIT) * (1 - 1e-6)), M.BUCKETS - 1)
+
+    weights, offsets = np.tile(M.START_WEIGHTS, (M.GATES, 1)), np.zeros((M.GATES, M.BUCKETS))
+    costs, former = [], []
+    for _ in range(lm.LEARN_PASSES):
+        slope, curve, cost = np.zeros((M.GATES, M.INPUTS)), np.zeros((M.GATES, M.INPUTS, M.INPUTS)), np.zeros(M.GATES)
+        off, bend = np.zeros_like(offsets), np.zeros_like(offsets)
+        for i in train:
+            for bit, prior, cells in decisions(i)[0]:
+                x, g = inputs(bit, prior, cells, True)
+                z = float(np.clip(weights[g] @ x, -M.LIMIT, M.LIMIT))
+                p = sigmoid(z)
+                cost[g] -= math.log(p if bit else 1 - p)
+                slope[g] += (bit - p) * x
+                curve[g] += p * (1 - p) * np.outer(x, x)
+                b = bucket(z)
+                p = sigmoid(z + offsets[g, b])
+                off[g, b] += bit - p
+                bend[g, b] += p * (1 - p)
+        step = np.array([np.linalg.solve(curve[g] + M.PRIOR * np.eye(M.INPUTS), slope[g] + M.PRIOR * (M.START_WEIGHTS - weights[g])) for g in range(M.GATES)])
+        after = weights + step
+        if costs:
+            after[cost > costs[-1]] = former[-1][cost > costs[-1]]
+        costs.append(cost)
+        former.append(weights)
+        weights, offsets = after, offsets + np.clip((off - M.PRIOR * offsets) / (bend + M.PRIOR), -1, 1)
+
+    got = {r["doc_id"]: r["score"] for r in lm.lm_scores(spark.createDataFrame(documents, "doc_id long, text string"), coded=coded).collect()}
+    for i, _ in documents:
+        w, d = weights.copy(), offsets.copy()
+        score = sum(math.log10((counts[t] + 0.1) / (rest_n + 0.1 * (rest_v + 1))) for t in tokens[i] if t not in top)
+        found, turns = decisions(i)
+        for a, b in zip(turns[:-1], turns[1:]):
+            uses, moves, lifts = collections.Counter(), np.zeros_like(w), np.zeros_like(d)
+            for bit, prior, cells in found[a:b]:
+                x, g = inputs(bit, prior, cells, False)
+                z = float(np.clip(w[g] @ x, -M.LIMIT, M.LIMIT))
+                p = sigmoid(z + d[g, bucket(z)])
+                score += math.log10(p if bit else 1 - p)
+                lifts[g, bucket(z)] += M.REFINE_RATE * (bit - p)
+                moves[g] += (bit - sigmoid(z)) * x
+                uses[g] += 1
+            for g, n in uses.items():
+                w[g] += lm.DOCUMENT_RATE / (n + 50) * moves[g]
+            d += lifts
+        assert got[i] == pytest.approx(score, rel=1e-3), i
+
+
 def test_lm_odds_of_often_seen_cells():
     from gamspark.llm import mixing_model as M
 
