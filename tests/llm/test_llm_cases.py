@@ -513,6 +513,32 @@ def test_pages_with_other_layouts():
     assert [pages.main_text(x) for x in (None, "", "<p>", "<a b='", "plain text", "<!-- x")] == ["", "", "", "", "plain text", ""]
 
 
+LONG_PARAGRAPHS = [f"Paragraph {i} of the story tells, at some length, what happened on that day; it has marks, clauses and an end." for i in range(6)]
+
+
+@pytest.mark.parametrize("wrapper", ["wrap has-sidebar", "comment-free social-science", "story ad-free", "content-with-nav", "widget", "js-widget site-banner"])
+@pytest.mark.parametrize("element", ["div", "form", "section"])
+def test_pages_names_that_do_not_decide(wrapper, element):
+    body = "".join(f"<p>{x}</p>" for x in LONG_PARAGRAPHS)
+    page = f"<body><nav><a href=x>Home</a></nav><{element} class='{wrapper}'><h1>Head</h1>{body}<div class='ad'>Buy this, now.</div></{element}><footer>Foot.</footer></body>"
+    assert pages.main_text(page) == " ".join(["Head", *LONG_PARAGRAPHS])
+
+
+@pytest.mark.parametrize("open_, close", [("<article>", "</article>"), ("<div id=story>", "</div>"), ("<main><div>", "</div></main>"), ("", "")])
+def test_pages_scores_decide_inside_the_article(open_, close):
+    body = "".join(f"<p id=p{i}>{x}</p>" for i, x in enumerate(LONG_PARAGRAPHS[:3])) + "<h2>Part</h2><p>Short.</p><ul><li>An item</ul>"
+    body += "".join(f"<p>{x}</p>" for x in LONG_PARAGRAPHS[3:])
+    noise = "<div>Buy our stuff now</div><ul class=tags><li><a href=a>Teaser one</a><li><a href=b>Teaser two</a></ul><div><div><span>Nice post</span></div><div>I agree</div><div>So do I</div></div>"
+    page = f"<body><ul><li><a href=x>Home</a></ul>{open_}<h1>Head</h1>{body}{noise}{close}<footer>Foot.</footer></body>"
+    assert pages.main_text(page) == " ".join(["Head", *LONG_PARAGRAPHS[:3], "Part", "Short.", "An item", *LONG_PARAGRAPHS[3:]])
+
+
+def test_pages_longer_comments_than_article():
+    comments = "".join(f"<div class='comment'><p>{x}</p></div>" for x in LONG_PARAGRAPHS)
+    page = f"<body><div class=post><h1>Head</h1><p>{LONG_PARAGRAPHS[0]}</p></div><div id='comments'>{comments}</div></body>"
+    assert pages.main_text(page) == "Head " + LONG_PARAGRAPHS[0]
+
+
 def test_pages_bear_odd_rows(spark):
     rows = [(1, "u", None), (None, None, "<p>A text, here.</p>"), (2, "u", ""), (2, "u", "<p>" + "long text. " * 50_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")

@@ -174,6 +174,14 @@ def test_main_text_of_the_articles(spark, sf):
         assert r["n_chars"] == len(r["text"])
 
 
+@pytest.mark.parametrize("begin, end", [("<div>", "</div>"), ("<div class='x has-sidebar'><div>", "</div></div>"), ("", "")])
+def test_main_text_without_an_article_element(sf, begin, end):
+    from gamspark.llm.pages import main_text
+
+    for (page,) in connect(sf).execute("select html from pages").fetchall():
+        assert main_text(page.replace("<article>", begin).replace("</article>", end)) == main_text(page)
+
+
 def test_pipeline_against_its_parts(spark, sf, documents):
     """The written documents are those that a plain version of the stages keeps; the token files hold their ids."""
     import corpus_pipeline as P
