@@ -2,7 +2,8 @@
 
 * ``exact_rank`` ranks rows by a hash key: the leading hex digits of the key are balanced buckets.
 * ``value_prefix`` sums measures over all smaller values: values are aggregated first (a hot value
-  becomes one row) and then cut into balanced buckets by a quantile sketch.
+  becomes one row) and then partitioned by range; the partition is the bucket.
+* ``hash_thresholds`` finds the k-th smallest hash of each of several seeds by counting leading digits.
 * ``exact_quantiles`` selects order statistics by narrowing a bracket: each pass is one aggregate
   over bounded sketches, without any shuffle of rows.
 """
@@ -12,10 +13,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .scalars import c
 from .small import reused
 
@@ -55,28 +56,78 @@ def exact_rank(
     return joined.drop("__b", "__ob", "__rn", "__off", "__total", *[f"__w{i}" for i in range(len(within))])
 
 
-def _cut_points(values) -> list[float]:
-    return sorted({float(v) for v in values if v is not None and math.isfinite(v)})
+RANGE_ROWS = 1 << 20
+SMALL_RANGE_ROWS = 1 << 15
 
 
-RANGE_ROWS = 1 << 20
+THRESHOLD_DIGITS = 2
+THRESHOLD_ROWS = 4096
+
+
+def hash_thresholds(df: DataFrame, group: str, order_col: str, frac: float) -> dict:
+    """group -> the ceil(frac * n)-th smallest hex hash of its n rows (None where that is 0). ``group`` has few values.
+
+    A pass counts rows by the next THRESHOLD_DIGITS digits below each group's bracket, a common beginning of hashes; the digits that
+    hold the wanted rank are appended. A bracket of THRESHOLD_ROWS rows or fewer, or of one repeated hash, is finished from its sorted
+    hashes. Rows are only scanned: what is shuffled is 16**THRESHOLD_DIGITS counts a group and the last bracket.
+    """
+    found, prefix, rank, digits = {}, None, {}, 0
+    while prefix is None or prefix:
+        rows = df if prefix is None else df.where(F.substring(c(order_col), 1, digits) == by_group(group, prefix))
+        step = F.substring(c(order_col), digits + 1, THRESHOLD_DIGITS).alias("d")
+        counts: dict = {}
+        for r in rows.groupBy(c(group).alias("g"), step).agg(F.count(F.lit(1)).alias("n")).collect():
+            counts.setdefault(r["g"], []).append((r["d"], r["n"]))
+        if prefix is None:
+            prefix = dict.fromkeys(counts, "")
+            rows_of = {g: sum(n for _, n in some) for g, some in counts.items()}
+            rank = {g: min(n, math.ceil(frac * n)) for g, n in rows_of.items()}
+            found = {g: None for g in counts if rank[g] < 1}
+            prefix = {g: "" for g in counts if g not in found}
+        last = {}
+        for g in list(prefix):
+            for digit, n in sorted(counts[g]):
+                if rank[g] <= n:
+                    break
+                rank[g] -= n
+            prefix[g] += digit
+            if n <= THRESHOLD_ROWS or len(digit) < THRESHOLD_DIGITS:
+                last[g] = prefix.pop(g)
+        digits += THRESHOLD_DIGITS
+        if last:
+            few = df.where(c(order_col).startswith(by_group(group, last))).groupBy(c(group).alias("g"), c(order_col).alias("h"))
+            hashes: dict = {}
+            for r in few.agg(F.count(F.lit(1)).alias("n")).collect():
+                hashes.setdefault(r["g"], []).append((r["h"], r["n"]))
+            for g, some in hashes.items():
+                for h, n in sorted(some):
+                    if rank[g] <= n:
+                        found[g] = h
+                        break
+                    rank[g] -= n
+    return found
+
+
+def by_group(group: str, values: dict) -> Column:
+    """The value of the row's group, NULL for groups without one."""
+    pairs = [F.lit(x) for g, v in values.items() if v is not None for x in (str(g), v)]
+    return F.create_map(*pairs)[c(group).cast("string")] if pairs else F.lit(None).cast("string")
 
 
-def value_buckets(df: DataFrame, key: str, source: DataFrame, buckets: int | None = None, name: str = "__vb") -> DataFrame:
-    """Adds a bucket number that grows with ``key``; cut points are sketched quantiles of ``source``.
+def value_ranges(df: DataFrame, key: str, ranges: int | None = None, name: str = "__vb") -> tuple[DataFrame, int]:
+    """``df`` written to the shared folder with the number of its value range, which grows with ``key``; and how many ranges there are.
 
-    Without ``buckets`` there are as many as hold about RANGE_ROWS rows of ``source`` each, 64 at least.
+    Spark's range partitioning cuts the values, and the partition is the range: no cut list is kept, equal values share a range.
+    ``df`` should hold each value a bounded number of times (aggregate first). Without ``ranges`` a range has about RANGE_ROWS rows,
+    on small inputs fewer, so that all cores have one; an input of SMALL_RANGE_ROWS rows is one range and is not shuffled here.
     """
-    if buckets is None:
-        buckets = max(64, math.ceil(source.count() / RANGE_ROWS))
-    probs = [i / buckets for i in range(1, buckets)]
-    sketch = source.agg(F.percentile_approx(c(key).cast("double"), probs, max(10000, 20 * buckets))).first()[0]
-    cuts = _cut_points(sketch or [])
-    if not cuts:
-        return df.withColumn(name, F.lit(0.0))
-    splits = [-math.inf, *cuts, math.inf]
-    tmp = df.withColumn("__bucket_key", c(key).cast("double"))
-    return Bucketizer(splits=splits, inputCol="__bucket_key", outputCol=name).transform(tmp).drop("__bucket_key")
+    rows = materialise(df)
+    if ranges is None:
+        n = rows.count()
+        ranges = max(math.ceil(n / RANGE_ROWS), min(df.sparkSession.sparkContext.defaultParallelism, math.ceil(n / SMALL_RANGE_ROWS)))
+    if ranges <= 1:
+        return rows.withColumn(name, F.lit(0)), 1
+    return materialise(rows.repartitionByRange(ranges, c(key)).withColumn(name, F.spark_partition_id())), ranges
 
 
 def value_prefix(
@@ -88,25 +139,31 @@ def value_prefix(
 ) -> DataFrame:
     """Per (group, value): the measures and ``<measure>_below``, their sum over smaller values.
 
-    Measures must be sums or counts. NULL and NaN keys are left out. The cut points are quantiles over all
-    rows, so that a value range holds about RANGE_ROWS of them whatever group they belong to: one hot
-    group is spread over all ranges, and a group on another scale still has bounded ranges.
+    Measures must be sums or counts. NULL and NaN keys are left out. Ranges hold about RANGE_ROWS pairs of group and value,
+    whatever group they belong to: one hot group is spread over all ranges, and a hot value is one row. Sums inside a range and
+    sums of whole ranges add up to the result.
     """
     by = list(by)
     source = df.where(c(key).isNotNull() & ~F.isnan(c(key).cast("double")))
     totals = source.groupBy(*[c(b) for b in by], c(key)).agg(*[m.alias(n) for n, m in measures.items()])
-    totals = value_buckets(totals, key, source, buckets)
+    totals, ranges = value_ranges(totals, key, buckets)
     group = [c(b) for b in by] or [F.lit(0)]
+    inside = Window.partitionBy(*group, "__vb").orderBy(c(key)).rowsBetween(Window.unboundedPreceding, -1)
+    below = {n: F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in measures}
+    if ranges == 1:
+        return totals.withColumns({f"{n}_below": b for n, b in below.items()}).drop("__vb")
     earlier = Window.partitionBy(*group).orderBy("__vb").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.groupBy(*[c(b) for b in by], "__vb").agg(*[F.sum(n).alias(f"__s_{n}") for n in measures])
     base = base.select(
-        *by, "__vb", *[F.coalesce(F.sum(f"__s_{n}").over(earlier), F.lit(0)).alias(f"__o_{n}") for n in measures]
+        *[c(b).alias(f"__g{i}") for i, b in enumerate(by)], F.col("__vb").alias("__ob"),
+        *[F.coalesce(F.sum(f"__s_{n}").over(earlier), F.lit(0)).alias(f"__o_{n}") for n in measures],
     )
-    inside = Window.partitionBy(*group, "__vb").orderBy(c(key)).rowsBetween(Window.unboundedPreceding, -1)
-    out = totals.join(base, [*by, "__vb"])
-    for n in measures:
-        out = out.withColumn(f"{n}_below", F.coalesce(F.sum(n).over(inside), F.lit(0)) + F.col(f"__o_{n}"))
-    return out.drop("__vb", *[f"__o_{n}" for n in measures])
+    on = F.col("__vb") == F.col("__ob")
+    for i, b in enumerate(by):
+        on = on & c(b).eqNullSafe(F.col(f"__g{i}"))
+    out = totals.withColumns({f"{n}_below": b for n, b in below.items()}).join(base, on)
+    out = out.withColumns({f"{n}_below": F.col(f"{n}_below") + F.col(f"__o_{n}") for n in measures})
+    return out.drop("__vb", "__ob", *[f"__g{i}" for i in range(len(by))], *[f"__o_{n}" for n in measures])
 
 
 def exact_quantiles(

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.joins import lookup_join
-from ..functions.order import value_buckets, value_prefix
+from ..functions.order import value_prefix, value_ranges
 from ..functions.scalars import c, clean_double, logit
 from ..session import materialise
 
@@ -200,26 +200,27 @@ def nearest_effect(df: DataFrame, col: str, effects: DataFrame, out: str = "y")
 def nearest_knots(values: DataFrame, table: DataFrame, buckets: int | None = None) -> DataFrame:
     """(x, knot): nearest ``x_num`` of ``table`` for every distinct ``x``, without a global sort.
 
-    Values and knots are cut into balanced value ranges; inside a range the neighbours are window
-    functions, and a table with one row per range carries the nearest knot of the other ranges.
+    Values and knots are partitioned by range; inside a range the neighbours are window functions, and a table with one row per
+    range carries the nearest knot of the other ranges.
     """
     both = values.where(F.col("x").isNotNull()).select("x", F.lit(None).cast("double").alias("knot")).unionByName(
         table.select(F.col("x_num").alias("x"), F.col("x_num").alias("knot"))
     )
-    both = value_buckets(both, "x", both, buckets, "__vb")
-    ends = both.groupBy("__vb").agg(F.max("knot").alias("__hi"), F.min("knot").alias("__lo"))
-    order = Window.partitionBy(F.lit(0)).orderBy("__vb")
-    ends = ends.select(
-        "__vb",
-        F.last("__hi", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__prev"),
-        F.first("__lo", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("__next"),
-    )
+    both, ranges = value_ranges(both, "x", buckets)
     inside = Window.partitionBy("__vb").orderBy("x")
-    near = both.join(ends, "__vb").select(
-        "x", "knot",
-        F.coalesce(F.last("knot", True).over(inside.rangeBetween(Window.unboundedPreceding, 0)), "__prev").alias("a"),
-        F.coalesce(F.first("knot", True).over(inside.rangeBetween(0, Window.unboundedFollowing)), "__next").alias("b"),
-    ).where(F.col("knot").isNull())
+    low = F.last("knot", True).over(inside.rangeBetween(Window.unboundedPreceding, 0))
+    high = F.first("knot", True).over(inside.rangeBetween(0, Window.unboundedFollowing))
+    if ranges > 1:
+        ends = both.groupBy("__vb").agg(F.max("knot").alias("__hi"), F.min("knot").alias("__lo"))
+        order = Window.partitionBy(F.lit(0)).orderBy("__vb")
+        ends = ends.select(
+            "__vb",
+            F.last("__hi", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__prev"),
+            F.first("__lo", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("__next"),
+        )
+        both = both.join(ends, "__vb")
+        low, high = F.coalesce(low, "__prev"), F.coalesce(high, "__next")
+    near = both.select("x", "knot", low.alias("a"), high.alias("b")).where(F.col("knot").isNull())
     down = F.col("b").isNull() | (F.col("a").isNotNull() & (F.col("x") - F.col("a") <= F.col("b") - F.col("x")))
     return near.select("x", F.when(down, F.col("a")).otherwise(F.col("b")).alias("knot"))
 

@@ -11,8 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.order import exact_rank
+from ..functions.order import by_group, exact_rank, hash_thresholds
 from ..functions.scalars import c, hash_order, hash_uniform, poisson_cdf, poisson_weight
+from ..functions.small import reused
 
 ORDER = "__ord"
 
@@ -80,12 +81,17 @@ def random_subspace(features: DataFrame, bags: int, k: int, seed: int = 0) -> Da
 
 
 def repeat_splits(df: DataFrame, key: Sequence[str], seeds: Sequence[int], frac: float = 0.33) -> DataFrame:
-    """Rows x seeds with a 'part' column: each seed has its own holdout."""
-    long = df.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    keyed = long.withColumn(ORDER, hash_order(F.col("seed"), *[c(k) for k in key]))
-    ranked = exact_rank(keyed, ORDER, ["seed"], name="__r", total="__t")
-    part = F.when(F.col("__r") <= F.ceil(F.lit(frac) * F.col("__t")), "val").otherwise("train")
-    return ranked.withColumn("part", part).drop(ORDER, "__r", "__t")
+    """Rows x seeds with a 'part' column: each seed has its own holdout, its first ceil(frac * n) rows in hash order.
+
+    The last hash of each holdout is found from the key columns alone; then every row is compared with it, so no row is moved.
+    Rows with the same key stay together.
+    """
+    each = F.explode(F.array(*[F.lit(s) for s in seeds]))
+    order = hash_order(F.col("seed"), *[c(k) for k in key])
+    with reused(df.select(*[c(k) for k in key])) as keys:
+        last = hash_thresholds(keys.withColumn("seed", each).select("seed", order.alias(ORDER)), "seed", ORDER, frac)
+    part = F.when(order <= by_group("seed", last), "val").otherwise("train")
+    return df.withColumn("seed", each).withColumn("part", part)
 
 
 def sample_rows(df: DataFrame, key: Sequence[str], n: int = 10_000, seed: int = 0) -> DataFrame:

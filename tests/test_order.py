@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gamspark.functions.joins import lookup_join
-from gamspark.functions.order import exact_quantiles, exact_rank, value_prefix
+from gamspark.functions.order import exact_quantiles, exact_rank, hash_thresholds, value_prefix, value_ranges
 from gamspark.functions.scalars import hash_order
 
 
@@ -80,3 +80,48 @@ def test_poisson_weights_reach_far(spark):
 
     assert 1 - poisson_cdf(20.0)[-1] < 1e-15 and len(poisson_cdf(20.0)) > 60
     assert poisson_cdf(1.0, 3) == poisson_cdf(1.0)[:3]
+
+
+def test_ranges_are_ordered_and_need_no_cut_list(spark):
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random(5000) < 0.3, 1.0, rng.normal(size=5000))
+    df = spark.createDataFrame([(float(v),) for v in x], "x double").repartition(6)
+    ranged, n = value_ranges(df, "x", 7)
+    assert n == 7
+    ends = ranged.groupBy("__vb").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("__vb").collect()
+    assert len(ends) > 3 and all(a["hi"] < b["lo"] for a, b in zip(ends, ends[1:]))
+    assert sorted(r["x"] for r in ranged.collect()) == sorted(x.tolist())
+    assert value_ranges(df, "x")[1] == 1
+
+
+def test_prefix_with_a_null_group(spark):
+    rows = [(None, 1.0), (None, 2.0), ("a", 1.0), (None, 2.0), ("a", 5.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    want = {(None, 1.0): (1, 0), (None, 2.0): (2, 1), ("a", 1.0): (1, 0), ("a", 5.0): (1, 1)}
+    for buckets in (None, 3):
+        got = value_prefix(df, "x", {"n": F.count(F.lit(1))}, ["g"], buckets).collect()
+        assert {(r["g"], r["x"]): (r["n"], r["n_below"]) for r in got} == want
+
+
+@pytest.mark.parametrize("few", [4096, 5, 0])
+@pytest.mark.parametrize("frac", [0.0, 0.33, 1.0, 2.0])
+def test_thresholds_equal_sorted_hashes(spark, monkeypatch, few, frac):
+    monkeypatch.setattr("gamspark.functions.order.THRESHOLD_ROWS", few)
+    df = spark.range(700).withColumn("s", F.explode(F.array(F.lit(3), F.lit(9))))
+    df = df.withColumn("o", hash_order(F.col("s"), F.when(F.col("id") < 200, F.lit(-1)).otherwise(F.col("id")))).repartition(5)
+    hashes = {}
+    for r in df.collect():
+        hashes.setdefault(r["s"], []).append(r["o"])
+    k = min(700, int(np.ceil(frac * 700)))
+    assert hash_thresholds(df, "s", "o", frac) == {s: sorted(h)[k - 1] if k else None for s, h in hashes.items()}
+
+
+def test_repeated_splits_move_no_rows(spark):
+    from gamspark.operators.split import repeat_splits
+
+    df = spark.range(1000).withColumn("v", F.col("id") * 2)
+    out = repeat_splits(df, ["id"], [1, 2, 3], 0.25)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    counts = {(r["seed"], r["part"]): r["count"] for r in out.groupBy("seed", "part").count().collect()}
+    assert counts == {(s, p): n for s in (1, 2, 3) for p, n in (("val", 250), ("train", 750))}
+    assert repeat_splits(df.limit(0), ["id"], [1, 2]).count() == 0
