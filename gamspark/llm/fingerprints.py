@@ -1,10 +1,12 @@
 """Document fingerprints from closed syncmers.
 
 A k-mer (K bytes) is a closed syncmer if the least hash of the S-byte strings in it is that of its first or last one. Whether it
-is one depends on the k-mer alone, so an edit changes no anchors but those that overlap it. The fingerprint holds the ANCHORS
-least hashes of a text's syncmers in text order, eight hex digits each; a text without syncmers has one anchor, its own hash; an
-empty text has an empty fingerprint. Likeness of two fingerprints: of the ANCHORS least hashes of both together, the share that
-both have in the same order (longest increasing run of places).
+is one depends on the k-mer alone, so an edit changes no anchors but those that overlap it. Anchors are the distinct syncmer hashes
+below a fixed share (SHARE) of all hashes, so their number grows with the text and a passage of some 50 words brings about seven of
+its own wherever it stands; a text with fewer than ANCHORS of them has its ANCHORS least hashes (all, if it has no more). The
+fingerprint is the anchors in text order (by first place), eight hex digits each; a text without syncmers has one anchor, its own
+hash; an empty text has an empty fingerprint. Likeness of two fingerprints: of the hashes of either up to the least bound to which
+both are complete, the share that both have in the same order (longest increasing run of places).
 
 ``compare_edits`` also makes, for every document, an edited text: its last third replaced by the beginning of the next document.
 Documents are dealt by ranges of the id; each range is sorted, and the first document of the next range is copied to its end, so
@@ -31,6 +33,7 @@ from .registry import query
 
 K, S = 16, 6
 ANCHORS = 64
+SHARE = 1 << 29  # of 2**32 hashes
 RANGE_BYTES = 16 << 20
 
 
@@ -61,7 +64,7 @@ def fingerprints(texts: Texts, anchors: int = ANCHORS) -> list[list[int]]:
     at, hashes = syncmers(texts)
     bounds = np.searchsorted(at, texts.offsets)
     n = np.diff(bounds)
-    limit = np.minimum(1.0, (2 * anchors + 40) / np.maximum(n, 1)) * 2.0**32
+    limit = np.clip((2 * anchors + 40) / np.maximum(n, 1) * 2.0**32, SHARE, 2.0**32)
     doc = np.repeat(np.arange(len(texts)), n)
     some = np.flatnonzero(hashes < limit[doc])  # the least ones of a long text are among these, unless it repeats itself
     order = some[np.lexsort((at[some], hashes[some], doc[some]))]
@@ -81,26 +84,38 @@ def fingerprints(texts: Texts, anchors: int = ANCHORS) -> list[list[int]]:
 
 
 def _least(hashes: np.ndarray, at: np.ndarray, anchors: int) -> list[int]:
-    """Of hashes sorted with their places, the least distinct ones, by first place."""
+    """Of hashes sorted with their places, the distinct ones below SHARE, or so many least ones if those are fewer, by first place."""
     new = np.ones(len(hashes), dtype=bool)
     new[1:] = hashes[1:] != hashes[:-1]
-    first = np.flatnonzero(new)[:anchors]
+    first = np.flatnonzero(new)
+    first = first[: max(anchors, int(np.searchsorted(hashes[first], SHARE)))]
     return hashes[first[np.argsort(at[first])]].tolist()
 
 
 def likeness(a: list[int], b: list[int], anchors: int = ANCHORS) -> float:
+    """Share, from 0 to 1, of the hashes up to both texts' bounds that both have in the same order."""
     if a == b:
         return 1.0
+    bound = min(_bound(a, anchors), _bound(b, anchors))
+    a, b = [h for h in a if h <= bound], [h for h in b if h <= bound]
     place = {h: i for i, h in enumerate(b)}
-    both = set(a) | place.keys()
-    least = set(sorted(both)[:anchors])
     tails: list[int] = []
+    common = 0
     for h in a:
         at = place.get(h)
-        if at is not None and h in least:
-            k = bisect_left(tails, at)
-            tails[k : k + 1] = [at]
-    return len(tails) / len(least)
+        if at is None:
+            continue
+        common += 1
+        if not tails or at > tails[-1]:
+            tails.append(at)
+        else:
+            tails[bisect_left(tails, at)] = at
+    return len(tails) / max(len(a) + len(b) - common, 1)
+
+
+def _bound(one: list[int], anchors: int) -> int:
+    """The largest hash up to which these anchors are all of their text's syncmers."""
+    return 1 << 32 if len(one) < anchors else max(SHARE - 1, max(one))
 
 
 def _texts(parts: list[bytes]) -> Texts:
@@ -168,7 +183,7 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     copies = rows.join(F.broadcast(targets), F.col("doc_id").eqNullSafe(F.col("head_id"))).select(F.lit(1).alias("copied"), "doc_id", "text", F.col("target").alias("range"))
     every = ranged.select(F.lit(0).alias("copied"), "doc_id", "text", "range").unionByName(copies)
     order = ["range", "copied", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text"]
-    dealt = every.repartition(ranges, "range").sortWithinPartitions(*order)
+    dealt = every.repartitionById(ranges + 2, "range").sortWithinPartitions(*order)  # a task has one range
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return dealt.select("copied", "doc_id", "text").mapInArrow(_neighbours, schema)
 
