@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, Words, gram_hashes, pick, slices, sliding_min, small_batches, table
+from .common import SLICE_BYTES, Words, gram_hashes, mix64, pick, slices, sliding_min, small_batches, table
 from .registry import query
 
 WINDOW, GRAM = 20, 8
@@ -179,8 +179,9 @@ def _candidates(words: Words, hashes: np.ndarray, bitmap: np.ndarray, bits: int)
 
 
 def _by_area(ids: np.ndarray, hashes: np.ndarray, at: np.ndarray, areas: int) -> Iterator[dict]:
-    """Marks packed by area (a range of text hashes): documents, and for each of them runs of starts."""
-    area = hashes % areas
+    """Marks packed by area: documents, and for each of them runs of starts. An area is a remainder of id and text hash together,
+    so that the copies of one text are dealt to all areas."""
+    area = (mix64(ids.view(np.uint64) ^ mix64(hashes.view(np.uint64))) % np.uint64(areas)).astype(np.int64)
     order = np.lexsort((at, ids, hashes, area))
     ids, hashes, at, area = ids[order], hashes[order], at[order], area[order]
     bounds = np.append(np.flatnonzero(np.diff(area, prepend=-1)), len(area)).tolist()
