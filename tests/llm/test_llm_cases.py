@@ -311,6 +311,13 @@ def test_leaks_with_edits_and_odd_rows(spark, odd):
     assert decontaminate.find_leaks(odd, items(spark)).count() == 0
     assert decontaminate.find_leaks(empty(odd), items(spark, tests)).count() == 0
     assert decontaminate.without_leaks(odd, items(spark, tests)).columns == odd.columns
+    clash = docs.withColumn("other", F.lit("other")).toDF("doc_id", "text", "TEXT")
+    blocks = decontaminate.without_leaks(clash, items(spark, tests), block_items=7)
+    assert sorted(r[0] for r in blocks.collect()) == [100 + k for k in range(200)] and blocks.columns == ["doc_id", "text", "TEXT"]
+    first = " ".join("one two three four five six seven eight nine ten eleven twelve thirteen fourteen".split())
+    some = items(spark, [*tests, (77, first)])
+    left = [sorted(map(str, decontaminate.without_leaks(odd, some, block_items=n).collect())) for n in (5, 1000)]
+    assert left[0] == left[1] and len(left[0]) == odd.count() - 3
 
 
 def test_alignment_against_full_matrix():
@@ -339,6 +346,44 @@ def test_fingerprints_bear_odd_rows(spark, odd):
     assert alone["near_next"] == 1.0
 
 
+def test_anchors_grow_with_the_text_and_meet_in_a_shared_passage():
+    random.seed(8)
+    word = lambda: "".join(random.choices("abcdefghijklmnop", k=random.randint(3, 9)))
+    passage = " ".join(word() for _ in range(50))
+    one, two = (" ".join([word() for _ in range(4000)] + [passage] + [word() for _ in range(4000)]) for _ in range(2))
+    short = " ".join(word() for _ in range(30))
+    texts = [one, two, short, one[:-200] + " ".join(word() for _ in range(30))]
+    prints = fingerprints.fingerprints(fingerprints._texts([t.encode() for t in texts]))
+    for text, got in zip(texts, prints):
+        at, hashes = fingerprints.syncmers(fingerprints._texts([text.encode()]))
+        first = {}
+        for place, h in zip(at.tolist(), hashes.tolist()):
+            first.setdefault(h, place)
+        low = [h for h in first if h < fingerprints.SHARE]
+        want = low if len(low) >= fingerprints.ANCHORS else sorted(first)[: fingerprints.ANCHORS]
+        assert got == sorted(want, key=first.get)
+    assert len(prints[0]) > 500 and len(prints[2]) <= fingerprints.ANCHORS
+    assert set(prints[0]) & set(prints[1])
+    assert 0 < fingerprints.likeness(prints[0], prints[1]) < 0.05
+    assert 0.95 < fingerprints.likeness(prints[0], prints[3]) < 1.0
+    assert fingerprints.likeness(prints[0], prints[2]) < 0.05
+
+
+def test_likeness_of_short_texts_is_that_of_all_syncmers():
+    assert fingerprints.likeness([5, 1, 9], [5, 1, 9, 7]) == 3 / 4
+    assert fingerprints.likeness([5, 1, 9], [9, 1, 5]) == 1 / 3
+    assert fingerprints.likeness([], [4]) == 0.0 and fingerprints.likeness([], []) == 1.0
+    few = list(range(10, 10 + fingerprints.ANCHORS))  # complete up to SHARE, whatever the other one has beyond
+    assert fingerprints.likeness(few, few[:32] + [fingerprints.SHARE + 3]) == 0.5
+
+
+def test_marks_of_copies_are_dealt_to_all_areas():
+    n = 4000
+    ids, same = np.arange(n, dtype=np.int64), np.full(n, 1234567, dtype=np.int64)
+    sizes = [len(m["ids"]) // 8 for m in repeats._by_area(ids, same, np.zeros(n, dtype=np.int64), 16)]
+    assert len(sizes) == 16 and sum(sizes) == n and max(sizes) < 2 * n / 16
+
+
 def test_syncmers_against_their_definition():
     from gamspark.llm.common import mix64
 
