@@ -357,3 +357,18 @@ def test_subspace_ensemble(df, fusion):
     assert right > 0.7
     with pytest.raises(ValueError):
         bagging.fit_subspace_ensemble(df, "label", ["a"], fusion="best")
+
+
+@pytest.mark.parametrize("fit", [trees.fit_tree, trees.fit_forest, trees.fit_boosted_trees])
+def test_parts_of_tree_fits_stay_below_a_number_of_values(df, monkeypatch, fit):
+    """More rows give more parts, not larger ones: a task keeps its part as objects."""
+    from pyspark.ml import Estimator
+
+    from gamspark.functions import small
+
+    monkeypatch.setattr(small, "PART_VALUES", 2000, raising=False)
+    seen, inner = [], Estimator.fit
+    monkeypatch.setattr(Estimator, "fit", lambda self, rows, *a: seen.append(rows.rdd.glom().map(len).collect()) or inner(self, rows, *a))
+    kind = {} if fit is trees.fit_tree else {"n_estimators": 2}
+    fit(df, "y", ["a", "b"], max_depth=1, **kind)
+    assert sum(seen[0]) == N and max(seen[0]) * (small.ROW_VALUES + 2) <= 2 * small.PART_VALUES
