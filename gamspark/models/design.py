@@ -189,7 +189,13 @@ class Spline:
 
 
 def _elu(z: np.ndarray) -> np.ndarray:
-    return np.expm1(z, out=z, where=z < 0)
+    """In place, over all values at once: exp of the negative parts less 1, plus the positive parts."""
+    low = np.minimum(z, 0.0)
+    np.exp(low, out=low)
+    low -= 1.0
+    np.maximum(z, 0.0, out=z)
+    z += low
+    return z
 
 
 ACTIVATIONS = {"elu": _elu, "relu": lambda z: np.maximum(z, 0.0, out=z)}
@@ -211,8 +217,13 @@ class Hidden:
     def size(self):
         return len(self.weights)
 
+    def fill(self, values, out):
+        """The columns as rows of ``out``; ``values`` gives a column's numbers."""
+        np.multiply.outer(np.asarray(self.weights), values(self.name), out=out)
+        ACTIVATIONS[self.act](out)
+
     def build(self, batch):
-        return ACTIVATIONS[self.act](numbers(batch, self.name)[:, None] * np.asarray(self.weights)[None, :])
+        return Design((self,)).build(batch)
 
 
 @dataclass(frozen=True)
@@ -237,9 +248,13 @@ class HiddenPair:
     def size(self):
         return len(self.weights)
 
+    def fill(self, values, out):
+        np.multiply.outer(np.asarray(self.weights), values(self.first), out=out)
+        out += np.multiply.outer(np.asarray(self.other), values(self.second))
+        ACTIVATIONS[self.act](out)
+
     def build(self, batch):
-        z = numbers(batch, self.first)[:, None] * np.asarray(self.weights)[None, :]
-        return ACTIVATIONS[self.act](z + numbers(batch, self.second)[:, None] * np.asarray(self.other)[None, :])
+        return Design((self,)).build(batch)
 
 
 @dataclass(frozen=True)
@@ -268,7 +283,22 @@ class Design:
         return all(hasattr(b, "codes") for b in self.blocks)
 
     def build(self, batch: pa.RecordBatch) -> np.ndarray:
-        return np.hstack([b.build(batch) for b in self.blocks])
+        """Blocks of random features are written column by column into one array, each input read once."""
+        if not any(hasattr(b, "fill") for b in self.blocks):
+            return np.hstack([b.build(batch) for b in self.blocks])
+        read, out = {}, np.empty((self.size, batch.num_rows))
+
+        def values(name):
+            if name not in read:
+                read[name] = numbers(batch, name)
+            return read[name]
+
+        for b, sl in zip(self.blocks, self.slices):
+            if hasattr(b, "fill"):
+                b.fill(values, out[sl])
+            else:
+                out[sl] = b.build(batch).T
+        return out.T
 
     def score(self, batch: pa.RecordBatch, beta: np.ndarray) -> np.ndarray:
         """build(batch) @ beta; indicator blocks are looked up instead of multiplied."""

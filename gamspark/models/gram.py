@@ -60,9 +60,11 @@ Working = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _dense_products(design: Design):
-    """(B'WB, B'Wz) by matrix products."""
+    """(B'WB, B'Wz) by matrix products; without weights half of the symmetric one is enough."""
 
     def products(basis, w, z):
+        if np.all(w == 1):
+            return basis.T @ basis, basis.T @ z
         weighted = basis * w[:, None]
         return weighted.T @ basis, weighted.T @ z
 

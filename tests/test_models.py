@@ -372,3 +372,20 @@ def test_parts_of_tree_fits_stay_below_a_number_of_values(df, monkeypatch, fit):
     kind = {} if fit is trees.fit_tree else {"n_estimators": 2}
     fit(df, "y", ["a", "b"], max_depth=1, **kind)
     assert sum(seen[0]) == N and max(seen[0]) * (small.ROW_VALUES + 2) <= 2 * small.PART_VALUES
+
+
+def test_random_features_read_each_input_once(sample, monkeypatch):
+    """Many learners in one design: each column is read once a batch, and the features are those of their formula."""
+    from gamspark.models import design as ds
+
+    calls, inner = [], ds.numbers
+    monkeypatch.setattr(ds, "numbers", lambda rows, name: calls.append(name) or inner(rows, name))
+    joint = Design((Constant(), *[b for seed in range(9) for b in hidden.learner_design(["a", "b"], [("a", "b")], 4, 1.0, 0.5, "elu", seed).blocks]))
+    basis = joint.build(batch(sample))
+    assert sorted(calls) == ["a", "b"]
+    for block, sl in zip(joint.blocks[1:], joint.slices[1:]):
+        z = np.outer(sample[0 if block.columns[0] == "a" else 1], block.weights)
+        if len(block.columns) == 2:
+            z = z + np.outer(sample[1], block.other)
+        assert np.allclose(basis[:, sl], np.where(z < 0, np.expm1(np.minimum(z, 0)), z), rtol=0, atol=1e-14)
+        assert np.allclose(basis[:, sl], block.build(batch(sample)), rtol=0, atol=0)
