@@ -66,10 +66,13 @@ def bootstrap(df: DataFrame, key: Sequence[str], bags: int, frac: float = 1.0, s
 
 def bag_weights(df: DataFrame, key: Sequence[str], bags: int, frac: float = 1.0, seed: int = 0,
                 prefix: str = "bag_") -> DataFrame:
-    """The same weights as one column per bag: fits read them without multiplying the rows."""
-    drawn = df.withColumns({f"__u{b}": hash_uniform(seed, F.lit(b), *[c(k) for k in key]) for b in range(bags)})
+    """The same weights as one column per bag: fits read them without multiplying the rows. The key's text is joined once for all
+    bags; where all of it is missing it stays missing, so that the hashed text is that of ``hash_order`` on the columns."""
+    keys = [c(k).cast("string") for k in key]
+    text = F.when(F.coalesce(*keys).isNotNull(), F.concat_ws("_", *keys)) if keys else F.lit(None).cast("string")
+    drawn = df.withColumn("__text", text).withColumns({f"__u{b}": hash_uniform(seed, F.lit(b), F.col("__text")) for b in range(bags)})
     weighted = drawn.withColumns({f"{prefix}{b}": poisson_weight(F.col(f"__u{b}"), frac) for b in range(bags)})
-    return weighted.drop(*[f"__u{b}" for b in range(bags)])
+    return weighted.drop("__text", *[f"__u{b}" for b in range(bags)])
 
 
 def random_subspace(features: DataFrame, bags: int, k: int, seed: int = 0) -> DataFrame:

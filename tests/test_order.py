@@ -125,3 +125,23 @@ def test_repeated_splits_move_no_rows(spark):
     counts = {(r["seed"], r["part"]): r["count"] for r in out.groupBy("seed", "part").count().collect()}
     assert counts == {(s, p): n for s in (1, 2, 3) for p, n in (("val", 250), ("train", 750))}
     assert repeat_splits(df.limit(0), ["id"], [1, 2]).count() == 0
+
+
+def test_bag_weights_join_the_key_once(spark):
+    """All bags hash one text of the key, the text that ``hash_order`` makes of its columns, also where some or all are missing."""
+    from gamspark.functions.scalars import hash_uniform, poisson_cdf
+    from gamspark.operators.split import bag_weights
+
+    rows = [(1, "a", ""), (2, None, "x"), (None, "b", None), (None, None, None), (None, None, ""), (None, "", None), *[(i, str(i % 7), None) for i in range(60)]]
+    df = spark.createDataFrame(rows, "p int, q string, r string")
+    got = bag_weights(df, ["p", "q", "r"], 6, 2.0, seed=3)
+    assert got.columns == ["p", "q", "r", *[f"bag_{b}" for b in range(6)]]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("cast(p#") <= 2  # the text and whether there is one, not once a bag
+    us = df.select(*[hash_uniform(3, F.lit(b), F.col("p"), F.col("q"), F.col("r")) for b in range(6)]).collect()
+    steps = poisson_cdf(2.0)
+    assert [tuple(r)[3:] for r in got.collect()] == [tuple(sum(u >= s for s in steps) for u in r) for r in us]
+    none = spark.range(1).select(F.lit(None).cast("double").alias("u"))
+    from gamspark.functions.scalars import poisson_weight
+
+    assert none.select(poisson_weight(F.col("u"), 1.0)).first()[0] is None
