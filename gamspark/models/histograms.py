@@ -84,7 +84,7 @@ class Tree:
         at = np.zeros(rows, dtype=np.int64)
         for _ in range(self.depth):
             inner = np.flatnonzero(self.feature[at] >= 0)
-            for f in np.unique(self.feature[at[inner]]).tolist():
+            for f in np.unique(self.feature[np.flatnonzero(np.bincount(at[inner]))]).tolist():
                 mine = inner[self.feature[at[inner]] == f]
                 node = at[mine]
                 at[mine] = np.where(codes[f][mine] <= self.cut[node], self.left[node], self.right[node])
@@ -229,8 +229,12 @@ class _Rows:
         """Per wanted node the sums over its drawn rows, 3 x bins; and the loss and weight of held rows at the present score."""
         width, starts, loss, count = int(self.bins.starts[-1]), self.bins.starts, self.loss, len(self.bins.widths)
         size, out = max(1, 3 * width), []
-        frame = self.frame.withColumn("__d", drawn.cast("double") if drawn is not None else F.lit(1.0))
-        frame = frame.withColumn("__h", F.coalesce(held, F.lit(False)) if held is not None else F.lit(False))
+        sampled, parted = drawn is not None, held is not None
+        frame = self.frame.select(  # only these travel to the Python workers
+            *[f"__c{i}" for i in range(count)], "__y", "__w", "__score",
+            *([drawn.cast("double").alias("__d")] if sampled else []),
+            *([F.coalesce(held, F.lit(False)).alias("__h")] if parted else []),
+        )
         held_sums = np.zeros(2)
         for a in range(0, len(wanted), max(1, PASS_VALUES // size)):
             nodes = wanted[a : a + max(1, PASS_VALUES // size)]
@@ -246,15 +250,21 @@ class _Rows:
                     for rate, t in waiting:
                         score += rate * t.score(codes, n)
                     g, h, losses = loss(y, score)
-                    away = batch.column("__h").to_numpy(zero_copy_only=False).astype(bool)
-                    total[-2:] += (losses[away] @ weight[away], weight[away].sum())
                     at = place[tree.nodes(codes, n)]
-                    use = np.flatnonzero((at >= 0) & (numbers(batch, "__d") > 0) & ~away)
-                    w = weight[use]
-                    for k, values in enumerate((g[use] * w, h[use] * w, None)):
-                        for f in range(count):
-                            cell = at[use] * size + k * width + starts[f] + codes[f][use]
-                            total[:-2] += np.bincount(cell, values, len(total) - 2)
+                    open_ = at >= 0
+                    if parted:
+                        away = batch.column("__h").to_numpy(zero_copy_only=False).astype(bool)
+                        total[-2:] += (losses[away] @ weight[away], weight[away].sum())
+                        open_ &= ~away
+                    if sampled:
+                        open_ &= numbers(batch, "__d") > 0
+                    if not open_.all():
+                        use = np.flatnonzero(open_)
+                        at, weight, g, h, codes = at[use], weight[use], g[use], h[use], [x[use] for x in codes]
+                    for f in range(count):
+                        cell = at * size + starts[f] + codes[f]
+                        for k, values in enumerate((g * weight, h * weight, None)):
+                            total[k * width : -2] += np.bincount(cell, values, len(total) - 2 - k * width)
                 yield partial_blocks(0, total)
 
             found = block_sums(frame.mapInArrow(run, OUT_SCHEMA)).get(0, np.zeros(len(nodes) * size + 2))
@@ -362,7 +372,7 @@ def fit_newton_boosting(df: DataFrame, target: str, numeric: Sequence[str], cate
     rules.check()
     classes = check_task(task) == "classification"
     bins = binning(df, numeric, categorical, max_bins)
-    keys = list(key) or [*numeric, *categorical, target]
+    keys = (list(key) or [*numeric, *categorical, target]) if subsample < 1 else []  # kept only for the draw
     keep = [*keys, validation] if validation else keys
     held = F.col(f"__k{len(keys)}").cast("boolean") if validation else None
     with reused(_binned_rows(df, bins, target, None, keep)) as kept:

@@ -148,3 +148,17 @@ def test_odd_inputs(spark, df):
     for bad in ({"max_leaf_nodes": 1}, {"splitter": "worst"}):
         with pytest.raises(ValueError):
             hg.fit_best_first_tree(df, "y", ["a"], **bad)
+
+
+def test_passes_send_only_what_they_add_up(spark, monkeypatch):
+    """Keys of a draw, the draw and the validation mark travel to the workers only where a fit uses them."""
+    df = spark.createDataFrame([(i, float(i % 9), "uvw"[i % 3], float(i % 9 > 4) + (i % 3), i % 5 == 0) for i in range(300)], "id int, a double, g string, y double, v boolean")
+    sent, inner = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, *a, **k: sent.append(set(self.columns)) or inner(self, *a, **k))
+    model = hg.fit_newton_boosting(df, "y", ["a"], ["g"], n_estimators=3, max_depth=1, key=["id"])
+    passes = [s for s in sent if "__score" in s]
+    codes = {f"__c{i}" for i in range(len(model.bins.widths))}
+    assert passes and all(s == codes | {"__y", "__w", "__score"} for s in passes) and not any(n.startswith("__k") for s in sent for n in s)
+    sent.clear()
+    hg.fit_newton_boosting(df, "y", ["a"], ["g"], n_estimators=2, max_depth=1, key=["id"], subsample=0.5, validation="v")
+    assert all(s == codes | {"__y", "__w", "__score", "__d", "__h"} for s in sent if "__score" in s)
