@@ -169,15 +169,15 @@ class Spline:
         cell = np.minimum(np.floor(u).astype(np.int64), inner - 1)
         t = u - cell
         # the degree+1 splines that live on a cell, by raising the degree one step at a time
-        local = np.ones((len(u), 1))
+        local = [np.ones(len(u))]
         for d in range(1, self.degree + 1):
-            j = np.arange(d + 1)
-            left = np.pad(local, ((0, 0), (1, 0))) * (t[:, None] + d - j) / d
-            right = np.pad(local, ((0, 0), (0, 1))) * (j + 1 - t[:, None]) / d
-            local = left + right
+            left = [0.0, *[local[j - 1] * (t + d - j) / d for j in range(1, d + 1)]]
+            right = [*[local[j] * (j + 1 - t) / d for j in range(d)], 0.0]
+            local = [a + b for a, b in zip(left, right)]
         out = np.zeros((len(u), self.n_splines))
-        at = cell[:, None] + np.arange(self.degree + 1)
-        np.put_along_axis(out, at, local, axis=1)
+        rows = np.arange(len(u))
+        for j, values in enumerate(local):
+            out[rows, cell + j] = values
         return out
 
     def build(self, batch):
